@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each application: their Python workers import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpuscle_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpuscle-"), "corpuscle.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("corpuscle", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._corpuscle_shipped = True
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that materialise() wrote under the shared folder."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/corpuscle")
