@@ -7,16 +7,20 @@ from .licences import OP7_SQL, op7_licence_scan
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .quality import OP10_SQL, op10_quality_rules
+from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op8_suffix_dedup
 from .token_files import op5_token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
         op2_mix_sources,
         op3_bpe_round_trip,
         op5_token_files,
         op6_line_dedup,
         op7_licence_scan,
+        op8_suffix_dedup,
         op10_quality_rules,
     )
 }
