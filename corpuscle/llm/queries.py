@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bagminhash import op9_near_dedup
 from .bpe import op3_bpe_round_trip
 from .licences import OP7_SQL, op7_licence_scan
 from .line_dedup import OP6_SQL, op6_line_dedup
@@ -21,6 +22,7 @@ QUERIES = {
         op6_line_dedup,
         op7_licence_scan,
         op8_suffix_dedup,
+        op9_near_dedup,
         op10_quality_rules,
     )
 }
