@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bagminhash import op9_near_dedup
 from .bpe import op3_bpe_round_trip
+from .ego_join import op4_near_vectors
 from .licences import OP7_SQL, op7_licence_scan
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP2_SQL, op2_mix_sources
@@ -18,6 +19,7 @@ QUERIES = {
         op1_substring_dedup,
         op2_mix_sources,
         op3_bpe_round_trip,
+        op4_near_vectors,
         op5_token_files,
         op6_line_dedup,
         op7_licence_scan,
