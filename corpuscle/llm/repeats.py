@@ -59,14 +59,14 @@ def _digests(view, starts, counts, length, digest):
 
 
 def _list_anchors(units):
-    """Texts to (a, v): anchors with 63 bits of their passage's digest, and in the last bit whether they repeat in this slice."""
+    """Texts to (a, v): anchors with 47 bits of their passage's digest, and in the last bit whether they repeat in this slice."""
 
     def run(batches):
         for batch in batches:
             for _, _, view in _views(units, batch):
                 a, start, count = _runs(units, view)
                 raw, _, _ = _digests(view, start, count, units.length, xxhash.xxh3_64_digest)
-                c = np.frombuffer(raw, ">u8") & ~np.uint64(1)
+                c = np.frombuffer(raw, ">u8") >> np.uint64(17) << np.uint64(1)
                 order = np.argsort(a, kind="stable")
                 a, c = a[order], c[order]
                 same = np.zeros(len(a) + 1, bool)
@@ -103,7 +103,8 @@ _SPANS = "a long, c binary, ord long, rk long, start long, n long, body binary"
 
 
 def _list_spans(units, maps, bits):
-    """(ord, rk, text) to the passages of anchors in the first bit map; bytes for those in the second, once a slice."""
+    """(ord, rk, text) to the passages of anchors in the first bit map; those in the second keep the anchor, and once a
+    slice the bytes."""
 
     def run(batches):
         often, multi = maps.value
@@ -117,6 +118,7 @@ def _list_spans(units, maps, bits):
                 row = np.searchsorted(view.offsets, start, "right") - 1
                 c = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(0, 16 * len(a) + 1, 16, dtype=np.int32)), pa.py_buffer(raw)])
                 need = _has(multi, a, bits)
+                a = np.where(need, a, np.uint64(0))
                 first = np.zeros(len(a), bool)
                 coded = c.dictionary_encode().indices.to_numpy()
                 first[np.unique(coded, return_index=True)[1]] = True
