@@ -36,8 +36,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpuscle-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpuscle-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
