@@ -9,8 +9,8 @@ time by which all components should have a point (later for the few texts where
 
 Signatures are banded. In each bucket every text is proposed to the bucket's least text; proposals pass an estimate
 from the signatures (BOUND, more than four standard errors below the limit) and then the exact overlap of the two
-bags decides. Texts of one bucket that are still in different classes after that are compared by signature in blocks
-of BLOCK, and what passes is decided exactly too. Classes are the connected components of the exact links. Equal
+bags decides. Texts of one bucket that are still in different classes after that are compared in blocks of BLOCK, by
+signature and then exactly, without a pair leaving the block unless it joins two classes. Classes are the connected components of the exact links. Equal
 texts fold to one before any of this, so copies are never paired.
 
 Defined results: a text of one to four words has one shingle, all its words; null and empty texts have none and
@@ -36,7 +36,7 @@ BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
 LIMIT = 0.8
 BOUND = 0.65
-BLOCK = 256
+BLOCK = 1_500
 SLICE = 2_000_000
 _MAX_TEXTS = 4_000
 _P = "__n_"
@@ -179,30 +179,56 @@ def _estimate(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(good)) for k in (0, 1)], pa.array(est[good])], ["u", "v", "est"])
 
 
-def _blocks(batches):
-    """Rows (bucket, i, j, side, key, class, sig), sorted, to the pairs of each (bucket, i, j) in different classes
-    whose estimate is BOUND or more. A group has 2 * BLOCK rows or so."""
-    held, at = [], None
+def _elements(b: np.ndarray, offsets: np.ndarray):
+    """(elements, offsets): each text's bag as an ascending set, the k-th copy of a shingle being an element of its own."""
+    text, shingle, count = _bags(b, offsets)
+    t = np.repeat(text, count)
+    k = np.arange(len(t)) - np.repeat(np.cumsum(count) - count, count)
+    e = mix(np.repeat(shingle, count) + k.astype(np.uint64) * M[7])
+    order = np.lexsort((e, t))
+    return e[order], np.searchsorted(t, np.arange(len(offsets)))
+
+
+def _block_links(table: pa.Table):
+    """Links (u, v) between the rows of one (bucket, i, j) in different classes; links that would join what is already
+    joined are left out."""
+    table = table.combine_chunks()
+    same = table["i"][0].as_py() == table["j"][0].as_py()
+    band = table["band"][0].as_py()
+    side = table["side"].to_numpy()
+    sig = _matrix(table["sig"])
+    bands = table["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    _, cls = np.unique(table["class"].to_numpy(zero_copy_only=False).astype("S33"), return_inverse=True)
+    elements, at = _elements(*text_buffers(table["text"]))
+    size = np.diff(at)
+    left = np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    us, vs = [], []
+    for x in left:
+        other = right[right > x] if same else right
+        other = other[cls[other] != cls[x]]
+        # No more than the smaller bag is shared, and no less than LIMIT of the larger must be.
+        other = other[10 * np.minimum(size[other], size[x]) >= 8 * np.maximum(size[other], size[x])]
+        other = other[(sig[other] == sig[x]).sum(1) >= BOUND * SIZE]
+        # Each pair in the first bucket that it shares.
+        other = other[np.argmax(bands[other] == bands[x], 1) == band]
+        if not len(other):
+            continue
+        mine = elements[at[x] : at[x + 1]]
+        theirs = np.concatenate([elements[at[y] : at[y + 1]] for y in other])
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[other]) - size[other])
+        for y in other[10 * shared >= 8 * (size[other] + size[x] - shared)]:
+            if cls[y] != cls[x]:
+                us.append(x), vs.append(y)
+                cls[cls == cls[y]] = cls[x]
+    key = table["key"].combine_chunks()
+    return pa.RecordBatch.from_arrays([key.take(pa.array(np.array(k, np.int64))) for k in (us, vs)], ["u", "v"])
 
-    def pairs(rows):
-        table = pa.Table.from_batches(rows).combine_chunks()
-        same = table["i"][0].as_py() == table["j"][0].as_py()
-        side = table["side"].to_numpy()
-        sig, cls = _matrix(table["sig"]), table["class"].to_pylist()
-        _, cls = np.unique(np.array([bytes(x) for x in cls], dtype="S16"), return_inverse=True)
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        us, vs = [], []
-        for x in left:
-            other = right[right > x] if same else right
-            other = other[cls[other] != cls[x]]
-            good = other[(sig[other] == sig[x]).sum(1) >= BOUND * SIZE]
-            us.append(np.full(len(good), x)), vs.append(good)
-        take = lambda k: table["key"].combine_chunks().take(pa.array(np.concatenate(k).astype(np.int64))) if k else table["key"].combine_chunks()[:0]
-        u, v = take(us), take(vs)
-        u, v = (x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in (u, v))
-        return pa.RecordBatch.from_arrays([u, v], ["u", "v"])
 
+def _blocks(batches):
+    """Rows (bucket, i, j, band, side, key, class, bands, sig, text), sorted, to links; a group has 2 * BLOCK rows or so."""
+    held, at = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -210,12 +236,12 @@ def _blocks(batches):
         cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), batch.num_rows]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if at is not None and at != tuple(ids[s]):
-                yield pairs(held)
+                yield _block_links(pa.Table.from_batches(held))
                 held = []
             at = tuple(ids[s])
             held.append(batch.slice(s, e - s))
     if held:
-        yield pairs(held)
+        yield _block_links(pa.Table.from_batches(held))
 
 
 def _decide(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -238,7 +264,7 @@ def text_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ship(docs.sparkSession)
     keyed = docs.select(F.unhex(F.md5("text")).alias("key"), "text").where("text is not null")
     sigs = materialise(keyed.mapInArrow(_sign, "key binary, bands array<long>, sig binary").dropDuplicates(["key"]), "near-signatures")
-    rows = sigs.select(F.explode("bands").alias("bucket"), "key")
+    rows = sigs.select(F.posexplode("bands").alias("band", "bucket"), "key")
     lead = rows.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
     member = materialise(rows.join(lead, "bucket"), "near-buckets")
     offered = member.where("key != lead").select(F.col("key").alias("u"), F.col("lead").alias("v")).distinct()
@@ -253,24 +279,27 @@ def text_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     classes = components(links)
     links = links.unionByName(_decide(_labelled(offered.select("u", "v").join(best, ["u", "v"], "left_anti"), classes), texts))
     classes = components(links)
-    links = links.unionByName(_decide(_missed(member, sig, classes, block), texts))
-    return components(links)
+    return components(links.unionByName(_missed(member, sigs, texts, classes, block)))
+
 
+def _missed(member: DataFrame, sigs: DataFrame, texts: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Links of one bucket, without its leader, between different classes: all that the leaders missed.
 
-def _missed(member: DataFrame, sig: DataFrame, classes: DataFrame, block: int) -> DataFrame:
-    """Pairs of one bucket, without its leader, in different classes, whose estimate is BOUND or more."""
-    rows = member.where("key != lead").select("bucket", "key").join(classes, F.col("key") == F.col("node"), "left")
-    rows = rows.select("bucket", "key", F.coalesce("component", "key").alias("class"))
+    A bucket's texts are dealt to blocks and each pair of blocks is one group, so a bucket of any size is spread; the
+    pairs are judged inside and only links that join classes come out.
+    """
+    rows = member.where("key != lead").select("bucket", "band", "key").join(classes, F.col("key") == F.col("node"), "left")
+    rows = rows.select("bucket", "band", "key", F.coalesce("component", "key").alias("class"))
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
-    rows = rows.join(mixed.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket").join(sig, "key")
+    rows = rows.join(mixed.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket").join(sigs, "key").join(texts, "key")
     mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "bucket", F.least("mine", "other").cast("long").alias("i"), F.greatest("mine", "other").cast("long").alias("j"),
-        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "key", "class", "sig",
+        "bucket", F.least("mine", "other").cast("long").alias("i"), F.greatest("mine", "other").cast("long").alias("j"), "band",
+        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "key", F.hex("class").alias("class"), "bands", "sig", "text",
     )
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(_blocks, "u binary, v binary").distinct()
+    return rows.mapInArrow(_blocks, "u binary, v binary")
 
 
 def classified(docs: DataFrame) -> DataFrame:
@@ -279,7 +308,7 @@ def classified(docs: DataFrame) -> DataFrame:
     p = _P
     classes = text_classes(docs.select("doc_id", "text"))
     body = F.col("text")
-    some = F.length(F.regexp_replace(F.coalesce(body, F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
+    some = F.coalesce(F.rlike(body, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64("doc_id", "text").alias("r"), F.unhex(F.md5("text")).alias("k"), some.alias("s")).where("s")
     own = own.join(classes, F.col("k") == F.col("node"), "left").withColumn("c", F.coalesce("component", "k"))
     by = own.groupBy("c", "k").agg(F.min(F.struct("o", "r")).alias("f"), F.count("*").alias("n"))
