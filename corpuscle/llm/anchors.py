@@ -18,7 +18,8 @@ M = np.array(
 _BASE = 0x100000001B3
 _POS = 23
 BLOCK = 1 << 20
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+STEP = 1 << 17
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,23 +46,35 @@ def byte_grams(b: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse, n of each at least."""
+    if _powers and len(_powers[0][0]) >= n:
+        return _powers[0]
+    size = max(STEP, 1 << (n - 1).bit_length())
+    up = np.full(size, _BASE, np.uint64)
+    down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    tables = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    if size == STEP:
+        _powers.append(tables)
+    return tables
+
+
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each b[starts[i]:ends[i]] by a prefix sum of powers."""
-    n = len(b)
-    size = 1 << max(n, 1).bit_length()
-    if size not in _powers:
-        _powers.clear()
-        inverse = pow(_BASE, -1, 1 << 64)
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, inverse, np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    up, down = _powers[size]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h += (ends - starts).astype(np.uint64) * M[6]
-    return mix(h)
+    """Hash of each b[starts[i]:ends[i]] by prefix sums of powers, some STEP bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + STEP, "right")))
+        part = b[lo : int(ends[j - 1])]
+        up, down = _power_tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * M[6]
+        i = j
+    return mix(out)
 
 
 def unit_grams(h: np.ndarray, k: int) -> np.ndarray:

@@ -72,7 +72,10 @@ def suffix_ranks(s: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.nd
 
 
 class FMIndex:
-    """Index of a symbol sequence for matches of ``length`` symbols."""
+    """Index of a symbol sequence that ends in its smallest symbol, for matches of up to ``length`` symbols.
+
+    Suffixes are sorted by their first ``length`` symbols; backward steps are exact up to matches of that length.
+    """
 
     def __init__(self, s: np.ndarray, length: int):
         n = len(s)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from ..session import materialise, ship
 from .anchors import anchor_runs
 from .pretoken import slices, text_buffers
 
-SLICE = 4_000_000
+SLICE = 1_000_000
 FILTER_BITS = 27
 HOT = 50_000
 _LAST = (1 << 63) - 1
@@ -59,23 +60,26 @@ def _digests(view, starts, counts, length, digest):
 
 
 def _list_anchors(units):
-    """Texts to (a, v): anchors with 47 bits of their passage's digest, and in the last bit whether they repeat in this slice."""
+    """Texts to (a, v): anchors with 47 bits of their passage's digest, and in the last bit whether they repeat in this batch."""
 
     def run(batches):
         for batch in batches:
+            anchors, digests = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for _, _, view in _views(units, batch):
                 a, start, count = _runs(units, view)
                 raw, _, _ = _digests(view, start, count, units.length, xxhash.xxh3_64_digest)
-                c = np.frombuffer(raw, ">u8") >> np.uint64(17) << np.uint64(1)
-                order = np.argsort(a, kind="stable")
-                a, c = a[order], c[order]
-                same = np.zeros(len(a) + 1, bool)
-                same[1:-1] = a[1:] == a[:-1]
-                again = same[1:] | same[:-1]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-                v = c.astype(np.int64) | again
-                yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(v[new])], ["a", "v"])
+                anchors.append(a)
+                digests.append(np.frombuffer(raw, ">u8") >> np.uint64(17) << np.uint64(1))
+            a, c = np.concatenate(anchors), np.concatenate(digests)
+            order = np.lexsort((c, a))
+            a, c = a[order], c[order]
+            same = np.zeros(len(a) + 1, bool)
+            same[1:-1] = a[1:] == a[:-1]
+            again = same[1:] | same[:-1]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            v = c.astype(np.int64) | again
+            yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(v[new])], ["a", "v"])
 
     return run
 
@@ -104,35 +108,37 @@ _SPANS = "a long, c binary, ord long, rk long, start long, n long, body binary"
 
 def _list_spans(units, maps, bits):
     """(ord, rk, text) to the passages of anchors in the first bit map; those in the second keep the anchor, and once a
-    slice the bytes."""
+    batch the bytes."""
+
+    def of(view, orders, keys, often, multi):
+        a, start, count = _runs(units, view)
+        hit = _has(often, a, bits)
+        a, start, count = a[hit], start[hit], count[hit]
+        raw, lo, hi = _digests(view, start, count, units.length, xxhash.xxh3_128_digest)
+        row = np.searchsorted(view.offsets, start, "right") - 1
+        c = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(0, 16 * len(a) + 1, 16, dtype=np.int32)), pa.py_buffer(raw)])
+        need = _has(multi, a, bits)
+        a = np.where(need, a, np.uint64(0))
+        size = np.where(need, hi - lo, 0)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(lo[need] - ends[:-1][need], size[need]) + np.arange(ends[-1])
+        body = pa.Array.from_buffers(
+            pa.binary(), len(a), [pa.py_buffer(np.packbits(need, bitorder="little")), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view.b[at]))]
+        )
+        return [pa.array(a.view(np.int64)), c, pa.array(orders[row]), pa.array(keys[row]), pa.array(start - view.offsets[row]), pa.array(count), body]
 
     def run(batches):
         often, multi = maps.value
         for batch in batches:
             orders, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j, view in _views(units, batch):
-                a, start, count = _runs(units, view)
-                hit = _has(often, a, bits)
-                a, start, count = a[hit], start[hit], count[hit]
-                raw, lo, hi = _digests(view, start, count, units.length, xxhash.xxh3_128_digest)
-                row = np.searchsorted(view.offsets, start, "right") - 1
-                c = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(0, 16 * len(a) + 1, 16, dtype=np.int32)), pa.py_buffer(raw)])
-                need = _has(multi, a, bits)
-                a = np.where(need, a, np.uint64(0))
-                first = np.zeros(len(a), bool)
-                coded = c.dictionary_encode().indices.to_numpy()
-                first[np.unique(coded, return_index=True)[1]] = True
-                need &= first
-                size = np.where(need, hi - lo, 0)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                at = np.repeat(lo[need] - ends[:-1][need], size[need]) + np.arange(ends[-1])
-                body = pa.Array.from_buffers(
-                    pa.binary(), len(a), [pa.py_buffer(np.packbits(need, bitorder="little")), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view.b[at]))]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), c, pa.array(orders[i + row]), pa.array(keys[i + row]), pa.array(start - view.offsets[row]), pa.array(count), body],
-                    ["a", "c", "ord", "rk", "start", "n", "body"],
-                )
+            parts = [of(view, orders[i:j], keys[i:j], often, multi) for i, j, view in _views(units, batch)]
+            if not parts:
+                continue
+            columns = [pa.concat_arrays(c) for c in zip(*parts)]
+            first = np.zeros(len(columns[0]), bool)
+            first[np.unique(columns[1].dictionary_encode().indices.to_numpy(), return_index=True)[1]] = True
+            columns[6] = pc.if_else(pa.array(first), columns[6], pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["a", "c", "ord", "rk", "start", "n", "body"])
 
     return run
 
@@ -177,7 +183,7 @@ def shared_windows(docs: DataFrame, units, index, bits: int = FILTER_BITS, hot:
     # How many passages an anchor has: one row per anchor that has several.
     crowd = firsts.where("body is not null").groupBy("a").agg(F.count("*").alias("m"))
     several = firsts.where("body is not null").join(crowd, "a")
-    alive = several.where(F.col("m") <= hot).repartition("a").sortWithinPartitions("ord", "rk", "start").select("ord", "rk", "start", "n", "body")
+    alive = several.where(F.col("m") <= hot).repartition("a").sortWithinPartitions("ord", "rk", "start").select("ord", "rk", "start", "n", "body", "a")
     alive = alive.mapInArrow(index(units), "ord long, rk long, start long, n long").select("ord", "rk", place)
     crowded = several.where(F.col("m") > hot).select("ord", "rk", "start", "n", "body").mapInArrow(_single_windows(units), "c binary, ord long, rk long, start long")
     crowded = crowded.groupBy("c").agg(_first("ord", "rk", "start")).select("f.*").withColumn("n", F.lit(1)).select("ord", "rk", place)
@@ -210,7 +216,7 @@ def removed_units(units, view, shared, alive) -> np.ndarray:
 def _flat(column):
     """(values, row of each) of a list<long> column; null lists are empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
 
 

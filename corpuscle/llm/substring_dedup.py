@@ -18,15 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Words, unit_grams, word_hashes
+from .anchors import Words, mix, unit_grams, word_hashes
 from .fm_index import FMIndex, matching_windows
 from .pretoken import text_buffers
 from .repeats import deduplicated
 
 WINDOW = 20
 GRAM = 5
-#: Passages are indexed together up to so many words in a shard's task.
-SHARD_WORDS = 3_000_000
+#: A task's passages are indexed some bytes at a time; those of one anchor stay together.
+SHARD_BYTES = 3_000_000
 
 
 class WordUnits:
@@ -82,11 +82,18 @@ def fm_shards(units):
         held = [x for x in batches if x.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
-        b, offsets = text_buffers(table["body"])
-        orders, keys, starts = (table[c].to_numpy() for c in ("ord", "rk", "start"))
-        found = list(survivors(orders, keys, starts, b, offsets, units.length))
-        yield survivor_rows(orders, keys, starts, *(np.concatenate(x) for x in zip(*found))) if found else survivor_rows(orders, keys, starts, *[np.zeros(0, np.int64)] * 2)
+        whole = pa.Table.from_batches(held)
+        parts = -(-whole["body"].nbytes // SHARD_BYTES)
+        shard = mix(whole["a"].to_numpy().view(np.uint64).copy()) % np.uint64(parts)
+        for k in range(parts):
+            table = whole.filter(pa.array(shard == k)).combine_chunks()
+            if not table.num_rows:
+                continue
+            b, offsets = text_buffers(table["body"])
+            orders, keys, starts = (table[c].to_numpy() for c in ("ord", "rk", "start"))
+            found = list(survivors(orders, keys, starts, b, offsets, units.length))
+            passage, window = (np.concatenate(x) for x in zip(*found))
+            yield survivor_rows(orders, keys, starts, passage, window)
 
     return run
 
