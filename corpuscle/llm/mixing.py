@@ -7,7 +7,7 @@ keeping the bucket in which the running sum passes the budget, and splitting onl
 nested levels resolve all 60 bits. No document is sorted, and each level's histogram has at most 4,096 rows
 for each source.
 
-Defined results: null or empty text has size 0 and takes 0; null source is one source, last in order; null
+Defined results: null or empty text has size 0, takes 0 and is not in the mixed rows; null source is one source, last in order; null
 doc_id is an ordinary value; rows that repeat doc_id and text have one hash and are taken or left together
 where they stand on the threshold; an empty table gives an empty result; a clashing column name in docs is
 kept in ``mix`` (own columns carry the prefix ``__m_``).
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0) -> DataFrame:
     rows = sized(docs)
     rows = rows.join(state, rows["source"].eqNullSafe(state[_P + "src"]))
     n = F.col(_P + "whole") + F.when(F.col(_P + "hash") < F.col(_P + "cut"), 1).otherwise(0)
-    rows = rows.withColumn(_P + "n", n.cast("int")).where(F.col(_P + "n") > 0)
+    rows = rows.withColumn(_P + "n", n.cast("int")).where((F.col(_P + "n") > 0) & (F.col(_P + "size") > 0))
     rows = rows.withColumn(_P + "k", F.explode(F.sequence(F.lit(1), F.col(_P + "n"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
