@@ -66,3 +66,8 @@ def half_width(text: Column) -> Column:
     """Full-width letters, digits and the ideographic blank to their half-width forms."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
     return F.translate(text, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
+
+
+def offset(seconds: Column) -> Column:
+    """Seconds into a recording as a day-time interval, to the millisecond."""
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round(seconds, 3).cast("decimal(18,6)"))

@@ -56,3 +56,10 @@ def pair_flags(pairs: DataFrame, a: str, b: str, ratio: float = ABBREVIATED) ->
 def board_flags(pairs: DataFrame, board: str) -> DataFrame:
     """Independent flags per board: all pairs perfect; some pair monolingual; some pair abbreviated."""
     return pairs.groupBy(board).agg(F.bool_and("perfect").alias("perfect"), F.bool_or("monolingual").alias("monolingual"), F.bool_or("abbreviated").alias("abbreviated"))
+
+
+def corrections_count(boards: DataFrame) -> DataFrame:
+    """boards with n_zh_changes and n_en_changes; boards without corrections have 0."""
+    n = lambda side: F.coalesce(F.size(F.col("corrections")[f"{side}_changes"]), F.lit(0)).cast("long")
+    out = boards.withColumns({f"n_{side}_changes": n(side) for side in ("zh", "en")})
+    return out.withColumns({c: F.greatest(c, F.lit(0)) for c in ("n_zh_changes", "n_en_changes")})

@@ -189,3 +189,42 @@ def test_build_all_stages(spark, tmp_path):
     assert all({"zh", "ja", "es", "bg"} <= set(t) for t in rows.values())
     done = readers.progress(spark, str(tmp_path / "out" / "progress")).select(F.col("item").alias("image"))
     assert build(spark, images, lambda c: F.lit("馆"), str(tmp_path / "again"), done=done).count() == 0
+
+
+def test_corrections_and_offsets(spark):
+    from corpuscle import schema
+
+    rows = [(("t", "T"), (["a", "b"], []), []), (None, None, [])]
+    got = grading.corrections_count(spark.createDataFrame(rows, schema.BOARD)).select("n_zh_changes", "n_en_changes").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0), (2, 0)]
+    assert one(spark.sql("SELECT 61.5D AS s").select(X.offset(F.col("s")).alias("x"))).x.total_seconds() == 61.5
+
+
+def test_half_width_and_changes(spark):
+    df = spark.createDataFrame([("ＡＢ１　ｘ", [("B", "C"), ("", "zz"), ("C1", None)])], "t string, c array<struct<before:string,after:string>>")
+    assert one(df.select(X.half_width(F.col("t")).alias("x"))).x == "AB1 x"
+    assert one(df.select(X.apply_changes(X.half_width(F.col("t")), F.col("c")).alias("x"))).x == "A x"
+
+
+def test_glossary_and_speech(spark):
+    docs = spark.createDataFrame([(1, "a bronze vase"), (2, None), (3, "100% b_x")], "k int, text string")
+    assert {tuple(r) for r in reference.glossary_hits(docs, ["bronze", "%", "_"], "k").collect()} == {(1, "bronze"), (3, "%"), (3, "_")}
+    units_ = spark.createDataFrame([("es", 0), ("es", 1), ("bg", 0)], "lang string, ordinal int")
+    seg = spark.createDataFrame([("es", 0, 0.0, 1.5), ("bg", 0, 3.0, 2.0)], "lang string, ordinal int, start_s double, end_s double")
+    assert {(r.lang, r.n, r.aligned, r.rate) for r in coverage.alignment_rate(align.speech(units_, seg), "lang", "aligned").collect()} == {("es", 2, 1, 50.0), ("bg", 1, 0, 0.0)}
+
+
+def test_judge_win_rates_and_self_preference(spark):
+    rows = [("u", 1, 0.9, "a"), ("u", 2, 0.1, "b"), ("v", 1, 0.2, "a"), ("v", 2, 0.3, "b")]
+    df = spark.createDataFrame(rows, "unit string, id int, score double, model string")
+    won = select.judge(df, ["unit"], "score", "id", "model")
+    assert {r.model: (r.n, r.wins) for r in select.win_rates(df, won, ["unit"], "model", "id").collect()} == {"a": (2, 1), "b": (2, 1)}
+    judged = won.withColumns({"lang": F.lit("ja"), "judge": F.lit("a")})
+    assert tuple(one(select.self_preference(judged, "lang", "model", "judge"))) == ("ja", 2, 1)
+
+
+def test_sessions_stream_and_merge(spark):
+    rows = spark.sql("SELECT 'u' AS k, timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,m,0) AS ts FROM VALUES (0), (10), (45), (100) AS v(m)")
+    assert sorted(r.n for r in incremental.sessions(rows, "ts", "k").collect()) == [1, 1, 2]
+    parts = spark.createDataFrame([("a", 2, "x", None), ("a", 1, None, "p"), ("a", 3, "y", "q")], "k string, o int, f string, g string")
+    assert tuple(one(repair.merge_partial(parts, "k", "o"))) == ("a", "x", "p")
