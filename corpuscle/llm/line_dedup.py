@@ -101,8 +101,9 @@ def marked(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES)
     dead = repeated_chunks(docs, divisor, min_lines).select(F.col("ord").alias(p + "ord"), F.col("h").alias(p + "h"), F.col("dead").alias(p + "dead"))
     key = (F.coalesce(docs["doc_id"], F.lit(_LAST)) == dead[p + "ord"]) & (F.xxhash64(docs["text"]) == dead[p + "h"])
     df = chunked(docs.join(dead, key, "left"), divisor).withColumns({p + "dead": F.coalesce(p + "dead", F.array().cast("array<int>"))})
-    kept = F.filter(p + "chunks", lambda c, k: ~F.array_contains(F.col(p + "dead"), k))
-    return df.withColumns({p + "text": F.when(F.size(p + "dead") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))}).drop(p + "ord", p + "h")
+    left = F.array_except(F.sequence(F.lit(0), F.size(p + "chunks") - 1), p + "dead")
+    kept = F.when(F.size(p + "chunks") > 0, F.transform(left, lambda k: F.get(p + "chunks", k)["body"]))
+    return df.withColumns({p + "text": F.when(F.size(p + "dead") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))}).drop(p + "ord", p + "h")
 
 
 def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
@@ -120,7 +121,7 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     p = _P
     df = marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    gone = F.filter(p + "chunks", lambda c, k: F.array_contains(F.col(p + "dead"), k))
+    gone = F.transform(p + "dead", lambda k: F.get(p + "chunks", k))
     return df.select(
         "doc_id",
         F.coalesce(F.aggregate(p + "chunks", F.lit(0), lambda a, c: a + c["n"]), F.lit(0)).cast("long").alias("n_lines"),

@@ -27,23 +27,20 @@ HOST_LIMIT = 0.5
 SOFT_HOST_LIMIT = 0.05
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-_POS_BITS = 25
+_POS_BITS = 12
 _PRE = "__q_"
 
 
-def _repeat_words(w: Column, grams: Column) -> Column:
+def _repeat_words(w: Column, grams: Column, hash_at, pos_at) -> Column:
     """Words covered by 5-word windows that occur at least twice.
 
-    ``grams`` is the sorted array of (hash << 25 | position). Neighbours with equal hashes are compared
-    word by word; if any such pair differs (a hash collision) the exact quadratic form is used instead.
+    ``grams`` is the array of (hash, position) of all windows, sorted. Neighbours with equal hashes are compared word by
+    word; if any such pair differs (a hash collision) the exact quadratic form is used instead.
     """
-    mask = (1 << _POS_BITS) - 1
-    pos = lambda i: F.get(grams, i).bitwiseAND(F.lit(mask)).cast("int")
-    same_hash = lambda i: F.shiftright(F.get(grams, i), _POS_BITS) == F.shiftright(F.get(grams, i + 1), _POS_BITS)
     window = lambda p: F.slice(w, p + 1, WINDOW)
-    pairs = F.filter(F.sequence(F.lit(0), F.size(grams) - 2), same_hash)
-    collided = F.exists(pairs, lambda i: window(pos(i)) != window(pos(i + 1)))
-    fast = F.flatten(F.transform(pairs, lambda i: F.array(pos(i), pos(i + 1))))
+    pairs = F.filter(F.sequence(F.lit(0), F.size(grams) - 2), lambda i: hash_at(i) == hash_at(i + 1))
+    collided = F.exists(pairs, lambda i: window(pos_at(i)) != window(pos_at(i + 1)))
+    fast = F.flatten(F.transform(pairs, lambda i: F.array(pos_at(i), pos_at(i + 1))))
     starts = F.sequence(F.lit(0), F.size(w) - WINDOW)
     slow = F.filter(starts, lambda p: F.exists(starts, lambda q: (q != p) & (window(p) == window(q))))
     hit = F.array_sort(F.array_distinct(F.when(collided, slow).otherwise(fast)))
@@ -65,16 +62,18 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.withColumns({p + "w": words(F.col(text))})
     df = df.withColumns({p + "wh": F.transform(p + "w", lambda x: F.xxhash64(x))})
     gram = lambda i: F.xxhash64(*[F.get(F.col(p + "wh"), i + k) for k in range(WINDOW)])
-    grams = F.when(
-        F.size(p + "w") >= WINDOW,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(p + "w") - WINDOW),
-                lambda i: F.shiftleft(gram(i), _POS_BITS).bitwiseOR(i.cast("long")),
-            )
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumns({p + "g": grams})
+    n = F.size(p + "w")
+    at = F.sequence(F.lit(0), n - WINDOW)
+    # Position and hash share a long, which sorts fast; texts with more windows keep them apart.
+    small = (n >= WINDOW) & (n <= 1 << _POS_BITS)
+    packed = F.sort_array(F.transform(at, lambda i: F.shiftleft(gram(i), _POS_BITS).bitwiseOR(i.cast("long"))))
+    apart = F.sort_array(F.transform(at, lambda i: F.struct(gram(i).alias("h"), i.alias("p"))))
+    df = df.withColumns({p + "g": F.when(small, packed), p + "long": F.when(n > 1 << _POS_BITS, apart)})
+    g, big = F.col(p + "g"), F.col(p + "long")
+    mask = (1 << _POS_BITS) - 1
+    in_small = _repeat_words(F.col(p + "w"), g, lambda i: F.shiftright(F.get(g, i), _POS_BITS), lambda i: F.get(g, i).bitwiseAND(F.lit(mask)).cast("int"))
+    in_big = _repeat_words(F.col(p + "w"), big, lambda i: F.get(big, i)["h"], lambda i: F.get(big, i)["p"])
+    repeat = F.when(big.isNotNull(), in_big).when(g.isNotNull(), in_small).otherwise(F.lit(0).cast("long"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")) > 0)
     df = df.withColumns({p + "lines": lines})
     df = df.withColumns(
@@ -84,7 +83,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             p + "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
             p + "n_lines": F.size(p + "lines").cast("long"),
             p + "n_dup_lines": (F.size(p + "lines") - F.size(F.array_distinct(p + "lines"))).cast("long"),
-            p + "n_repeat_words": _repeat_words(F.col(p + "w"), F.col(p + "g")),
+            p + "n_repeat_words": repeat,
         }
     )
     n = F.col(p + "n_words")
@@ -94,7 +93,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             p + "soft": (100 * F.col(p + "n_symbols") > MAX_SYMBOL_PERCENT * n)
             | (100 * F.col(p + "n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col(p + "n_lines")),
         }
-    ).drop(*[p + c for c in ("w", "wh", "g", "lines")])
+    ).drop(*[p + c for c in ("w", "wh", "g", "long", "lines")])
 
 
 def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:

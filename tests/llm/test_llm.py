@@ -478,3 +478,69 @@ def test_query_against_sql(spark, name):
     cell = lambda x: round(x, 6) if isinstance(x, float) else x
     key = lambda rows: sorted(([cell(x) for x in r] for r in rows), key=repr)
     assert key(df.collect()) == key(cur.fetchall())
+
+
+# The pipeline ----------------------------------------------------------------------------------------------------
+
+
+def mix_brute(rows):
+    """rows of (doc_id, text, source) as often as the mix takes them."""
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    out = []
+    for s, target in targets(dict(sizes)).items():
+        mine = [r for r in rows if r[2] == s]
+        whole = math.floor(target / sizes[s]) if sizes[s] else 0
+        rest = target - whole * sizes[s]
+        digest = lambda r: int(hashlib.md5(f"{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
+        groups = defaultdict(list)
+        for r in mine:
+            groups[digest(r)].append(r)
+        upto, more = 0, set()
+        for h in sorted(groups):
+            own = sum(len(words(r[1])) for r in groups[h])
+            if upto > rest:
+                break
+            last = not any(g > h for g in groups) or upto + own > rest
+            if not last or (rest > 0 and abs(upto + own - rest) <= abs(upto - rest)):
+                more.add(h)
+            upto += own
+        for r in mine:
+            if words(r[1]):
+                out += [r] * (whole + (digest(r) in more))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    cp = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    rows = [(d, t, f"s{rng.randrange(4)}") for d, t in corpus(9, 80) if d is not None]
+    boiler = "\n".join(f"shared line {i} of many words to keep" for i in range(30))
+    rows += [(5000 + k, f"{boiler}\nown text number {k} " + " ".join(f"q{k}x{j}" for j in range(30)), "s1") for k in range(6)]
+    rows = [r for k, r in enumerate(rows) if r[0] not in {q[0] for q in rows[:k]}]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = cp.run(spark, str(tmp_path)).collect()
+
+    facts = {d: quality_brute(t) for d, t, _ in rows}
+    lines = {d: [x for x in (t or "").split("\n") if words(x)] for d, t, _ in rows}
+    soft = {d: 100 * f[2] > 10 * f[0] or 100 * f[3] > 30 * len(lines[d]) for d, f in facts.items()}
+    hosts = defaultdict(list)
+    for d, _, s in rows:
+        hosts[s].append(facts[d][5] or soft[d])
+    rates = [sum(h) / len(h) for h in hosts.values()]
+    m = sum(rates) / len(rates)
+    v = sum((x - m) ** 2 for x in rates) / len(rates)
+    strength = m * (1 - m) / v - 1 if v > 0 and m * (1 - m) > v else 2.0
+    rate = {s: (sum(h) + strength * m) / (len(h) + strength) for s, h in hosts.items()}
+    now = [r for r in rows if not (facts[r[0]][5] or rate[r[2]] > 0.5 or (soft[r[0]] and rate[r[2]] > 0.05))]
+    cut = [(r, "\n".join(c)) for r, c in zip(now, lines_brute([r[:2] for r in now]))]
+    now = [(r[0], t, r[2]) for r, t in cut if t == r[1] or t]
+    classes = near_classes([(d, t) for d, t, _ in now])
+    now = [r for r, c in zip(now, classes) if r[0] == c]
+    enc = tiktoken_own()
+    want = []
+    for d, t, _ in mix_brute(now):
+        ids = np.array(enc.encode_ordinary(t), "<u4")
+        want.append((d, len(ids), sha(ids.tobytes()), sha(t.encode())))
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 20
