@@ -66,6 +66,10 @@ def _bags(b: np.ndarray, offsets: np.ndarray, bits: int = 52):
     return (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1), count
 
 
+def _times(k: int, m: int) -> np.uint64:
+    return np.uint64(k * int(M[m]) & 0xFFFFFFFFFFFFFFFF)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """(0, 1] from the upper bits."""
     return ((x >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
@@ -89,18 +93,18 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
             t, w = t0[on], w0[on]
             rate = float(max(1, floor))
             # The stream of the process of (shingle, block).
-            seed = mix(d0[on] * M[0] + np.uint64(block + 1) * M[1])
+            seed = mix(d0[on] * M[0] + _times(block + 1, 1))
             winner = seed >> np.uint64(32)
             time, k = np.zeros(len(t)), 0
             while len(t):
                 k += 1
-                x = mix(seed + np.uint64(k) * M[2])
+                x = mix(seed + _times(k, 2))
                 time = time - np.log(_uniform(x)) / rate
                 live = time <= horizon[t]
                 t, w, seed, winner, time = t[live], w[live], seed[live], winner[live], time[live]
                 if not len(t):
                     break
-                y = mix(seed ^ (np.uint64(k) * M[3]))
+                y = mix(seed ^ _times(k, 3))
                 at = t * size + ((y & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
                 value = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | winner
                 if floor > 1:
@@ -303,17 +307,18 @@ def _missed(member: DataFrame, sigs: DataFrame, texts: DataFrame, classes: DataF
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """docs with ``__n_class`` (least doc_id of the class, null if it has none), ``__n_size`` and ``__n_first``:
-    how many rows are the class's first, null for the others."""
+    """docs with ``__n_class`` (least doc_id of the class, null if it has none), ``__n_size``, ``__n_first`` (whether the
+    row is the class's first), ``__n_same`` (rows that repeat its doc_id and text, if it is) and ``__n_own``, their key."""
     p = _P
     classes = text_classes(docs.select("doc_id", "text"))
     body = F.col("text")
     some = F.coalesce(F.rlike(body, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64("doc_id", "text").alias("r"), F.unhex(F.md5("text")).alias("k"), some.alias("s")).where("s")
     own = own.join(classes, F.col("k") == F.col("node"), "left").withColumn("c", F.coalesce("component", "k"))
-    by = own.groupBy("c", "k").agg(F.min(F.struct("o", "r")).alias("f"), F.count("*").alias("n"))
+    rows_of = own.groupBy("c", "k", "o", "r").agg(F.count("*").alias("m"))
+    by = rows_of.groupBy("c", "k").agg(F.min(F.struct("o", "r", "m")).alias("f"), F.sum("m").alias("n"))
     total = by.groupBy("c").agg(F.min("f").alias("f"), F.sum("n").alias("n"))
-    of = materialise(by.select("c", F.col("k").alias(p + "k")).join(total, "c").select(p + "k", F.col("f.o").alias(p + "o"), F.col("f.r").alias(p + "r"), F.col("n").alias(p + "n")), "near-classes")
+    of = materialise(by.select("c", F.col("k").alias(p + "k")).join(total, "c").select(p + "k", F.col("f.o").alias(p + "o"), F.col("f.r").alias(p + "r"), F.col("f.m").alias(p + "m"), F.col("n").alias(p + "n")), "near-classes")
     key = F.when(some, F.unhex(F.md5(docs["text"])))
     rows = docs.join(of, key == of[p + "k"], "left")
     ord_, rk = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(docs["doc_id"], docs["text"])
@@ -323,9 +328,10 @@ def classified(docs: DataFrame) -> DataFrame:
             p + "class": F.when(alone, F.col("doc_id").cast("long")).otherwise(F.nullif(p + "o", F.lit(_LAST))),
             p + "size": F.when(alone, F.lit(1)).otherwise(F.col(p + "n")).cast("long"),
             p + "first": alone | ((ord_ == F.col(p + "o")) & (rk == F.col(p + "r"))),
-            p + "own": F.when(~alone, rk),
+            p + "same": F.when(alone, F.lit(1)).otherwise(F.col(p + "m")),
+            p + "own": rk,
         }
-    ).drop(p + "k", p + "o", p + "r", p + "n")
+    ).drop(p + "k", p + "o", p + "r", p + "n", p + "m")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -333,9 +339,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     p = _P
     rows = classified(docs).where(F.col(p + "first"))
     # Rows that repeat doc_id and text stand for the same first row: one of them is kept.
-    again = docs.groupBy(F.xxhash64("doc_id", "text").alias(p + "x")).agg(F.count("*").alias("n")).where("n > 1").select(p + "x")
-    often = rows.join(again, F.col(p + "own") == F.col(p + "x"), "left_semi").dropDuplicates([p + "own"])
-    once = rows.join(again, F.col(p + "own") == F.col(p + "x"), "left_anti")
+    once = rows.where(F.col(p + "same") == 1)
+    often = rows.where(F.col(p + "same") > 1).dropDuplicates([p + "own"])
     return once.unionByName(often).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
