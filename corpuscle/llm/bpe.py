@@ -30,7 +30,7 @@ CHUNK = 32_768  # bytes
 OVERLAP = 1_024
 #: Matches that start so near to a chunk's end might go on differently in the whole text.
 MARGIN = 8
-SLICE = 4_000_000
+SLICE = 2_000_000
 _IDS = "doc_id long, n_tokens long, ids binary"
 _cache: dict[str, object] = {}
 

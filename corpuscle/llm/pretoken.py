@@ -138,7 +138,7 @@ def slices(offsets: np.ndarray, most: int):
 class PieceEncoder:
     """Encodes batches of texts: each distinct pre-token once per batch, with a bounded memory of frequent ones."""
 
-    def __init__(self, encode_pieces, encode_text, remember: int = 150_000):
+    def __init__(self, encode_pieces, encode_text, remember: int = 100_000):
         self.encode_pieces, self.encode_text, self.remember = encode_pieces, encode_text, remember
         self.known: dict[bytes, list[int]] = {}
 
