@@ -269,7 +269,9 @@ def near_vectors(rows: DataFrame, limit: float = LIMIT, lead: int = LEAD, block:
     blocks = materialise(blocks, "ego-blocks")
     pairs = block_pairs(blocks, epsilon)
     side = lambda s: blocks.select(F.col("block").alias("block_" + s), *([F.col("dim")] if s == "x" else []), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "data")])
-    work = pairs.join(side("x"), "block_x").join(side("y"), "block_y")
+    # Every block has about as many partners as any other of its cells, so hashing blocks deals the work evenly.
+    work = pairs.repartition("block_x").join(side("x").repartition("block_x"), "block_x")
+    work = work.repartition("block_y").join(side("y").repartition("block_y"), "block_y")
     work = work.select("dim", (F.col("block_x") == F.col("block_y")).alias("same"), *[c + s for s in "xy" for c in ("ids_", "counts_", "data_")])
     found = materialise(work.mapInArrow(_join(axes, limit), "kind long, a long, b long"), "ego-links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("l_node")).agg(F.sum("b").alias("links"))
