@@ -217,6 +217,7 @@ def test_bpe_round_trip(spark, chunk, overlap):
     rows = [(k, t) for k, t in enumerate(odd_texts(60, 1))] + corpus(2, 20) + [(800, "x" * 5000), (801, "a" * 70 + " b" * 200), (802, " " * 700 + "y")]
     path = P.path("byte_bpe_50k.tiktoken")
     got = bpe.decode(bpe.encode(table(spark, rows), path, P.PATTERN, chunk, overlap), path).collect()
+    assert sorted(map(str, got)) == sorted(map(str, bpe.round_trip(table(spark, rows), path, P.PATTERN, chunk, overlap).collect()))
     want = sorted((order(d), enc.encode_ordinary(t or ""), t or "") for d, t in rows)
     assert sorted((order(r.doc_id), np.frombuffer(r.ids, "<u4").tolist(), bytes(r.bytes).decode()) for r in got) == want
     assert all(r.n_tokens * 4 == len(r.ids) for r in got)
