@@ -16,6 +16,8 @@ Order is (doc_id, null last; hash of doc_id and text; start), so rows that repea
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship
+from ..session import materialise, release, ship
 from .anchors import anchor_runs
 from .pretoken import slices, text_buffers
 
 SLICE = 1_000_000
 FILTER_BITS = 27
+CHUNK_BITS = 19
 HOT = 50_000
 _LAST = (1 << 63) - 1
 
@@ -84,18 +87,42 @@ def _list_anchors(units):
     return run
 
 
+def _pack_bits(size: int):
+    """(chunk, at, multi) to one row per chunk of 2**size bits: both bit maps, compressed."""
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunk, at, multi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            order = np.argsort(chunk, kind="stable")
+            chunk, at, multi = chunk[order], at[order], multi[order]
+            cuts = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                maps = held.setdefault(int(chunk[s]), np.zeros((2, 1 << size), bool))
+                maps[0, at[s:e]] = True
+                maps[1, at[s:e][multi[s:e]]] = True
+        for chunk, maps in held.items():
+            raw = [zlib.compress(np.packbits(m, bitorder="little").tobytes(), 1) for m in maps]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], ["chunk", "often", "multi"])
+
+    return run
+
+
 def _bit_maps(anchors: DataFrame, bits: int):
-    """(often, multi) as packed bits. At most 2**bits / 64 rows reach the driver, however many anchors there are."""
-    at = F.col("a").bitwiseAND(F.lit((1 << bits) - 1))
+    """(often, multi) as packed bits, 2**bits each: what reaches the driver has that size, however many anchors there are."""
+    size = min(bits, CHUNK_BITS)
     by = anchors.groupBy("a").agg(F.count("*").alias("n"), F.max(F.col("v").bitwiseAND(F.lit(1))).alias("again"), F.min(F.shiftright("v", 1)).alias("lo"), F.max(F.shiftright("v", 1)).alias("hi"))
     by = by.where((F.col("n") > 1) | (F.col("again") == 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    words = by.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("often"), F.bit_or(F.when(F.col("lo") != F.col("hi"), bit).otherwise(F.lit(0))).alias("multi"))
-    got = words.toArrow()
-    out = np.zeros((2, 1 << (bits - 6)), np.int64)
-    w = got["w"].to_numpy()
-    out[0, w], out[1, w] = got["often"].to_numpy(), got["multi"].to_numpy()
-    return out.view(np.uint64)
+    at = F.col("a").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = by.select(F.shiftright(at, size).alias("chunk"), at.bitwiseAND(F.lit((1 << size) - 1)).alias("at"), (F.col("lo") != F.col("hi")).alias("multi"))
+    got = rows.repartition("chunk").mapInArrow(_pack_bits(size), "chunk long, often binary, multi binary").toArrow()
+    out = np.zeros((2, max(1, 1 << (bits - 6))), np.uint64)
+    step = (1 << size) // 64
+    for row in got.to_pylist():
+        for k, name in enumerate(("often", "multi")):
+            out[k, row["chunk"] * step : (row["chunk"] + 1) * step] = np.frombuffer(zlib.decompress(row[name]), "<u8")
+    release(anchors.sparkSession)
+    return out
 
 
 def _has(words, a, bits):
@@ -180,14 +207,19 @@ def shared_windows(docs: DataFrame, units, index, bits: int = FILTER_BITS, hot:
     firsts = spans.groupBy("a", "c").agg(_first("ord", "rk", "start", "n"), F.max("body").alias("body"))
     firsts = materialise(firsts.select("a", "f.*", "body"), "firsts")
     alone = firsts.where("body is null").select("ord", "rk", place)
-    # How many passages an anchor has: one row per anchor that has several.
-    crowd = firsts.where("body is not null").groupBy("a").agg(F.count("*").alias("m"))
-    several = firsts.where("body is not null").join(crowd, "a")
-    alive = several.where(F.col("m") <= hot).repartition("a").sortWithinPartitions("ord", "rk", "start").select("ord", "rk", "start", "n", "body", "a")
-    alive = alive.mapInArrow(index(units), "ord long, rk long, start long, n long").select("ord", "rk", place)
-    crowded = several.where(F.col("m") > hot).select("ord", "rk", "start", "n", "body").mapInArrow(_single_windows(units), "c binary, ord long, rk long, start long")
-    crowded = crowded.groupBy("c").agg(_first("ord", "rk", "start")).select("f.*").withColumn("n", F.lit(1)).select("ord", "rk", place)
-    kept = alone.unionByName(alive).unionByName(crowded)
+    several = firsts.where("body is not null")
+    kept = alone
+    # Anchors with very many passages: one row each, and mostly none at all.
+    crowd = several.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("a")
+    if crowd.limit(1).count():
+        crowd = materialise(crowd, "crowded-anchors")
+        alive = several.join(crowd, "a", "left_semi").select("ord", "rk", "start", "n", "body").mapInArrow(_single_windows(units), "c binary, ord long, rk long, start long")
+        alive = alive.groupBy("c").agg(_first("ord", "rk", "start")).select("f.*").withColumn("n", F.lit(1))
+        kept = kept.unionByName(alive.select("ord", "rk", place))
+        several = several.join(crowd, "a", "left_anti")
+    alive = several.repartition("a").sortWithinPartitions("ord", "rk", "start").select("ord", "rk", "start", "n", "body", "a")
+    alive = alive.mapInArrow(index(units), "ord long, rk long, start long, n long")
+    kept = kept.unionByName(alive.select("ord", "rk", place))
     both = spans.select("ord", "rk", place, F.lit(True).alias("s")).unionByName(kept.withColumn("s", F.lit(False)))
     return both.groupBy("ord", "rk").agg(
         F.collect_list(F.when(F.col("s"), F.col("at"))).alias("shared"), F.collect_list(F.when(~F.col("s"), F.col("at"))).alias("alive")
