@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -30,7 +30,7 @@ from .pretoken import PieceEncoder, slices, text_buffers
 MAGIC = b"TOKSHRD1"
 #: magic, documents, null doc_ids at the end, ids, bytes for each id, smallest doc_id.
 HEAD = struct.Struct("<8sQQQBq")
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 END_ID = 0
 
 
@@ -144,25 +144,26 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids:
 
 def read(shards: DataFrame) -> DataFrame:
     """One row per document, from the written shards alone: doc_id, start (ids of all before it), n_tokens, ids_crc32."""
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # One row per range partition, whose number is a setting.
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = parts.select(F.col("part").alias("p"), before.alias("before"))
-    rows = shards.join(base, F.col("part") == F.col("p")).select((F.col("before") + F.col("first")).alias("base"), "shard")
+    # One number per range partition, whose count is a setting; the shards themselves stay where they are.
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+    before, total = {}, 0
+    for part, n in sorted(map(tuple, parts)):
+        before[part], total = total, total + n
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                shard = Shard(batch.column(1)[k].as_buffer())
+                shard = Shard(batch.column(2)[k].as_buffer())
+                base = before[batch.column(0)[k].as_py()] + batch.column(1)[k].as_py()
                 start, end = shard.bounds(np.arange(shard.n_docs))
                 wide = shard.ids.astype("<u4")
                 crc = [zlib.crc32(wide[s:e]) for s, e in zip(start.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [shard.doc_ids(), pa.array(start + batch.column(0)[k].as_py()), pa.array(end - start), pa.array(crc, pa.int64())],
+                    [shard.doc_ids(), pa.array(start + base), pa.array(end - start), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "first", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
