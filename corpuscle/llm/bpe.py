@@ -193,10 +193,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     return short.unionByName(encode_long(docs.where(long).select(F.col("doc_id").cast("long"), "text"), shared, pattern, chunk, overlap))
 
 
-def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
-    """coded with ``bytes``: the raw bytes of each row's ids."""
-    shared = read_file(coded.sparkSession, ranks_path)
-    at = coded.columns.index("ids")
+def _decode_batches(shared, at: int):
+    """Batches with ids in column ``at`` to the same with ``bytes`` behind."""
 
     def run(batches):
         table = _vocabulary(shared)
@@ -211,13 +209,29 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
                 out = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), data])
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns], out], [*batch.schema.names, "bytes"])
 
+    return run
+
+
+def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
+    """coded with ``bytes``: the raw bytes of each row's ids."""
+    shared = read_file(coded.sparkSession, ranks_path)
     schema = T.StructType([*coded.schema, T.StructField("bytes", T.BinaryType())])
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(_decode_batches(shared, coded.columns.index("ids")), schema)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """decode(encode(docs)), where texts of one chunk are decoded in the task that encoded them."""
+    shared = read_file(docs.sparkSession, ranks_path)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    long = F.coalesce(F.octet_length("text"), F.lit(0)) > chunk
+    there, back = _encode_batches(shared, pattern), _decode_batches(shared, 2)
+    short = docs.where(~long).mapInArrow(lambda batches: back(there(batches)), _IDS + ", bytes binary")
+    return short.unionByName(decode(encode_long(docs.where(long), shared, pattern, chunk, overlap), ranks_path))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return decode(encode(docs, ranks_path, pattern), ranks_path).select(
+    return round_trip(docs, ranks_path, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )
 
