@@ -24,13 +24,16 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from . import elias_fano
-from .bpe import SLICE, _cache, read_file
+from .bpe import _cache, read_file
 from .pretoken import PieceEncoder, slices, text_buffers
 
 MAGIC = b"TOKSHRD1"
 #: magic, documents, null doc_ids at the end, ids, bytes for each id, smallest doc_id.
 HEAD = struct.Struct("<8sQQQBq")
 SHARD_IDS = 2_000_000
+#: Bytes of text encoded together, and pre-tokens remembered between: here a new pre-token costs most.
+SLICE = 8_000_000
+REMEMBER = 300_000
 END_ID = 0
 
 
@@ -85,7 +88,7 @@ def _encoder(shared) -> tuple[PieceEncoder, int]:
         model = tok.model
         one = lambda p: [t.id for t in model.tokenize(p.decode("latin-1").translate(names))]
         width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
-        _cache[key] = PieceEncoder(lambda ps: [one(p) for p in ps], lambda t: tok.encode(t, add_special_tokens=False).ids), width
+        _cache[key] = PieceEncoder(lambda ps: [one(p) for p in ps], lambda t: tok.encode(t, add_special_tokens=False).ids, REMEMBER), width
     return _cache[key]
 
 
