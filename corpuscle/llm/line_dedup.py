@@ -118,6 +118,59 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
     return df.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
 
 
+def _pairs(text: Column, value) -> Column:
+    """value(line, next line) of each line that has a next one."""
+    pairs = lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - 2), lambda i: value(F.get(ls, i), F.get(ls, i + 1)))
+    return _let(F.split(text, "\n"), lambda ls: F.when(F.size(ls) > 1, pairs(ls)))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(ord, h, dead): for each document that has any, the first lines of the pairs of lines that occur earlier.
+
+    As ``repeated_chunks``, but digests travel without bytes first, since each line is in two pairs: only the
+    documents and positions of repeated digests are then read again with their bytes.
+    """
+    docs = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), F.xxhash64("text").alias("h"), "text")
+    digests = _pairs(docs["text"], lambda a, b: F.struct(F.xxhash64(a, b).alias("d1"), F.xxhash64(F.lit(1), a, b).alias("d2")))
+    ids = docs.select("ord", "h", F.posexplode(digests).alias("i", "d")).select("ord", "h", "i", "d.d1", "d.d2")
+    often = ids.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
+    at = ids.join(often, ["d1", "d2"], "left_semi").groupBy("ord", "h").agg(F.collect_set(F.struct("i", "d1", "d2")).alias("at"))
+    at = at.select(F.col("ord").alias("o"), F.col("h").alias("g"), "at")
+    two = lambda ls: F.transform("at", lambda x: F.struct(x["i"].alias("i"), x["d1"].alias("d1"), x["d2"].alias("d2"), F.concat_ws("\n", F.get(ls, x["i"]), F.get(ls, x["i"] + 1)).alias("body")))
+    met = docs.join(at, (docs["ord"] == at["o"]) & (docs["h"] == at["g"]))
+    held = materialise(met.select("ord", "h", F.explode(_let(F.split("text", "\n"), two)).alias("x")).select("ord", "h", "x.*"), "line-pairs")
+    firsts = held.groupBy("d1", "d2", F.col("body").alias("first_body")).agg(F.min(F.struct("ord", "i")).alias("first"))
+    dead = held.join(firsts, ["d1", "d2"]).where((F.col("body") == F.col("first_body")) & (F.struct("ord", "i") > F.col("first")))
+    return dead.groupBy("ord", "h").agg(F.collect_set("i").alias("dead"))
+
+
+def run_marked(docs: DataFrame) -> DataFrame:
+    """docs with ``__l_lines``, ``__l_dead`` (numbers of removed lines) and ``__l_text`` (what stays).
+
+    The whole job, without cuts by content: a line goes where it lies in a run of two lines or more whose bytes
+    occur earlier. Such a run is a chain of pairs of lines, so pairs find every run, whatever surrounds it.
+    """
+    p = _P
+    dead = repeated_pairs(docs).select(F.col("ord").alias(p + "ord"), F.col("h").alias(p + "h"), F.col("dead").alias(p + "dead"))
+    key = (F.coalesce(docs["doc_id"], F.lit(_LAST)) == dead[p + "ord"]) & (F.xxhash64(docs["text"]) == dead[p + "h"])
+    both = F.array_distinct(F.flatten(F.transform(p + "dead", lambda i: F.array(i, i + 1))))
+    df = docs.join(dead, key, "left").withColumns({p + "lines": F.split("text", "\n"), p + "dead": F.coalesce(both, F.array().cast("array<int>"))})
+    left = F.array_except(F.sequence(F.lit(0), F.size(p + "lines") - 1), p + "dead")
+    kept = F.when(F.size(p + "lines") > 0, F.transform(left, lambda k: F.get(p + "lines", k)))
+    return df.withColumns({p + "text": F.when(F.size(p + "dead") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))}).drop(p + "ord", p + "h")
+
+
+def op6_line_runs(spark, sf_dir: str) -> DataFrame:
+    p = _P
+    df = run_marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return df.select(
+        "doc_id",
+        F.coalesce(F.size(p + "lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.size(p + "dead").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(p + "text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     p = _P
     df = marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
@@ -144,3 +197,15 @@ o AS (SELECT rn, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (dead), 0)::B
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN o ON o.rn = d.rn
 """
+
+OP6_RUNS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rn, coalesce(doc_id, 9223372036854775807) AS ord, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
+p AS (SELECT *, lead(line) OVER (PARTITION BY rn ORDER BY i) AS after FROM l),
+f AS (SELECT *, after IS NOT NULL AND (ord, i) > min((ord, i)) OVER (PARTITION BY line, after) AS dead FROM p),
+g AS (SELECT *, dead OR coalesce(lag(dead) OVER (PARTITION BY rn ORDER BY i), false) AS gone FROM f),
+o AS (SELECT rn, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+             string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY rn)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o ON o.rn = d.rn
+"""

@@ -6,7 +6,7 @@ from .bagminhash import op9_near_dedup
 from .bpe import op3_bpe_round_trip
 from .ego_join import op4_near_vectors
 from .licences import OP7_SQL, op7_licence_scan
-from .line_dedup import OP6_SQL, op6_line_dedup
+from .line_dedup import OP6_RUNS_SQL, OP6_SQL, op6_line_dedup, op6_line_runs
 from .mixing import OP2_SQL, op2_mix_sources
 from .quality import OP10_SQL, op10_quality_rules
 from .substring_dedup import op1_substring_dedup
@@ -35,3 +35,7 @@ ORACLE_SQL = {
     "op7_licence_scan": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
+
+#: Whole forms of operators above whose results their SQL fixes.
+WHOLE = {"op6_line_runs": op6_line_runs}
+WHOLE_SQL = {"op6_line_runs": OP6_RUNS_SQL}

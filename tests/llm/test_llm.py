@@ -367,6 +367,26 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, EMPTY)).count() == 0
 
 
+def test_line_runs(spark):
+    rng = random.Random(8)
+    pool = [f"line {i}" for i in range(60)]
+    blocks = [[rng.choice(pool) for _ in range(n)] for n in (2, 3, 4, 12)]
+    rows = []
+    for k in range(50):
+        ls = [f"own {k} {i}" for i in range(rng.randint(0, 6))]
+        for b in rng.sample(blocks, rng.randint(0, 2)):
+            at = rng.randint(0, len(ls))
+            ls[at:at] = b
+        rows.append((k, "\n".join(ls)))
+    rows += [(900, None), (901, ""), (None, rows[3][1]), (902, "\n\n\n"), (903, "x\n" * 3000), (904, "only line 1"), (905, "only line 1"), rows[7]]
+    got = line_dedup.run_marked(table(spark, rows)).select("doc_id", F.col("__l_text").alias("t")).collect()
+    units = [tuple(t.split("\n")) if t is not None else () for _, t in rows]
+    gone = removed([(order(d), u) for (d, _), u in zip(rows, units)], 2)
+    want = [(order(d), None if t is None else "\n".join(x for x, g in zip(u, dead) if not g)) for (d, t), u, dead in zip(rows, units, gone)]
+    assert sorted(((order(r.doc_id), r.t) for r in got), key=repr) == sorted(want, key=repr)
+    assert line_dedup.run_marked(table(spark, EMPTY)).count() == 0
+
+
 # Operator 7 ------------------------------------------------------------------------------------------------------
 
 
