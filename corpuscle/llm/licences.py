@@ -12,7 +12,10 @@ whatever their names.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import os
+import re
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ SPELLINGS = (
     ("version 2.0", "version 2"),
 )
 
-# Texts of well-known licences and of the short notices that stand for them.
+# Texts of well-known licences and of the short notices that stand for them; the SQL knows these.
 KNOWN = (
     ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "notice", "Released under the MIT License."),
@@ -60,6 +63,36 @@ KNOWN = (
     ),
 )
 
+#: Bodies of licences with the titles they go under, and the wording of notices; ``known_texts`` makes the catalogue of them.
+DATA = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts.json")
+
+
+def _bodies(body: str) -> set[str]:
+    """The body as it is, and without its usual optional parts: appendix, address of the publisher, item marks."""
+    ends = re.search(r"(?m)^\W*END OF TERMS AND CONDITIONS\W*$", body)
+    out = {body} | ({body[: ends.start()], body[: ends.end()]} if ends else set())
+    out |= {re.sub(r"\A([^\n]*\n)[ \t]*\d+ Franklin[^\n]*\n", r"\1", x) for x in out}
+    if body.startswith("Redistribution and use"):
+        bare = re.sub(r"(?m)^[ \t]*[1-4][.)][ \t]+", "", body)
+        marks = iter(range(1, 9))
+        out |= {bare, re.sub(r"(?m)^\W*(?=Redistributions |Neither )", lambda _: f"\n{next(marks)}. ", bare)}
+        out |= {"All rights reserved.\n" + x for x in out}
+    return out
+
+
+@cache
+def known_texts() -> tuple[tuple[str, str, str], ...]:
+    """(licence, kind, text): KNOWN and the data file, each body under each of its titles and under none."""
+    with open(DATA, encoding="utf-8") as f:
+        data = json.load(f)
+    rows = dict.fromkeys(KNOWN)
+    for x in data["texts"]:
+        rows |= dict.fromkeys((x["licence"], "text", f"{title}\n\n{body}") for title in ["", *x["titles"]] for body in sorted(_bodies(x["body"])))
+    for licence, names in data["notice_names"].items():
+        rows |= dict.fromkeys((licence, "notice", form.format(name)) for form in data["notice_forms"] for name in names)
+    return (*rows, *((x, "notice", f"SPDX-License-Identifier: {x}") for x in data["spdx"]))
+
+
 #: A whole line that opens with a copyright mark or year.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -75,9 +108,9 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def catalogue(spark: SparkSession, known=KNOWN) -> DataFrame:
+def catalogue(spark: SparkSession, known=None) -> DataFrame:
     """(kind, digest, licence): one row per known digest and kind."""
-    rows = spark.createDataFrame(list(known), "licence string, kind string, text string")
+    rows = spark.createDataFrame(list(known_texts() if known is None else known), "licence string, kind string, text string")
     return rows.groupBy("kind", digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
@@ -94,7 +127,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     # A global aggregate: exactly one row, of the size of the catalogue, joins to every document.
     rows = docs.select("doc_id", digest(F.col("text")).alias("text_digest"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), digest).alias("__v_lines"))
     rows = rows.crossJoin(F.broadcast(notices))
-    hits = F.filter(F.transform("__v_lines", lambda d: F.get(F.map_values(F.map_filter("__v_map", lambda k, v: k == d)), F.lit(0))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform("__v_lines", lambda d: F.try_element_at("__v_map", d)), lambda x: x.isNotNull())
     rows = rows.select("doc_id", "text_digest", hits.alias("__v_hits"))
     return rows.join(texts, rows["text_digest"] == texts["__v_digest"], "left").select(
         "doc_id",

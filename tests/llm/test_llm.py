@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -399,6 +400,20 @@ def test_licences(spark):
     assert licences.scan(table(spark, EMPTY)).count() == 0
 
 
+def test_licences_of_the_whole_catalogue(spark):
+    mit = next(t for n, k, t in licences.KNOWN if (n, k) == ("MIT", "text"))
+    bare = mit.removeprefix("MIT License\n\n")
+    rows = [(1, bare), (2, "The MIT License (MIT)\n\n" + bare), (3, bare + " more"), (4, "Licensed under the Mozilla Public License, Version 2.0\nSPDX-License-Identifier: BSD-3-Clause")]
+    want = {1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, "BSD-3-Clause,MPL-2.0")}
+    for k, x in enumerate(json.load(open(licences.DATA, encoding="utf-8"))["texts"]):
+        for j, title in enumerate(["", *x["titles"]]):
+            rows.append((100 + 10 * k + j, title + "\nCopyright (c) 2021 Someone\n" + x["body"].replace("\n", "\n   ")))
+            want[100 + 10 * k + j] = (x["licence"], "")
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(table(spark, rows)).collect()}
+    assert got == want
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC-BY-SA-4.0"} <= {x for x, _ in want.values()}
+
+
 # Operator 9 ------------------------------------------------------------------------------------------------------
 
 
