@@ -38,3 +38,10 @@ def test_query(spark, duck, name):
     names = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(names)
     assert plain(got, df.columns) == plain(cur.fetchall(), names)
+
+
+def test_whole_texts_are_translated(spark):
+    want = {str(r.doc_id): r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = catalogue.QUERIES["hook_translate_judge"](spark, SF).collect()
+    assert len(got) == 3 * len(want) and max(map(len, want.values())) > 40
+    assert all(r.text.split(":", 2)[2] == want[r.unit_id] for r in got)
