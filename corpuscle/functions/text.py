@@ -40,7 +40,9 @@ def apply_changes(text: Column, changes: Column) -> Column:
 
 def only_cleaned(before: Column, after: Column, bound: Column) -> Column:
     """Whether ``after`` differs from ``before`` by at most ``bound`` edits: cleaned, not rewritten."""
-    return F.levenshtein(before, after) <= bound
+    # Equal texts and lengths too far apart need no table of edits; beyond the bound levenshtein stops, with -1.
+    far = F.abs(F.length(before) - F.length(after)) > bound
+    return F.when(before == after, bound >= 0).when(far, False).otherwise(F.call_function("levenshtein", before, after, bound) >= 0)
 
 
 def keeps_text(paragraph: Column, parts: Column) -> Column:

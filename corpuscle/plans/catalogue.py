@@ -418,6 +418,16 @@ def clean_not_rewrite(spark, sf):
     )
 
 
+@query()
+def clean_not_rewrite_whole(spark, sf):
+    """As clean_not_rewrite, whose SQL compares only the first 60 characters, over whole paragraphs."""
+    rows = _paras(spark, sf)
+    return rows.select(
+        "doc_id", F.col("p").cast("long").alias("p"), X.keeps_text(F.col("paragraph"), X.sentences(F.col("paragraph"))).alias("kept"),
+        X.only_cleaned(F.col("paragraph"), X.noise(F.col("paragraph")), F.lit(10)).alias("cleaned"),
+    )
+
+
 # Reference data --------------------------------------------------------------------------------------------------
 
 
