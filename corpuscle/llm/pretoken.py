@@ -135,11 +135,27 @@ def slices(offsets: np.ndarray, most: int):
         i = j
 
 
+def _holds(b: np.ndarray, offsets: np.ndarray, mark: bytes) -> np.ndarray:
+    """Which of the texts hold ``mark``."""
+    raw, out, at = np.ascontiguousarray(b).tobytes(), np.zeros(len(offsets) - 1, bool), 0
+    while (at := raw.find(mark, at)) >= 0:
+        text = int(np.searchsorted(offsets, at, "right")) - 1
+        if at + len(mark) <= offsets[text + 1]:
+            out[text] = True
+            at = int(offsets[text + 1])
+        else:
+            at += 1
+    return out
+
+
 class PieceEncoder:
-    """Encodes batches of texts: each distinct pre-token once per batch, with a bounded memory of frequent ones."""
+    """Encodes batches of texts: each distinct pre-token once per batch, with a bounded memory of frequent ones.
+
+    Texts that hold one of ``marks`` (tokens that the library looks for before it splits) go to ``encode_text`` whole.
+    """
 
-    def __init__(self, encode_pieces, encode_text, remember: int = 100_000):
-        self.encode_pieces, self.encode_text, self.remember = encode_pieces, encode_text, remember
+    def __init__(self, encode_pieces, encode_text, remember: int = 100_000, marks: tuple[bytes, ...] = ()):
+        self.encode_pieces, self.encode_text, self.remember, self.marks = encode_pieces, encode_text, remember, marks
         self.known: dict[bytes, list[int]] = {}
 
     def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -157,6 +173,8 @@ class PieceEncoder:
         """(ids as uint32, int64 offsets of each text's ids)."""
         n = len(offsets) - 1
         starts, unsure = boundaries(b, offsets)
+        for mark in self.marks:
+            unsure |= _holds(b, offsets, mark)
         if len(starts):
             ends = np.append(starts, len(b)).astype(np.int32)
             pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(b))])

@@ -6,6 +6,9 @@ allows. Shards are the rows of a Parquet table in ascending doc_id order (part,
 protocol places them in any store it can write. A document's offsets come from the select structure; there is no
 table of 64-bit offsets.
 
+Texts that hold an added token of the vocabulary (<|endoftext|>, say) are encoded whole by the library, which gives that
+token its own id.
+
 Defined results: null text is empty and has the end id alone; null doc_ids come last; rows that share doc_id are
 ordered by the hash of their text; an empty table gives no shard and an empty result; further columns are
 ignored, whatever their names.
@@ -81,14 +84,15 @@ def _encoder(shared) -> tuple[PieceEncoder, int]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(data.decode())
-        tok.encode_special_tokens = True
         # The printable stand-ins of bytes that the vocabulary is written in.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         names = {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(x for x in range(256) if x not in plain)}
         model = tok.model
         one = lambda p: [t.id for t in model.tokenize(p.decode("latin-1").translate(names))]
         width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
-        _cache[key] = PieceEncoder(lambda ps: [one(p) for p in ps], lambda t: tok.encode(t, add_special_tokens=False).ids, REMEMBER), width
+        marks = tuple(t.content.encode() for t in tok.get_added_tokens_decoder().values())
+        whole = lambda t: tok.encode(t, add_special_tokens=False).ids
+        _cache[key] = PieceEncoder(lambda ps: [one(p) for p in ps], whole, REMEMBER, marks), width
     return _cache[key]
 
 

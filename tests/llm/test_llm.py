@@ -233,8 +233,8 @@ def test_token_files(spark, shard_ids):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    rows = [(3 * k + 10, t) for k, t in enumerate(odd_texts(40, 5))] + [(5, None), (6, ""), (None, "x y"), (None, "x y")]
+    marked = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "x<|endoftext|", "|>", "é<|endoftext|>" * 9 + " z"]
+    rows = [(3 * k + 10, t) for k, t in enumerate(odd_texts(40, 5) + marked)] + [(5, None), (6, ""), (None, "x y"), (None, "x y")]
     shards = token_files.write(table(spark, rows), P.path("byte_bpe_50k.json"), shard_ids=shard_ids)
     got = token_files.read(shards).collect()
     want, at = [], 0
