@@ -3,8 +3,8 @@
 A text is the bag of its five-word shingles, with their counts as weights. Each pair of a shingle and a dyadic block
 of weight levels (1; 2; 3-4; 5-8; ...) owns a Poisson process whose rate is the block's size and whose points carry
 a signature component and a level. A shingle of weight w contributes the points with levels up to w: whole blocks
-below w, and the block that holds w thinned by level. The shingle of a component's first point is its signature, and
-two bags agree in a component with the probability of their weighted Jaccard similarity. Processes run only to a
+below w, and the block that holds w thinned by level. A component's first point (its process and its number in it) is
+its signature, and two bags agree in a component with the probability of their weighted Jaccard similarity. Processes run only to a
 time by which all components should have a point (later for the few texts where one has none).
 
 Signatures are banded. In each bucket every text is proposed to the bucket's least text; proposals pass an estimate
@@ -94,6 +94,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
             rate = float(max(1, floor))
             # The stream of the process of (shingle, block).
             seed = mix(d0[on] * M[0] + _times(block + 1, 1))
+            # Points of one process differ by their number, which tells bags apart that share a shingle with other weights.
             winner = seed >> np.uint64(32)
             time, k = np.zeros(len(t)), 0
             while len(t):
@@ -102,11 +103,12 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
                 time = time - np.log(_uniform(x)) / rate
                 live = time <= horizon[t]
                 t, w, seed, winner, time = t[live], w[live], seed[live], winner[live], time[live]
+                point = (winner + _times(k, 6)) & np.uint64(0xFFFFFFFF)
                 if not len(t):
                     break
                 y = mix(seed ^ _times(k, 3))
                 at = t * size + ((y & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-                value = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | winner
+                value = (time.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | point
                 if floor > 1:
                     level = floor + 1 + ((y >> np.uint64(32)) * np.uint64(floor) >> np.uint64(32)).astype(np.int64)
                     ok = level <= w

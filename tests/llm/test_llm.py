@@ -464,6 +464,17 @@ def test_bagminhash_estimates_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - true) < 4 * math.sqrt(true * (1 - true) / size)
 
 
+@pytest.mark.parametrize("a,b", [(3, 4), (5, 10), (5, 8), (1, 2), (2, 3), (7, 16), (15, 16)])
+def test_bagminhash_of_one_shingle(a, b):
+    """A bag of one shingle has nothing to spread a bias over."""
+    n, size = 3000, 120
+    shingles = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    left, right = (bagminhash.signatures(np.arange(n), shingles, np.full(n, w), n, size) & np.uint64(0xFFFF) for w in (a, b))
+    # Components of one bag that follow the same early points are not independent: the bag is the sample.
+    share = (left == right).mean(1)
+    assert abs(share.mean() - a / b) < 4 * share.std() / math.sqrt(n)
+
+
 # Operator 10 -----------------------------------------------------------------------------------------------------
 
 
