@@ -9,9 +9,11 @@ time by which all components should have a point (later for the few texts where
 
 Signatures are banded. In each bucket every text is proposed to the bucket's least text; proposals pass an estimate
 from the signatures (BOUND, more than four standard errors below the limit) and then the exact overlap of the two
-bags decides. Texts of one bucket that are still in different classes after that are compared in blocks of BLOCK, by
-signature and then exactly, without a pair leaving the block unless it joins two classes. Classes are the connected components of the exact links. Equal
-texts fold to one before any of this, so copies are never paired.
+bags decides. Texts of one bucket that are still in different classes after that are compared in blocks (BLOCK texts and
+BLOCK_BYTES bytes at most), by signature and then exactly, without a pair leaving the block unless it joins two
+classes. The bucket's largest class is one side of its own: its members meet the others, never each other, so that a
+bucket of one great class and a few strangers costs its size once. Classes are the connected components of the exact
+links. Equal texts (by 128 bits of their SHA-256) fold to one before any of this, so copies are never paired.
 
 Defined results: a text of one to four words has one shingle, all its words; null and empty texts have none and
 are each a class of their own, whatever their doc_id; null doc_id sorts last; of rows that repeat doc_id and text
@@ -37,6 +39,7 @@ SIZE = BANDS * ROWS
 LIMIT = 0.8
 BOUND = 0.65
 BLOCK = 1_500
+BLOCK_BYTES = 12_000_000
 SLICE = 2_000_000
 _MAX_TEXTS = 4_000
 _P = "__n_"
@@ -120,7 +123,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
 
 
 def _sign(batches):
-    """(key, text) to (key, bands, sig); texts without words give no row."""
+    """(key, text) to (key, bands, sig, bytes); texts without words give no row."""
     for batch in batches:
         b, offsets = text_buffers(batch.column(1))
         for i, j in slices(offsets, SLICE):
@@ -136,13 +139,15 @@ def _sign(batches):
                     bands = bands * M[0] + sig[:, r::ROWS]
                 bands = mix(bands).view(np.int64)
                 flat = np.ascontiguousarray(sig.astype("<u2"))
+                size = np.diff(offsets[p : q + 1])[some]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(p, q - p).take(pa.array(some)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
                         pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer(np.arange(0, len(sig) * SIZE * 2 + 1, SIZE * 2, dtype=np.int32)), pa.py_buffer(flat)]),
+                        pa.array(size),
                     ],
-                    ["key", "bands", "sig"],
+                    ["key", "bands", "sig", "bytes"],
                 )
 
 
@@ -205,26 +210,33 @@ def _block_links(table: pa.Table):
     sig = _matrix(table["sig"])
     bands = table["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
     _, cls = np.unique(table["class"].to_numpy(zero_copy_only=False).astype("S33"), return_inverse=True)
-    elements, at = _elements(*text_buffers(table["text"]))
-    size = np.diff(at)
     left = np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
-    us, vs = [], []
+    near = {}
     for x in left:
         other = right[right > x] if same else right
         other = other[cls[other] != cls[x]]
-        # No more than the smaller bag is shared, and no less than LIMIT of the larger must be.
-        other = other[10 * np.minimum(size[other], size[x]) >= 8 * np.maximum(size[other], size[x])]
         other = other[(sig[other] == sig[x]).sum(1) >= BOUND * SIZE]
         # Each pair in the first bucket that it shares.
         other = other[np.argmax(bands[other] == bands[x], 1) == band]
+        if len(other):
+            near[x] = other
+    us, vs = [], []
+    # Only texts that may have a link are cut into shingles.
+    used = np.unique(np.concatenate([np.array([*near], np.int64), *near.values()])) if near else np.zeros(0, np.int64)
+    elements, at = _elements(*text_buffers(table["text"].take(pa.array(used))))
+    for x, other in near.items():
+        i, js = np.searchsorted(used, x), np.searchsorted(used, other)
+        mine, sizes = elements[at[i] : at[i + 1]], at[js + 1] - at[js]
+        # No more than the smaller bag is shared, and no less than LIMIT of the larger must be.
+        fit = (cls[other] != cls[x]) & (10 * np.minimum(sizes, len(mine)) >= 8 * np.maximum(sizes, len(mine)))
+        other, js, sizes = other[fit], js[fit], sizes[fit]
         if not len(other):
             continue
-        mine = elements[at[x] : at[x + 1]]
-        theirs = np.concatenate([elements[at[y] : at[y + 1]] for y in other])
+        theirs = np.concatenate([elements[at[k] : at[k + 1]] for k in js])
         hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-        shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[other]) - size[other])
-        for y in other[10 * shared >= 8 * (size[other] + size[x] - shared)]:
+        shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+        for y in other[10 * shared >= 8 * (sizes + len(mine) - shared)]:
             if cls[y] != cls[x]:
                 us.append(x), vs.append(y)
                 cls[cls == cls[y]] = cls[x]
@@ -265,11 +277,16 @@ def _labelled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("nu", "nv", "cu", "cv")
 
 
+def _key(text):
+    """The first 16 bytes of the text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def text_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, component) of 16-byte text digests: every text that is not its component's least one."""
     ship(docs.sparkSession)
-    keyed = docs.select(F.unhex(F.md5("text")).alias("key"), "text").where("text is not null")
-    sigs = materialise(keyed.mapInArrow(_sign, "key binary, bands array<long>, sig binary").dropDuplicates(["key"]), "near-signatures")
+    keyed = docs.select(_key("text").alias("key"), "text").where("text is not null")
+    sigs = materialise(keyed.mapInArrow(_sign, "key binary, bands array<long>, sig binary, bytes long").dropDuplicates(["key"]), "near-signatures")
     rows = sigs.select(F.posexplode("bands").alias("band", "bucket"), "key")
     lead = rows.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
     member = materialise(rows.join(lead, "bucket"), "near-buckets")
@@ -291,15 +308,26 @@ def text_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def _missed(member: DataFrame, sigs: DataFrame, texts: DataFrame, classes: DataFrame, block: int) -> DataFrame:
     """Links of one bucket, without its leader, between different classes: all that the leaders missed.
 
-    A bucket's texts are dealt to blocks and each pair of blocks is one group, so a bucket of any size is spread; the
-    pairs are judged inside and only links that join classes come out.
+    A bucket's largest class is dealt to blocks of side 1, all its other texts to blocks of side 0; each block of side 0
+    meets itself, the later ones of its side and those of side 1, and each such pair of blocks is one group. A group is
+    judged inside and only links that join classes come out.
     """
     rows = member.where("key != lead").select("bucket", "band", "key").join(classes, F.col("key") == F.col("node"), "left")
-    rows = rows.select("bucket", "band", "key", F.coalesce("component", "key").alias("class"))
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
-    rows = rows.join(mixed.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket").join(sigs, "key").join(texts, "key")
-    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", "band", "key", F.coalesce("component", "key").alias("class")).join(sigs.select("key", "bytes"), "key")
+    held = rows.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    by = held.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.max(F.struct("n", "class", "b")).alias("top")).where("k > 1")
+    blocks = lambda n, b: F.greatest(F.ceil(n / block), F.ceil(b / BLOCK_BYTES)).cast("int")
+    mixed = by.select(
+        F.col("bucket").alias("of"), F.col("top.class").alias("great"),
+        blocks(F.col("n") - F.col("top.n"), F.col("b") - F.col("top.b")).alias("few"), blocks(F.col("top.n"), F.col("top.b")).alias("many"),
+    )
+    rows = rows.drop("bytes").join(mixed, F.col("bucket") == F.col("of"))
+    big = F.col("class") == F.col("great")
+    mine = F.pmod(F.xxhash64("key"), F.when(big, F.col("many")).otherwise(F.col("few"))).cast("int")
+    # Blocks of side 1 are numbered after those of side 0.
+    rows = rows.withColumn("mine", F.when(big, F.col("few") + mine).otherwise(mine))
+    others = F.sequence(F.lit(0), F.when(big, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    rows = rows.withColumn("other", F.explode(others)).join(sigs.drop("bytes"), "key").join(texts, "key")
     rows = rows.select(
         "bucket", F.least("mine", "other").cast("long").alias("i"), F.greatest("mine", "other").cast("long").alias("j"), "band",
         F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "key", F.hex("class").alias("class"), "bands", "sig", "text",
@@ -315,13 +343,13 @@ def classified(docs: DataFrame) -> DataFrame:
     classes = text_classes(docs.select("doc_id", "text"))
     body = F.col("text")
     some = F.coalesce(F.rlike(body, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64("doc_id", "text").alias("r"), F.unhex(F.md5("text")).alias("k"), some.alias("s")).where("s")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64("doc_id", "text").alias("r"), _key("text").alias("k"), some.alias("s")).where("s")
     own = own.join(classes, F.col("k") == F.col("node"), "left").withColumn("c", F.coalesce("component", "k"))
     rows_of = own.groupBy("c", "k", "o", "r").agg(F.count("*").alias("m"))
     by = rows_of.groupBy("c", "k").agg(F.min(F.struct("o", "r", "m")).alias("f"), F.sum("m").alias("n"))
     total = by.groupBy("c").agg(F.min("f").alias("f"), F.sum("n").alias("n"))
     of = materialise(by.select("c", F.col("k").alias(p + "k")).join(total, "c").select(p + "k", F.col("f.o").alias(p + "o"), F.col("f.r").alias(p + "r"), F.col("f.m").alias(p + "m"), F.col("n").alias(p + "n")), "near-classes")
-    key = F.when(some, F.unhex(F.md5(docs["text"])))
+    key = F.when(some, _key(docs["text"]))
     rows = docs.join(of, key == of[p + "k"], "left")
     ord_, rk = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(docs["doc_id"], docs["text"])
     alone = F.col(p + "k").isNull()

@@ -432,7 +432,7 @@ def test_near_dedup(spark):
         mine = defaultdict(list)
         for d, t in rows:
             if words(t):
-                key = hashlib.md5(t.encode()).digest()
+                key = hashlib.sha256(t.encode()).digest()[:16]
                 mine[label.get(key, key)].append(order(d))
         want = defaultdict(list)
         for (d, t), c in zip(rows, near_classes([(order(d), t) for d, t in rows])):
@@ -445,6 +445,27 @@ def test_near_dedup(spark):
     assert {order(r.doc_id) for r in kept.collect() if words(r.text)} == {min(c) for c in want.values()}
 
 
+def test_near_dedup_query(spark, tmp_path):
+    """class_id, class_size and kept of the query; a great class with a few strangers in its buckets."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, "alone but for me"), (None, None), (7, ""), (8, ""), (9, "x y z"), (9, "x y z"), (3, "x y z"), (11, "other words")]
+    for k in range(60):  # near the first, so one class; some share buckets with it but are below the limit
+        w = list(base)
+        for i in rng.sample(range(100), 1 if k < 50 else 7):
+            w[i] = f"e{k}"
+        rows.append((100 + k, " ".join(w)))
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(order(r.doc_id), r.class_id, r.class_size, r.kept) for r in queries.QUERIES["op9_near_dedup"](spark, str(tmp_path)).collect()]
+    some = [r for r in rows if words(r[1])]
+    classes = near_classes([(order(d), t) for d, t in some])
+    size = Counter(classes)
+    want = [(order(d), None if c == LAST else c, size[c], order(d) == c) for (d, _), c in zip(some, classes)]
+    want += [(order(d), d, 1, True) for d, t in rows if not words(t)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert max(size.values()) >= 50
+
+
 def test_near_dedup_empty(spark):
     assert bagminhash.near_dedup(table(spark, EMPTY)).count() == 0
     assert bagminhash.near_dedup(table(spark, ODD)).count() == len(ODD)
