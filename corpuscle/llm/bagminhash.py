@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, ship
 from .anchors import M, Words, mix, unit_grams, word_hashes
+from .columns import apart
 from .components import components
 from .pretoken import slices, text_buffers
 
@@ -366,6 +367,10 @@ def classified(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs of which one stays for each class, with the columns of docs."""
+    return apart(docs, _P, _one_of_each)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     p = _P
     rows = classified(docs).where(F.col(p + "first"))
     # Rows that repeat doc_id and text stand for the same first row: one of them is kept.

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .columns import apart
 
 DIVISOR = 4
 MIN_LINES = 2
@@ -111,6 +112,10 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
 
     Documents that lose everything go.
     """
+    return apart(docs, _P, lambda d: _shortened(d, divisor, min_lines))
+
+
+def _shortened(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
     p = _P
     df = marked(docs, divisor, min_lines).where((F.size(p + "dead") == 0) | (F.length(p + "text") > 0))
     n = F.length(p + "text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .columns import apart
 from .words import count_words
 
 WEIGHTS = (1, 2, 3)
@@ -116,6 +117,10 @@ def _copies():
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0) -> DataFrame:
     """The mixed rows: each row of docs as often as it is taken, with the columns of docs."""
+    return apart(docs, _P, lambda d: _mixed(d, weights, share))
+
+
+def _mixed(docs: DataFrame, weights, share: float) -> DataFrame:
     _, state = plan_mix(docs, weights, share)
     state = state.select(F.col("source").alias(_P + "src"), "whole", "cut").withColumnsRenamed({"whole": _P + "whole", "cut": _P + "cut"})
     rows = sized(docs)

@@ -2,11 +2,14 @@ r"""Operator 10: quality rules with host-level verdicts, in DataFrame functions
 
 Every document is judged by rules of its own; the failures are summed per host (here the ``source``
 column), each host's failure rate is shrunk towards an empirical beta prior fitted over all hosts by
-moments, and the host verdict is joined back.
+moments, and the host verdict is joined back. The moments are those of a beta-binomial: hosts count by
+their documents, and the variance that mere counting causes is taken off, so that hosts of few documents
+are drawn to the mean and only what hosts really differ by keeps them from it.
 
 Defined results: null or empty text has no words and fails the base rule; null doc_id and null source
-are ordinary values (null sources form one host); repeated rows are judged alike, each for itself; an
-empty table gives an empty result; further columns are carried through untouched.
+are ordinary values (null sources form one host); repeated rows are judged alike, each for itself; a
+single host has the mean as its rate; an empty table gives an empty result; further columns are carried
+through untouched, whatever their names (own columns carry the prefix ``__q_``).
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .columns import apart
 from .words import words
 
 MIN_WORDS = 10
@@ -23,8 +27,8 @@ MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
 #: A host whose shrunk failure rate is above this loses all its documents.
 HOST_LIMIT = 0.5
-#: A document that fails a soft rule goes too if its host's shrunk rate is above this.
-SOFT_HOST_LIMIT = 0.05
+#: A document that fails a soft rule goes too if its host's shrunk rate reaches the mean over all documents, but for rounding.
+ROUNDING = 1e-9
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 _POS_BITS = 12
@@ -97,56 +101,62 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: its failure rate shrunk by the beta prior that fits all hosts' rates (moments).
+    """One row per host: its failure rate shrunk by the beta prior that fits all hosts, and the prior's mean.
 
-    The prior comes from one row of sums over hosts, so only that row is joined to the hosts.
+    The prior comes from one row of sums over hosts, so only that row is joined to the hosts. It is kept as mean and
+    ``rho`` = 1 / (a + b + 1), the part of a document's variance that is its host's: 0 where hosts differ no more than
+    by chance (all get the mean), 1 where they are all or nothing (each keeps its own rate).
     """
     p = _PRE
     fail = (F.col(p + "base") | F.col(p + "soft")).cast("long")
     hosts = feats.groupBy(F.col(host).alias(p + "host")).agg(F.count("*").alias("n"), F.sum(fail).alias("k"))
-    rate = F.col("k") / F.col("n")
-    moments = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    # The strength a+b of a beta with mean m and variance v; 2 (weak) where the moments give none.
-    strength = F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("v")), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(2.0))
-    return hosts.crossJoin(F.broadcast(moments)).select(
-        p + "host", ((F.col("k") + strength * F.col("m")) / (F.col("n") + strength)).alias(p + "rate")
-    )
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    sums = hosts.agg(F.count("*").alias("h"), F.sum(n).alias("sn"), F.sum(k).alias("sk"), F.sum(n * n).alias("nn"), F.sum(k * k / n).alias("kk"))
+    mean = F.col("sk") / F.col("sn")
+    spread, chance = F.col("kk") - F.col("sk") * mean, mean * (1 - mean)
+    scale = chance * (F.col("sn") - F.col("nn") / F.col("sn") - (F.col("h") - 1))
+    rho = F.when(scale > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (spread - chance * (F.col("h") - 1)) / scale))).otherwise(F.lit(0.0))
+    prior = sums.select(mean.alias(p + "mean"), rho.alias("rho"))
+    rate = (F.col("rho") * k + (1 - F.col("rho")) * F.col(p + "mean")) / (F.col("rho") * n + (1 - F.col("rho")))
+    return hosts.crossJoin(F.broadcast(prior)).select(p + "host", p + "mean", rate.alias(p + "rate"))
+
+
+def judged(feats: DataFrame, host: str = "source") -> DataFrame:
+    """feats with ``__q_kept``: the base rule and the host's verdict.
+
+    The joined side has one row per host; Spark broadcasts it only below its size threshold and otherwise splits a
+    skewed host's documents.
+    """
+    p = _PRE
+    rates = host_rates(feats, host)
+    poor = F.col(p + "rate") + ROUNDING >= F.col(p + "mean")
+    rejected = F.col(p + "base") | (F.col(p + "rate") > HOST_LIMIT) | (F.col(p + "soft") & poor)
+    rows = feats.join(rates, feats[host].eqNullSafe(rates[p + "host"]), "left")
+    return rows.withColumn(p + "kept", ~F.coalesce(rejected, F.lit(False))).drop(p + "host", p + "mean")
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """All rows and columns of docs with the rule inputs, ``base_failed`` and ``kept`` (prefix ``__q_``).
 
-    The rule inputs are written once to the shared folder, since both the host sums and the verdicts read
-    them. The joined side has one row per host; Spark broadcasts it only below its size threshold and
-    otherwise splits a skewed host's documents.
+    The rule inputs are written once to the shared folder, since both the host sums and the verdicts read them.
     """
-    p = _PRE
-    feats = materialise(features(docs, text), "quality")
-    rates = host_rates(feats, host)
-    rejected = F.col(p + "base") | (F.col(p + "rate") > HOST_LIMIT) | (F.col(p + "soft") & (F.col(p + "rate") > SOFT_HOST_LIMIT))
-    return (
-        feats.join(rates, feats[host].eqNullSafe(rates[p + "host"]), "left")
-        .withColumn(p + "kept", ~F.coalesce(rejected, F.lit(False)))
-        .drop(p + "host")
-    )
+    return judged(materialise(features(docs, text), "quality"), host)
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    return judge(docs, host).where(F.col(_PRE + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return apart(docs, _PRE, lambda d: judge(d, host).where(F.col(_PRE + "kept")).select(*[F.col(f"`{c}`") for c in d.columns]))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     p = _PRE
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    feats = materialise(features(docs).drop("text"), "quality")
-    rates = host_rates(feats)
-    rejected = F.col(p + "base") | (F.col(p + "rate") > HOST_LIMIT) | (F.col(p + "soft") & (F.col(p + "rate") > SOFT_HOST_LIMIT))
-    return feats.join(rates, feats["source"].eqNullSafe(rates[p + "host"]), "left").select(
+    rows = judged(materialise(features(docs).drop("text"), "quality"))
+    return rows.select(
         "doc_id",
         *[F.col(p + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.col(p + "base").alias("base_failed"),
-        (~rejected).alias("kept"),
+        F.col(p + "kept").alias("kept"),
     )
 
 
@@ -167,11 +177,12 @@ f AS (
   FROM d LEFT JOIN c ON c.rn = d.rn),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
              100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines AS soft FROM f),
-h AS (SELECT source, count(*) AS n, sum((base_failed OR soft)::INT) AS k FROM b GROUP BY source),
-m AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-s AS (SELECT source, (k + t * m) / (n + t) AS rate
-      FROM (SELECT h.*, m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 2.0 END AS t FROM h, m))
+h AS (SELECT source, count(*)::DOUBLE AS n, sum((base_failed OR soft)::INT)::DOUBLE AS k FROM b GROUP BY source),
+m AS (SELECT count(*) AS h, sum(n) AS sn, sum(k) AS sk, sum(n * n) AS nn, sum(k * k / n) AS kk, sum(k) / sum(n) AS m FROM h),
+v AS (SELECT m, CASE WHEN m * (1 - m) * (sn - nn / sn - (h - 1)) > 0
+      THEN greatest(0.0, least(1.0, (kk - sk * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (sn - nn / sn - (h - 1))))) ELSE 0.0 END AS rho FROM m),
+s AS (SELECT source, m, (rho * k + (1 - rho) * m) / (rho * n + (1 - rho)) AS rate FROM h, v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR rate > 0.5 OR (soft AND rate > 0.05)) AS kept
+       NOT (base_failed OR rate > 0.5 OR (soft AND rate + 1e-9 >= m)) AS kept
 FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source
 """

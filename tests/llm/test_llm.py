@@ -516,6 +516,54 @@ def test_quality_features(spark):
     assert sorted((order(r[0]), *tuple(r)[1:]) for r in got) == sorted((order(d), *quality_brute(t)) for d, t in rows)
 
 
+def shrunk(hosts):
+    """({host: rate}, mean) for {host: (documents, failures)}: Kleinman's moments of a beta-binomial."""
+    n, k = sum(a for a, _ in hosts.values()), sum(b for _, b in hosts.values())
+    mean, h = k / n, len(hosts)
+    within = sum(1 - a / n for a, _ in hosts.values())
+    between = sum(a * (1 - a / n) for a, _ in hosts.values())
+    spread = sum(a * (b / a - mean) ** 2 for a, b in hosts.values())
+    scale = mean * (1 - mean) * (between - within)
+    rho = min(1, max(0, (spread - mean * (1 - mean) * within) / scale)) if h > 1 and scale > 0 else 0
+    return {s: (rho * b + (1 - rho) * mean) / (rho * a + 1 - rho) for s, (a, b) in hosts.items()}, mean
+
+
+def test_hosts_of_one_document_are_shrunk(spark):
+    """Nine of ten hosts with one document, one of ten with 100, all alike: one failure is no verdict on a host."""
+    rng = random.Random(6)
+    feats = [(f"h{h}", rng.random() < 0.1) for h in range(1000) for _ in range(100 if h % 10 == 0 else 1)]
+    hosts = defaultdict(list)
+    for h, x in feats:
+        hosts[h].append(x)
+    df = spark.createDataFrame([(h, x, False) for h, x in feats], "source string, __q_base boolean, __q_soft boolean")
+    got = {r["__q_host"]: r["__q_rate"] for r in quality.host_rates(df).collect()}
+    want, mean = shrunk({h: (len(x), sum(x)) for h, x in hosts.items()})
+    assert got.keys() == want.keys() and all(math.isclose(got[h], want[h], abs_tol=1e-9) for h in want)
+    alone = [got[h] for h, x in hosts.items() if x == [True]]
+    assert len(alone) > 50 and max(alone) < 0.2 and abs(mean - 0.1) < 0.01
+    apart = spark.createDataFrame([(f"h{h}", h % 2 == 0, False) for h in range(20) for _ in range(10)], "source string, __q_base boolean, __q_soft boolean")
+    assert {round(r["__q_rate"], 2) for r in quality.host_rates(apart).collect()} == {0.0, 1.0}
+
+
+def test_quality_soft_rule_needs_a_poor_host(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    soft = good + " # # # #"
+    rows = [(k, good + f" {k}", "fair") for k in range(60)] + [(100 + k, "a b", "poor") for k in range(15)] + [(200 + k, good, "poor") for k in range(45)]
+    rows += [(300, soft, "fair"), (301, soft, "poor")]
+    kept = {r.doc_id for r in quality.quality_rules(table(spark, rows)).collect()}
+    assert kept == {*range(60), *range(200, 245), 300}
+
+
+def test_own_columns_do_not_touch_those_of_documents(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    df = table(spark, [(1, good, "a"), (2, good + " x", "a"), (3, "#", "a")]).withColumns({c: F.col("size") for c in ("__q_w", "__Q_kept", "__l_dead", "__m_size", "__n_k")})
+    for run in (quality.quality_rules, line_dedup.line_dedup, bagminhash.near_dedup, mixing.mix):
+        out = run(df)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r["__q_w"] == r["__Q_kept"] == r["__l_dead"] == r["__m_size"] == r["__n_k"] == 7 for r in rows)
+
+
 def test_quality_hosts(spark):
     good = " ".join(f"w{i}" for i in range(30))
     rows = [(k, good + f" {k}", "good") for k in range(40)] + [(100 + k, "#### " * 20, "bad") for k in range(39)] + [(150, good, "bad"), (151, good, None), (152, None, None)]
@@ -596,12 +644,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     hosts = defaultdict(list)
     for d, _, s in rows:
         hosts[s].append(facts[d][5] or soft[d])
-    rates = [sum(h) / len(h) for h in hosts.values()]
-    m = sum(rates) / len(rates)
-    v = sum((x - m) ** 2 for x in rates) / len(rates)
-    strength = m * (1 - m) / v - 1 if v > 0 and m * (1 - m) > v else 2.0
-    rate = {s: (sum(h) + strength * m) / (len(h) + strength) for s, h in hosts.items()}
-    now = [r for r in rows if not (facts[r[0]][5] or rate[r[2]] > 0.5 or (soft[r[0]] and rate[r[2]] > 0.05))]
+    rate, mean = shrunk({s: (len(h), sum(h)) for s, h in hosts.items()})
+    now = [r for r in rows if not (facts[r[0]][5] or rate[r[2]] > 0.5 or (soft[r[0]] and rate[r[2]] + 1e-9 >= mean))]
     cut = [(r, "\n".join(c)) for r, c in zip(now, lines_brute([r[:2] for r in now]))]
     now = [(r[0], t, r[2]) for r, t in cut if t == r[1] or t]
     classes = near_classes([(d, t) for d, t, _ in now])
