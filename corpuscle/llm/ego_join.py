@@ -5,14 +5,19 @@ are projected to their leading principal dimensions (of all vectors, from sums o
 cells of side epsilon there; a projection never lengthens a distance, so vectors whose cells differ by more than one
 in any of these dimensions are not linked. Sorted by label and grid order, the vectors become a sequence of blocks
 with bounding boxes. Pairs of blocks that are not provably distant are joined recursively: an interval pair splits in
-halves, halves whose boxes are further apart than epsilon are skipped, and leaves are compared exactly.
+halves, halves whose boxes are further apart than epsilon are skipped, and leaves are compared exactly. Block pairs
+are dealt out by the intervals of GROUP blocks that they lie in, so that a block travels once to each pair of
+intervals and not once to each partner.
 
-No pair of vectors is ever emitted: each block pair yields the number of links of each of its vectors and a spanning
-forest of the links, which keeps every component whole. Equal vectors of one label fold to one row with a count.
+No pair of vectors is ever emitted: each pair of intervals yields the number of links of each of its vectors and a
+spanning forest of the links, which keeps every component whole. Equal vectors of one label fold to one row with a
+count. Vectors are scaled by powers of two, which is exact, so that very small or large components neither vanish nor
+overflow.
 
 Defined results: null, zero, and not finite vectors, and rows with a null label, link with nothing, nor do vectors of
-different lengths; null vec_id is reported with component_id null; rows that repeat vec_id count as separate vectors
-and share a component_id; an empty table gives an empty result; further columns are ignored, whatever their names.
+different lengths; rows that repeat vec_id are vectors of their own, each in the component of its own links; a null
+vec_id is never a component's least one: such a row is not kept if its component has a vec_id, else it has
+component_id null and is kept; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +34,18 @@ LIMIT = 0.98
 LEAD = 6  # principal dimensions of the grid
 BLOCK = 512
 LEAF = 64
+#: Blocks of an interval, or as many as hold GROUP_BYTES of vectors.
+GROUP = 16
+GROUP_BYTES = 16_000_000
 #: Keeps rounding in the projections from hiding a link.
 SLACK = 1e-6
 
 
 def _array(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors, each scaled by the power of two that brings its largest component to between 1/2 and 1."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0, keepdims=True))[1])
 
 
 def _groups(batch):
@@ -46,7 +56,7 @@ def _groups(batch):
 
 
 def _moments(batches):
-    """(dim, i, j, s): sums of products of the unit vectors, and of the coordinates in row i = -1; one row each."""
+    """(dim, n, one, two): number, sum and sum of products of the unit vectors of each length."""
     total: dict[int, list] = {}
     for batch in batches:
         for d, rows in _groups(batch):
@@ -56,28 +66,42 @@ def _moments(batches):
             have[0] += len(x)
             have[1] += x.sum(0)
             have[2] += x.T @ x
+    yield from _moment_rows(total)
+
+
+def _moment_rows(total):
     for d, (n, one, two) in total.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array([d], pa.int64()), pa.array([n], pa.int64()), pa.array([one.tolist()], pa.list_(pa.float64())), pa.array([two.ravel().tolist()], pa.list_(pa.float64()))], ["dim", "n", "one", "two"]
+            [pa.array([d], pa.int64()), pa.array([n], pa.int64()), *(pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (one, two))], ["dim", "n", "one", "two"]
         )
 
 
+def _add_moments(batches):
+    """Rows of _moments to one row for each vector length."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            d = row["dim"]
+            have = total.setdefault(d, [0, np.zeros(d), np.zeros((d, d))])
+            have[0] += row["n"]
+            have[1] += np.frombuffer(row["one"])
+            have[2] += np.frombuffer(row["two"]).reshape(d, d)
+    yield from _moment_rows(total)
+
+
 def principal_axes(vectors: DataFrame, lead: int = LEAD) -> dict[int, np.ndarray]:
     """For each vector length the leading principal axes of all vectors of that length.
 
-    What reaches the driver is one matrix for each length, summed over all rows by the executors.
+    The matrices are summed by the executors in two rounds; what reaches the driver is one for each length.
     """
-    parts = vectors.select("dim", "v").mapInArrow(_moments, "dim long, n long, one array<double>, two array<double>")
-    one = parts.select("dim", F.lit(-1).alias("k"), F.posexplode("one").alias("at", "x"))
-    two = parts.select("dim", F.lit(0).alias("k"), F.posexplode("two").alias("at", "x"))
-    n = parts.select("dim", F.lit(-2).alias("k"), F.lit(0).alias("at"), F.col("n").cast("double").alias("x"))
-    sums = one.unionByName(two).unionByName(n).groupBy("dim", "k", "at").agg(F.sum("x").alias("x")).toPandas()
+    schema = "dim long, n long, one binary, two binary"
+    parts = vectors.select("dim", "v").mapInArrow(_moments, schema)
+    sums = parts.repartition(32).mapInArrow(_add_moments, schema).repartition("dim").mapInArrow(_add_moments, schema)
     axes = {}
-    for d, s in sums.groupby("dim"):
-        d = int(d)
-        count = float(s[s.k == -2].x.iloc[0])
-        mean = s[s.k == -1].sort_values("at").x.to_numpy() / count
-        second = s[s.k == 0].sort_values("at").x.to_numpy().reshape(d, d) / count
+    for row in sums.toArrow().to_pylist():
+        d, count = row["dim"], row["n"]
+        mean = np.frombuffer(row["one"]) / count
+        second = np.frombuffer(row["two"]).reshape(d, d) / count
         _, vectors_ = np.linalg.eigh(second - np.outer(mean, mean))
         axes[d] = np.ascontiguousarray(vectors_[:, ::-1][:, : min(lead, d)])
     return axes
@@ -211,36 +235,56 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray):
 
 
 def _join(axes, limit):
-    """Block pairs to rows (kind, a, b): kind 0 has node a with b links, kind 1 a link of nodes of the forest."""
+    """Rows (ix, iy, block, dim, ids, counts, data, pairs), sorted, to rows (kind, a, b): kind 0 has node a with b links,
+    kind 1 a link of nodes of the forest. The row of a pair of intervals (and length) without block lists its pairs of
+    blocks."""
+
+    def group(rows):
+        pairs, held = [], {}
+        for row in rows:
+            if row["block"] is None:
+                pairs += [(row["dim"], x["block_x"], x["block_y"]) for x in row["pairs"]]
+            else:
+                held[row["block"]] = row
+        joiners = {d: Joiner(axes.value[d], limit) for d in {p[0] for p in pairs}}
+        ids, counts, at, ready = [], [], {}, {}
+        for block, row in held.items():
+            at[block] = sum(map(len, ids))
+            ids.append(np.frombuffer(row["ids"], "<i8")), counts.append(np.frombuffer(row["counts"], "<i8"))
+            ready[block] = joiners[row["dim"]].prepare(np.frombuffer(row["data"], "<f8").reshape(-1, row["dim"]))
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        links = np.zeros(len(ids), np.int64)
+        us, vs = [], []
+        for d, x, y in pairs:
+            found = [(i + at[x], j + at[y]) for i, j in joiners[d].pairs(ready[x], ready[y], x == y)]
+            if not found:
+                continue
+            i, j = (np.concatenate(k) for k in zip(*found))
+            np.add.at(links, i, counts[j])
+            np.add.at(links, j, counts[i])
+            k = _forest(len(ids), i, j)
+            us.append(i[k]), vs.append(j[k])
+        if not us:
+            return None
+        i, j = np.concatenate(us), np.concatenate(vs)
+        k = _forest(len(ids), i, j)
+        x = np.flatnonzero(links)
+        kind = np.concatenate([np.zeros(len(x), np.int64), np.ones(len(k), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ids[x], ids[i[k]]])), pa.array(np.concatenate([links[x], ids[j[k]]]))], ["kind", "a", "b"])
 
     def run(batches):
-        table = axes.value
+        held, at = [], None
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c: batch.column(c)[r]
-                d, same = get("dim").as_py(), get("same").as_py()
-                join = Joiner(table[d], limit)
-                side = []
-                for s in "xy":
-                    ids, counts = (np.frombuffer(get(k + s).as_buffer(), "<i8") for k in ("ids_", "counts_"))
-                    side.append((ids, counts, join.prepare(np.frombuffer(get("data_" + s).as_buffer(), "<f8").reshape(-1, d))))
-                (ia, ca, a), (ib, cb, b) = side
-                links, other = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
-                us, vs = [], []
-                for i, j in join.pairs(a, b, same):
-                    np.add.at(links, i, cb[j])
-                    np.add.at(other, j, ca[i])
-                    us.append(i), vs.append(j)
-                if not us:
-                    continue
-                i, j = np.concatenate(us), np.concatenate(vs)
-                shift = 0 if same else len(ia)
-                k = _forest(len(ia) + len(ib), i, j + shift)
-                x, y = np.flatnonzero(links), np.flatnonzero(other)
-                kind = np.concatenate([np.zeros(len(x) + len(y), np.int64), np.ones(len(k), np.int64)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind), pa.array(np.concatenate([ia[x], ib[y], ia[i[k]]])), pa.array(np.concatenate([links[x], other[y], ib[j[k]]]))], ["kind", "a", "b"]
-                )
+                row = {c: batch.column(k)[r].as_py() for k, c in enumerate(batch.schema.names)}
+                if at is not None and at != (row["ix"], row["iy"]):
+                    if (out := group(held)) is not None:
+                        yield out
+                    held = []
+                at = row["ix"], row["iy"]
+                held.append(row)
+        if held and (out := group(held)) is not None:
+            yield out
 
     return run
 
@@ -267,12 +311,15 @@ def near_vectors(rows: DataFrame, limit: float = LIMIT, lead: int = LEAD, block:
         _pack(axes, block), "block long, label long, dim long, lo array<double>, hi array<double>, ids binary, counts binary, data binary"
     )
     blocks = materialise(blocks, "ego-blocks")
-    pairs = block_pairs(blocks, epsilon)
-    side = lambda s: blocks.select(F.col("block").alias("block_" + s), *([F.col("dim")] if s == "x" else []), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "data")])
-    # Every block has about as many partners as any other of its cells, so hashing blocks deals the work evenly.
-    work = pairs.repartition("block_x").join(side("x").repartition("block_x"), "block_x")
-    work = work.repartition("block_y").join(side("y").repartition("block_y"), "block_y")
-    work = work.select("dim", (F.col("block_x") == F.col("block_y")).alias("same"), *[c + s for s in "xy" for c in ("ids_", "counts_", "data_")])
+    pairs = materialise(block_pairs(blocks, epsilon), "ego-block-pairs")
+    # Intervals of the grid order within a partition; the block's number there is the lower half of its id.
+    size = F.greatest(F.lit(1), F.least(F.lit(GROUP), F.floor(F.lit(GROUP_BYTES) / (block * 8 * F.col("dim")))))
+    interval = lambda c: F.shiftleft(F.shiftright(c, 32), 32) + F.floor(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) / size)
+    pairs = pairs.withColumns({"ix": interval("block_x"), "iy": interval("block_y")})
+    lists = pairs.groupBy("ix", "iy", "dim").agg(F.collect_list(F.struct("block_x", "block_y")).alias("pairs"))
+    used = pairs.select("ix", "iy", F.explode(F.array("block_x", "block_y")).alias("block")).distinct()
+    work = used.join(blocks.select("block", "dim", "ids", "counts", "data"), "block").select("ix", "iy", "block", "dim", "ids", "counts", "data")
+    work = work.unionByName(lists, allowMissingColumns=True).repartition("ix", "iy").sortWithinPartitions("ix", "iy")
     found = materialise(work.mapInArrow(_join(axes, limit), "kind long, a long, b long"), "ego-links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("l_node")).agg(F.sum("b").alias("links"))
     part = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")), "ego-components")
@@ -281,13 +328,12 @@ def near_vectors(rows: DataFrame, limit: float = LIMIT, lead: int = LEAD, block:
     least = nodes.groupBy(F.col("group").alias("g")).agg(F.min("low").alias("component_id"))
     nodes = nodes.join(least, F.col("group") == F.col("g")).select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
     out = tagged.join(nodes, F.col("key") == F.col("k"), "left")
-    # A vec_id that occurs in several rows has one component: the least of theirs.
     cid = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.col("vec_id").eqNullSafe(cid).alias("kept"))
 
 
 def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """(block_x, block_y), x <= y, of one label whose boxes are not further apart than epsilon.
+    """(block_x, block_y, dim), x <= y, of one label whose boxes are not further apart than epsilon.
 
     Blocks meet by the cells of their first two grid dimensions, widened by one on one side; the boxes decide.
     """
@@ -301,8 +347,22 @@ def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     x = x.withColumnRenamed("block", "block_x")
     gap = F.zip_with(F.zip_with("lo", "hi_y", lambda a, b: a - b), F.zip_with("lo_y", "hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     square = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-    return x.join(y, ["label", "dim", "c0", "c1"]).where("block_x <= block_y").where(square <= epsilon**2).select("block_x", "block_y").distinct()
+    return x.join(y, ["label", "dim", "c0", "c1"]).where("block_x <= block_y").where(square <= epsilon**2).select("block_x", "block_y", "dim").distinct()
 
 
 def op4_near_vectors(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rn, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.rn AS a, b.rn AS b FROM s a JOIN s b ON a.label = b.label AND a.rn <> b.rn
+      AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.98 ELSE false END),
+r(a, b) AS (SELECT rn, rn FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT r.a, min(v.vec_id) AS c FROM r JOIN v ON v.rn = r.b GROUP BY r.a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec_id IS NOT DISTINCT FROM c.c AS kept
+FROM v JOIN c ON c.a = v.rn LEFT JOIN n ON n.a = v.rn
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bagminhash import op9_near_dedup
 from .bpe import op3_bpe_round_trip
-from .ego_join import op4_near_vectors
+from .ego_join import OP4_SQL, op4_near_vectors
 from .licences import OP7_SQL, op7_licence_scan
 from .line_dedup import OP6_RUNS_SQL, OP6_SQL, op6_line_dedup, op6_line_runs
 from .mixing import OP2_SQL, op2_mix_sources
@@ -31,6 +31,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_mix_sources": OP2_SQL,
+    "op4_near_vectors": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_licence_scan": OP7_SQL,
     "op10_quality_rules": OP10_SQL,

@@ -298,6 +298,28 @@ def test_near_vectors(spark, block, seed):
     assert got == {a: (links[a], find(a), find(a) == a) for a, _, _ in rows}
 
 
+def test_near_vectors_of_any_size_and_null_ids(spark):
+    rows = [(1, [1.0, 2.0], 1), (2, [2.0, 4.0], 1), (3, [1e-200, 2e-200], 1), (4, [1e200, 2e200], 1), (5, [5e-324, 1e-323], 1), (6, [1.7e308, 1.7e308], 1)]
+    rows += [(None, [3.0, 6.0], 1), (None, [-1.0, 1.0], 1), (None, [-2.0, 2.0], 1), (None, [9.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, ego_join.near_vectors(df).collect()), key=repr)
+    # [1.7e308, 1.7e308] has a cosine of 0.949 with the others. 5e-324 is the least number above 0.
+    want = [(1, 5, 1, True), (2, 5, 1, False), (3, 5, 1, False), (4, 5, 1, False), (5, 5, 1, False), (6, 0, 6, True)]
+    want += [(None, 5, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_a_block_travels_once_to_each_pair_of_intervals(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, (np.ones(4) + rng.normal(size=4) * 0.1).tolist(), 1) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    out = []
+    for group in (1, 4, 1000):
+        monkeypatch.setattr(ego_join, "GROUP", group)
+        out.append(sorted(map(tuple, ego_join.near_vectors(df, block=8).collect())))
+    assert out[0] == out[1] == out[2] and sum(r[1] for r in out[0]) > 10_000
+
+
 def test_near_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert ego_join.near_vectors(df).count() == 0
@@ -587,7 +609,8 @@ def test_query_against_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in cur.description]
     df = queries.QUERIES[name](spark, sf).select(*names)
