@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def byte_grams(b: np.ndarray, k: int) -> np.ndarray:
-    """Hash of b[i:i+k] for every i (k a multiple of 8)."""
+    """Hash of b[i:i+k] for every i (k of 8 or more)."""
     n = len(b) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -43,6 +43,10 @@ def byte_grams(b: np.ndarray, k: int) -> np.ndarray:
         h ^= h >> np.uint64(31)
         h += eight[8 * j : 8 * j + n]
         h *= M[j % 4]
+    if k % 8:
+        h ^= h >> np.uint64(31)
+        h += eight[k - 8 : k - 8 + n]
+        h *= M[4]
     return mix(h)
 
 

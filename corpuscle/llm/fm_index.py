@@ -9,7 +9,7 @@ import numpy as np
 
 
 class BitRank:
-    """A packed bit vector with rank."""
+    """A packed bit vector with rank and select."""
 
     def __init__(self, bits: np.ndarray):
         padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
@@ -24,6 +24,16 @@ class BitRank:
         below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[w] + np.bitwise_count(self.words[w] & below)
 
+    def place(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th one (from 0)."""
+        w = np.searchsorted(self.before, k, "right") - 1
+        x, left, at = self.words[w], k - self.before[w], w << 6
+        for width in (32, 16, 8, 4, 2, 1):
+            ones = np.bitwise_count(x & np.uint64((1 << width) - 1)).astype(np.int64)
+            up = left >= ones
+            left, at, x = left - ones * up, at + width * up, np.where(up, x >> np.uint64(width), x)
+        return at
+
 
 class WaveletMatrix:
     def __init__(self, values: np.ndarray, top: int):
@@ -74,34 +84,41 @@ def suffix_ranks(s: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.nd
 class FMIndex:
     """Index of a symbol sequence that ends in its smallest symbol, for matches of up to ``length`` symbols.
 
-    Suffixes are sorted by their first ``length`` symbols; backward steps are exact up to matches of that length.
+    Suffixes are sorted by their first ``length`` symbols; backward steps are exact up to matches of that length. What
+    is kept is the wavelet matrix, two bit vectors that mark where suffixes begin to differ in their first length - 1 and
+    length symbols, and, given ``weights`` by text position, one least weight for each distinct match of full length.
     """
 
-    def __init__(self, s: np.ndarray, length: int):
-        n = len(s)
-        self.length = length
+    def __init__(self, s: np.ndarray, length: int, weights: np.ndarray | None = None):
+        self.length, self.n = length, len(s)
         order, ranks = suffix_ranks(s, length)
-        self.order = order
         self.bwt = WaveletMatrix(s[order - 1].astype(np.int64), int(s.max()))
         counts = np.bincount(s, minlength=int(s.max()) + 1)
         self.below = np.cumsum(counts) - counts
-        self.n = n
-        # Where the block of suffixes that agree in length-1 (length) symbols begins and ends.
-        short = ranks[length - 1][order]
-        edge = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-        block = np.cumsum(np.concatenate([[0], (short[1:] != short[:-1]).astype(np.int64)]))
-        self.begin, self.end = edge[block], np.append(edge[1:], n)[block]
-        self.full = ranks[length][order]
+        self.short, self.full = (BitRank(self._edges(ranks[k][order])) for k in (length - 1, length))
+        if weights is not None:
+            edge = np.flatnonzero(self._edges(ranks[length][order])[:-1])
+            self.least = np.minimum.reduceat(weights[order], edge)
+
+    @staticmethod
+    def _edges(rank: np.ndarray) -> np.ndarray:
+        """1 where a block of equal ranks begins, and behind the last."""
+        out = np.ones(len(rank) + 1, np.uint8)
+        out[1:-1] = rank[1:] != rank[:-1]
+        return out
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the interval of the suffixes that start with c and go on as those in [lo, hi)."""
         return self.below[c] + self.bwt.rank(c, lo), self.below[c] + self.bwt.rank(c, hi)
 
-    def least(self, weights: np.ndarray) -> np.ndarray:
-        """For every row of the suffix order, the least weight (by text position) in its block of equal matches."""
-        edge = np.flatnonzero(np.concatenate([[True], self.full[1:] != self.full[:-1]]))
-        least = np.minimum.reduceat(weights[self.order], edge)
-        return least[self.full - self.full[0]]
+    def widened(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of all suffixes that share their first length - 1 symbols with the lo-th."""
+        block = self.short.ones(lo + 1)
+        return self.short.place(block - 1), self.short.place(block)
+
+    def least_weight(self, lo: np.ndarray) -> np.ndarray:
+        """The least weight of the suffixes that share their first ``length`` symbols with the lo-th."""
+        return self.least[self.full.ones(lo + 1) - 1]
 
 
 def matching_windows(index: FMIndex, s: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -118,9 +135,7 @@ def matching_windows(index: FMIndex, s: np.ndarray, starts: np.ndarray, ends: np
         if len(live) == 0:
             return
         at = ends[live] - step
-        a, b = lo[live], hi[live]
-        if step > index.length:
-            a, b = index.begin[a], index.end[a]
+        a, b = (lo[live], hi[live]) if step <= index.length else index.widened(lo[live])
         a, b = index.extend(a, b, s[at])
         lo[live], hi[live] = a, b
         if step >= index.length:

@@ -1,39 +1,40 @@
 """Passages of at least ``length`` units that also start earlier in the corpus: the plan shared by operators 1 and 8.
 
-1. One pass over the texts lists anchors (see ``anchors``) with a short hash of the passage each stands in; sums by
-   anchor tell which occur more than once, and which of those in different passages. Two bit maps of a fixed size
-   carry that to the second pass; where they say yes wrongly, the rows are only superfluous.
-2. The second pass writes one row per occurrence of such an anchor: the passage (all windows that chose the anchor)
-   by 128-bit digest and place, with its bytes where other passages have the same anchor.
-3. Copies of a passage fold to their first place (partial minima, nothing is gathered). All windows of later copies
-   go. A first place survives as a whole if its anchor has no other passage; else the passages of an anchor meet in
-   one shard, whose index (FM-index, or suffix-array levels) tells which windows are the first of their text.
-   An anchor with more than HOT passages is not gathered: its windows are digested one by one and folded by minima.
-4. Each document gets the runs of windows it shares and those that survive, and drops the rest.
+1. Whole equal texts (by SHA-256) fold to the first of them; a later copy goes whole, if it has a window at all.
+2. One pass over the texts lists anchors (see ``anchors``) and where they stand. A count by anchor, joined back to the
+   places, leaves those that occur more than once: the candidates. Both sides stay distributed.
+3. The passage around each candidate (all windows that chose the anchor) is cut from its text and streamed to the shard
+   of its anchor, where equal windows must meet. The shard's index (FM-index, or a family of suffix arrays) holds the
+   distinct passages and tells for each window of each streamed passage which place of its text is the first.
+4. A document drops the units of its windows that have an earlier place.
+
+An anchor in more than HOT places is not gathered as it is. Its equal passages, compared byte by byte, first fold to
+the first of them by partial minima; where more than HOT distinct ones remain, each is cut again by longer anchors, and
+at last by whole windows, until no anchor has so many. What remains goes through the same index as all others.
 
 Order is (doc_id, null last; hash of doc_id and text; start), so rows that repeat doc_id and text are one document.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, release, ship
-from .anchors import anchor_runs
+from ..session import materialise, ship
+from .anchors import M, anchor_runs, mix
 from .pretoken import slices, text_buffers
 
 SLICE = 1_000_000
-FILTER_BITS = 27
-CHUNK_BITS = 19
-HOT = 50_000
+HOT = 10_000
+#: A task's passages are indexed some bytes at a time; those of one anchor stay together.
+SHARD_BYTES = 3_000_000
 _LAST = (1 << 63) - 1
+_N_BITS = 10
+_PLACE_BITS = 40
+_PASSAGES = "a long, ord long, rk long, start long, n long, body binary"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -45,204 +46,239 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _views(units, batch):
-    """(first row, last row, view) of slices of a batch whose last column is the text."""
-    b, offsets = text_buffers(batch.column(batch.num_columns - 1))
+def _views(units, batch, at: int = -1):
+    """(first row, last row, view) of slices of a batch whose texts are column ``at``."""
+    b, offsets = text_buffers(batch.column(at % batch.num_columns))
     for i, j in slices(offsets, SLICE):
         yield i, j, units(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def _runs(units, view):
-    return anchor_runs(view.grams, view.n, view.offsets, units.length, units.k)
+def _runs(units, view, k=None):
+    k = k or units.k
+    return anchor_runs(lambda i, j: view.grams(i, j, k), view.n, view.offsets, units.length, k)
 
 
-def _digests(view, starts, counts, length, digest):
-    lo, hi = view.span(starts, starts + counts + length - 1)
-    raw = memoryview(view.b)
-    return b"".join([digest(raw[s:e]) for s, e in zip(lo.tolist(), hi.tolist())]), lo, hi
+def _bytes_of(view, lo, hi) -> pa.Array:
+    """The ranges [lo, hi) of the view's bytes as a binary array."""
+    size = hi - lo
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])
+    return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view.b[at]))])
 
 
 def _list_anchors(units):
-    """Texts to (a, v): anchors with 47 bits of their passage's digest, and in the last bit whether they repeat in this batch."""
+    """(ord, rk, text) to (a, ord, rk, at): the places of all anchors, as start << _N_BITS | number of windows."""
 
     def run(batches):
         for batch in batches:
-            anchors, digests = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for _, _, view in _views(units, batch):
+            orders, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, _, view in _views(units, batch):
                 a, start, count = _runs(units, view)
-                raw, _, _ = _digests(view, start, count, units.length, xxhash.xxh3_64_digest)
-                anchors.append(a)
-                digests.append(np.frombuffer(raw, ">u8") >> np.uint64(17) << np.uint64(1))
-            a, c = np.concatenate(anchors), np.concatenate(digests)
-            order = np.lexsort((c, a))
-            a, c = a[order], c[order]
-            same = np.zeros(len(a) + 1, bool)
-            same[1:-1] = a[1:] == a[:-1]
-            again = same[1:] | same[:-1]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            v = c.astype(np.int64) | again
-            yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(v[new])], ["a", "v"])
+                row = np.searchsorted(view.offsets, start, "right") - 1
+                at = (start - view.offsets[row]) << _N_BITS | count
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), orders[row + i], keys[row + i], at)], ["a", "ord", "rk", "at"])
 
     return run
 
 
-def _pack_bits(size: int):
-    """(chunk, at, multi) to one row per chunk of 2**size bits: both bit maps, compressed."""
+def _cut_passages(units):
+    """(ord, rk, anchors, places, text) to the passages at those places."""
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            chunk, at, multi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            order = np.argsort(chunk, kind="stable")
-            chunk, at, multi = chunk[order], at[order], multi[order]
-            cuts = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                maps = held.setdefault(int(chunk[s]), np.zeros((2, 1 << size), bool))
-                maps[0, at[s:e]] = True
-                maps[1, at[s:e][multi[s:e]]] = True
-        for chunk, maps in held.items():
-            raw = [zlib.compress(np.packbits(m, bitorder="little").tobytes(), 1) for m in maps]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in raw)], ["chunk", "often", "multi"])
+            orders, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            anchor, row = _flat(batch.column(2))
+            place, _ = _flat(batch.column(3))
+            for i, j, view in _views(units, batch):
+                mine = slice(*np.searchsorted(row, [i, j]))
+                r, n = row[mine], place[mine] & ((1 << _N_BITS) - 1)
+                start = place[mine] >> _N_BITS
+                s = start + view.offsets[r - i]
+                body = _bytes_of(view, *view.span(s, s + n + units.length - 1))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor[mine], orders[r], keys[r], start, n)), body], ["a", "ord", "rk", "start", "n", "body"])
 
     return run
 
 
-def _bit_maps(anchors: DataFrame, bits: int):
-    """(often, multi) as packed bits, 2**bits each: what reaches the driver has that size, however many anchors there are."""
-    size = min(bits, CHUNK_BITS)
-    by = anchors.groupBy("a").agg(F.count("*").alias("n"), F.max(F.col("v").bitwiseAND(F.lit(1))).alias("again"), F.min(F.shiftright("v", 1)).alias("lo"), F.max(F.shiftright("v", 1)).alias("hi"))
-    by = by.where((F.col("n") > 1) | (F.col("again") == 1))
-    at = F.col("a").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = by.select(F.shiftright(at, size).alias("chunk"), at.bitwiseAND(F.lit((1 << size) - 1)).alias("at"), (F.col("lo") != F.col("hi")).alias("multi"))
-    got = rows.repartition("chunk").mapInArrow(_pack_bits(size), "chunk long, often binary, multi binary").toArrow()
-    out = np.zeros((2, max(1, 1 << (bits - 6))), np.uint64)
-    step = (1 << size) // 64
-    for row in got.to_pylist():
-        for k, name in enumerate(("often", "multi")):
-            out[k, row["chunk"] * step : (row["chunk"] + 1) * step] = np.frombuffer(zlib.decompress(row[name]), "<u8")
-    release(anchors.sparkSession)
-    return out
-
-
-def _has(words, a, bits):
-    at = a & np.uint64((1 << bits) - 1)
-    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
-_SPANS = "a long, c binary, ord long, rk long, start long, n long, body binary"
-
-
-def _list_spans(units, maps, bits):
-    """(ord, rk, text) to the passages of anchors in the first bit map; those in the second keep the anchor, and once a
-    batch the bytes."""
-
-    def of(view, orders, keys, often, multi):
-        a, start, count = _runs(units, view)
-        hit = _has(often, a, bits)
-        a, start, count = a[hit], start[hit], count[hit]
-        raw, lo, hi = _digests(view, start, count, units.length, xxhash.xxh3_128_digest)
-        row = np.searchsorted(view.offsets, start, "right") - 1
-        c = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(0, 16 * len(a) + 1, 16, dtype=np.int32)), pa.py_buffer(raw)])
-        need = _has(multi, a, bits)
-        a = np.where(need, a, np.uint64(0))
-        size = np.where(need, hi - lo, 0)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(lo[need] - ends[:-1][need], size[need]) + np.arange(ends[-1])
-        body = pa.Array.from_buffers(
-            pa.binary(), len(a), [pa.py_buffer(np.packbits(need, bitorder="little")), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view.b[at]))]
-        )
-        return [pa.array(a.view(np.int64)), c, pa.array(orders[row]), pa.array(keys[row]), pa.array(start - view.offsets[row]), pa.array(count), body]
+def _cut_again(units, k: int):
+    """Passages of an anchor to shorter ones, by the grams of k units that their windows choose."""
 
     def run(batches):
-        often, multi = maps.value
         for batch in batches:
-            orders, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts = [of(view, orders[i:j], keys[i:j], often, multi) for i, j, view in _views(units, batch)]
-            if not parts:
-                continue
-            columns = [pa.concat_arrays(c) for c in zip(*parts)]
-            first = np.zeros(len(columns[0]), bool)
-            first[np.unique(columns[1].dictionary_encode().indices.to_numpy(), return_index=True)[1]] = True
-            columns[6] = pc.if_else(pa.array(first), columns[6], pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["a", "c", "ord", "rk", "start", "n", "body"])
+            anchor, orders, keys, starts = (batch.column(c).to_numpy() for c in range(4))
+            for i, _, view in _views(units, batch):
+                a, start, count = _runs(units, view, k)
+                r = np.searchsorted(view.offsets, start, "right") - 1
+                body = _bytes_of(view, *view.span(start, start + count + units.length - 1))
+                new = mix(anchor[r + i].view(np.uint64) * M[3] + a).view(np.int64)
+                columns = (new, orders[r + i], keys[r + i], starts[r + i] + start - view.offsets[r], count)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), body], ["a", "ord", "rk", "start", "n", "body"])
 
     return run
 
 
-def _single_windows(units):
-    """(ord, rk, start, n, body) to one row per window: (c, ord, rk, start)."""
+def shards(units, least_places):
+    """Passages sorted by anchor to rows (ord, rk, start, n): the runs of windows that are the first of their text.
+
+    Whole anchors are put together to shards of SHARD_BYTES, so that a task holds one shard at a time.
+    least_places(units, b, offsets, first) is the index: it holds the distinct passages b[offsets[i]:offsets[i+1]],
+    whose earliest places are ``first``, and returns for every window of each the least place of its text.
+    """
 
     def run(batches):
+        held, size, last = [], 0, None
         for batch in batches:
-            body = batch.column(4)
-            for r in range(batch.num_rows):
-                b = np.frombuffer(body[r].as_buffer(), np.uint8)
-                view = units(b, np.array([0, len(b)]))
-                k = np.arange(view.n - units.length + 1)
-                lo, hi = view.span(k, k + units.length)
-                raw = memoryview(view.b)
-                c = [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(lo.tolist(), hi.tolist())]
-                full = lambda x: pa.array(np.full(len(k), x, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.binary()), full(batch.column(0)[r].as_py()), full(batch.column(1)[r].as_py()), pa.array(k + batch.column(2)[r].as_py())], ["c", "ord", "rk", "start"]
-                )
+            if not batch.num_rows:
+                continue
+            a = batch.column(0).to_numpy()
+            _, offsets = text_buffers(batch.column(5))
+            # Where a shard may end: before a row of another anchor.
+            cuts = np.flatnonzero(np.concatenate([[bool(held) and a[0] != last], a[1:] != a[:-1]]))
+            at = 0
+            while True:
+                full = int(np.searchsorted(offsets, offsets[at] + max(SHARD_BYTES - size, 0)))
+                k = int(np.searchsorted(cuts, max(full, at)))
+                end = int(cuts[k]) if k < len(cuts) else batch.num_rows
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+                    size += int(offsets[end] - offsets[at])
+                if k == len(cuts):
+                    break
+                yield _survivors(units, held, least_places)
+                held, size, at = [], 0, end
+                if at == 0:
+                    cuts = cuts[1:]
+            last = a[-1]
+        if held:
+            yield _survivors(units, held, least_places)
 
     return run
 
 
-def _first(*cols):
-    return F.min(F.struct(*cols)).alias("f")
-
+def _survivors(units, rows, least_places):
+    """The shard's passages streamed through its index: each window against the first place of its text.
 
-def shared_windows(docs: DataFrame, units, index, bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
-    """(rk, ord, shared, alive): for each document that shares passages, its runs of shared windows and of those that
-    survive, as arrays of start << 10 | count."""
-    spark = docs.sparkSession
-    ship(spark)
+    The shard numbers its distinct passages by their bytes; a passage that stands in many places is searched once and
+    every place is held against the answer.
+    """
+    table = pa.Table.from_batches(rows).combine_chunks()
+    orders, keys, starts, n = (table[c].to_numpy() for c in ("ord", "rk", "start", "n"))
+    body = table["body"]
+    coded = (body.chunk(0) if isinstance(body, pa.ChunkedArray) else body).dictionary_encode()
+    code = coded.indices.to_numpy()
+    b, offsets = text_buffers(coded.dictionary)
+    by = np.lexsort((starts, keys, orders))
+    o, k = orders[by], keys[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
+    key = np.empty(len(by), np.int64)
+    key[by] = np.cumsum(new) << _PLACE_BITS
+    key += starts
+    first = np.full(len(offsets) - 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, code, key)
+    least, at = least_places(units, b, offsets, first)
+    window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    alive = least[np.repeat(at[code], n) + window] == np.repeat(key, n) + window
+    row, window = np.repeat(np.arange(len(n)), n)[alive], window[alive]
+    # Neighbouring windows make one run.
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
+    head = np.flatnonzero(new)
+    r = row[head]
+    count = np.diff(np.append(head, len(row)))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (orders[r], keys[r], starts[r] + window[head], count)], ["ord", "rk", "start", "n"])
+
+
+def _folded(passages: DataFrame) -> DataFrame:
+    """Equal passages of an anchor to the first of them, by partial minima."""
+    return passages.groupBy("a", "body").agg(F.min(F.struct("ord", "rk", "start", "n")).alias("f")).select("a", "f.*", "body")
+
+
+def anchored(keyed: DataFrame, units) -> DataFrame:
+    """(a, ord, rk, at) of the anchors of (ord, rk, text)."""
+    return keyed.select("ord", "rk", "text").mapInArrow(_list_anchors(units), "a long, ord long, rk long, at long")
+
+
+def digested(keyed: DataFrame) -> DataFrame:
+    """(ord, rk, d): the SHA-256 of each text."""
+    return keyed.select("ord", "rk", F.unhex(F.sha2("text", 256)).alias("d"))
+
+
+def candidates(texts: DataFrame, anchors: DataFrame, hot: int) -> DataFrame:
+    """(ord, rk, held): for each of the distinct texts (ord, rk) its anchors that occur more than once, as an array of
+    structs (at, a, hot)."""
+    often = anchors.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
+    rows = anchors.join(often, F.col("a") == F.col("b")).select("ord", "rk", F.struct("at", "a", (F.col("m") > hot).alias("hot")).alias("x"))
+    held = rows.groupBy(F.col("ord").alias("o"), F.col("rk").alias("r")).agg(F.collect_set("x").alias("held"))
+    return texts.join(held, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r"))).select("ord", "rk", "held")
+
+
+def passages(keyed: DataFrame, held: DataFrame, units, hot: bool) -> DataFrame:
+    """The passages around the (not) hot anchors of candidates()."""
+    some = held.select(F.col("ord").alias("o"), F.col("rk").alias("r"), F.filter("held", lambda x: x["hot"] == F.lit(hot)).alias("held")).where("size(held) > 0")
+    texts = keyed.select("ord", "rk", "text").dropDuplicates(["ord", "rk"])
+    rows = texts.join(some, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r")))
+    return rows.select("ord", "rk", "held.a", "held.at", "text").mapInArrow(_cut_passages(units), _PASSAGES)
+
+
+def representatives(folded: DataFrame, units, hot: int) -> DataFrame:
+    """Distinct passages, cut by longer and longer anchors where one anchor has more than ``hot`` of them."""
+    rows = materialise(folded, "hot-passages")
+    for k in units.finer:
+        crowd = materialise(rows.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("a"), "crowded-anchors")
+        if not crowd.limit(1).count():
+            break
+        again = rows.join(crowd, "a", "left_semi").select(*rows.columns).mapInArrow(_cut_again(units, k), _PASSAGES)
+        rows = materialise(rows.join(crowd, "a", "left_anti").unionByName(_folded(again)), "hot-passages")
+    return rows
+
+
+def shared_windows(docs: DataFrame, units, least_places, hot: int = HOT, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(ord, rk, shared, alive) for each distinct text of docs: its runs of windows whose anchor occurs more than once,
+    and of those that are the first of their text, as arrays of start << _N_BITS | count. Documents without a row repeat
+    an earlier text as a whole.
+
+    known: texts (ord, rk, d, text) that come before all of docs, and their anchors (a, ord, rk, at).
+    """
+    ship(docs.sparkSession)
     keyed = _keyed(docs)
-    maps = spark.sparkContext.broadcast(_bit_maps(keyed.select("text").mapInArrow(_list_anchors(units), "a long, v long"), bits))
-    spans = materialise(keyed.select("ord", "rk", "text").mapInArrow(_list_spans(units, maps, bits), _SPANS), "spans")
-    place = F.shiftleft("start", 10).bitwiseOR(F.col("n")).alias("at")
-    firsts = spans.groupBy("a", "c").agg(_first("ord", "rk", "start", "n"), F.max("body").alias("body"))
-    firsts = materialise(firsts.select("a", "f.*", "body"), "firsts")
-    alone = firsts.where("body is null").select("ord", "rk", place)
-    several = firsts.where("body is not null")
-    kept = alone
-    # Anchors with very many passages: one row each, and mostly none at all.
-    crowd = several.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("a")
-    if crowd.limit(1).count():
-        crowd = materialise(crowd, "crowded-anchors")
-        alive = several.join(crowd, "a", "left_semi").select("ord", "rk", "start", "n", "body").mapInArrow(_single_windows(units), "c binary, ord long, rk long, start long")
-        alive = alive.groupBy("c").agg(_first("ord", "rk", "start")).select("f.*").withColumn("n", F.lit(1))
-        kept = kept.unionByName(alive.select("ord", "rk", place))
-        several = several.join(crowd, "a", "left_anti")
-    alive = several.repartition("a").sortWithinPartitions("ord", "rk", "start").select("ord", "rk", "start", "n", "body", "a")
-    alive = alive.mapInArrow(index(units), "ord long, rk long, start long, n long")
-    kept = kept.unionByName(alive.select("ord", "rk", place))
-    both = spans.select("ord", "rk", place, F.lit(True).alias("s")).unionByName(kept.withColumn("s", F.lit(False)))
-    return both.groupBy("ord", "rk").agg(
-        F.collect_list(F.when(F.col("s"), F.col("at"))).alias("shared"), F.collect_list(F.when(~F.col("s"), F.col("at"))).alias("alive")
-    )
+    anchors, texts, digests = anchored(keyed, units), keyed.select("ord", "rk", "text"), digested(keyed)
+    if known:
+        anchors, digests = anchors.unionByName(known[1]), digests.unionByName(known[0].select("ord", "rk", "d"))
+        texts = texts.unionByName(known[0].select("ord", "rk", "text"))
+    anchors = materialise(anchors, "anchors")
+    distinct = materialise(digests.groupBy("d").agg(F.min(F.struct("ord", "rk")).alias("f")).select("f.*"), "distinct-texts")
+    held = materialise(candidates(distinct, anchors, hot), "candidates")
+    rows = passages(texts, held, units, False)
+    if held.where(F.exists("held", lambda x: x["hot"])).limit(1).count():
+        rows = rows.unionByName(representatives(_folded(passages(texts, held, units, True)), units, hot).select(*rows.columns))
+    alive = rows.repartition("a").sortWithinPartitions("a").mapInArrow(shards(units, least_places), "ord long, rk long, start long, n long")
+    place = F.shiftleft("start", _N_BITS).bitwiseOR(F.col("n"))
+    alive = materialise(alive.select("ord", "rk", place.alias("at")), "first-windows")
+    alive = alive.groupBy("ord", "rk").agg(F.collect_list("at").alias("alive"))
+    shared = held.select("ord", "rk", F.col("held.at").alias("shared"))
+    return distinct.join(shared, ["ord", "rk"], "left").join(alive, ["ord", "rk"], "left")
 
 
 def _mask(at: np.ndarray, base: np.ndarray, n: int) -> np.ndarray:
-    """True for the windows in the runs ``at`` (start << 10 | count), whose texts begin at unit ``base``."""
+    """True for the windows in the runs ``at`` (start << _N_BITS | count), whose texts begin at unit ``base``."""
     d = np.zeros(n + 1, np.int32)
-    s = (at >> 10) + base
+    s = (at >> _N_BITS) + base
     np.add.at(d, s, 1)
-    np.add.at(d, s + (at & 1023), -1)
+    np.add.at(d, s + (at & ((1 << _N_BITS) - 1)), -1)
     return np.cumsum(d[:n]) > 0
 
 
-def removed_units(units, view, shared, alive) -> np.ndarray:
-    """Which units go: covered by a shared window that does not survive. shared, alive: (values, rows) of the view's texts."""
+def removed_units(units, view, shared, alive, copies) -> np.ndarray:
+    """Which units go: covered by a shared window that does not survive, or in texts of ``copies`` that have a window.
+    shared, alive: (values, rows) of the view's texts."""
     gone = _mask(shared[0], view.offsets[shared[1]], view.n) & ~_mask(alive[0], view.offsets[alive[1]], view.n)
     d = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
     cover = np.zeros(view.n + units.length + 1, np.int32)
     np.add.at(cover, np.flatnonzero(d == 1), 1)
     np.add.at(cover, np.flatnonzero(d == -1) + units.length - 1, -1)
-    return np.cumsum(cover[: view.n]) > 0
+    sizes = np.diff(view.offsets)
+    return (np.cumsum(cover[: view.n]) > 0) | np.repeat(copies & (sizes >= units.length), sizes)
 
 
 def _flat(column):
@@ -252,22 +288,24 @@ def _flat(column):
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
 
 
-def deduplicated(docs: DataFrame, units, index, report, schema: str, **how) -> DataFrame:
+def deduplicated(docs: DataFrame, units, least_places, report, schema: str, **how) -> DataFrame:
     """report(view, gone) for every slice of texts, where gone marks the removed units; one row per row of docs.
 
     report returns the columns after doc_id.
     """
-    runs = shared_windows(docs, units, index, **how).withColumnsRenamed({"ord": "o", "rk": "r"})
+    runs = shared_windows(docs, units, least_places, **how).withColumnsRenamed({"ord": "o", "rk": "r"})
     rows = _keyed(docs)
-    rows = rows.join(runs, (rows["rk"] == runs["r"]) & (rows["ord"] == runs["o"]), "left").select("doc_id", "shared", "alive", "text")
+    rows = rows.join(runs, (rows["rk"] == runs["r"]) & (rows["ord"] == runs["o"]), "left")
+    rows = rows.select(F.col("doc_id").cast("long"), "shared", "alive", F.col("o").isNull().alias("copy"), "text")
 
     def run(batches):
         for batch in batches:
             shared, alive = _flat(batch.column(1)), _flat(batch.column(2))
+            copies = batch.column(3).to_numpy(zero_copy_only=False)
             for i, j, view in _views(units, batch):
                 part = lambda x: ((lambda k: (x[0][k], x[1][k] - i))(slice(*np.searchsorted(x[1], [i, j]))))
-                gone = removed_units(units, view, part(shared), part(alive))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), *report(view, gone)], names)
+                gone = removed_units(units, view, part(shared), part(alive), copies[i:j])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *report(view, gone)], names)
 
     names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
-    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, f"doc_id long, {schema}")
+    return rows.mapInArrow(run, f"doc_id long, {schema}")

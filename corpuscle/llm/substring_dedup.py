@@ -1,9 +1,9 @@
 """Operator 1: remove repeated passages of 20 words or more, by FM-indexes.
 
-Texts are sequences of words. See ``repeats`` for the plan; each shard holds the passages of its anchors, whose
-words are numbered and joined into one sequence with a compressed FM-index (``fm_index``). The passages stream
-through it backwards; the matching statistics give for each window of 20 words the interval of all places where it
-occurs, and it survives only at the first of them.
+Texts are sequences of words. See ``repeats`` for the plan; each shard holds the distinct passages of its anchors, whose
+words are numbered and joined into one sequence with a compressed FM-index (``fm_index``). The documents' passages
+stream through it backwards; the matching statistics give for each window of 20 words the interval of all places where
+it occurs, and it survives only at the first of them.
 
 Defined results: null and empty texts have no words; null doc_id sorts last; rows that repeat doc_id and text get
 equal results; rows that share doc_id only are ordered by a hash of their text; an empty table gives an empty
@@ -18,37 +18,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Words, mix, unit_grams, word_hashes
+from .anchors import Words, unit_grams, word_hashes
 from .fm_index import FMIndex, matching_windows
-from .pretoken import text_buffers
 from .repeats import deduplicated
 
 WINDOW = 20
 GRAM = 5
-#: A task's passages are indexed some bytes at a time; those of one anchor stay together.
-SHARD_BYTES = 3_000_000
 
 
 class WordUnits:
-    length, k = WINDOW, GRAM
+    length, k, finer = WINDOW, GRAM, (12, WINDOW)
 
     def __init__(self, b: np.ndarray, offsets: np.ndarray):
         w = Words(b, offsets)
         self.b, self.starts, self.ends, self.offsets, self.n = w.b, w.starts, w.ends, w.offsets, w.n
         self._hashes = None
 
-    def grams(self, i: int, j: int) -> np.ndarray:
+    def grams(self, i: int, j: int, k: int) -> np.ndarray:
         if self._hashes is None:
             self._hashes = word_hashes(self.b, self.starts, self.ends)
-        return unit_grams(self._hashes[i : j + self.k - 1], self.k)
+        return unit_grams(self._hashes[i : j + k - 1], k)
 
     def span(self, s: np.ndarray, e: np.ndarray):
         """Byte range of words s..e-1."""
         return self.starts[s], self.ends[e - 1]
 
 
-def survivors(orders: np.ndarray, keys: np.ndarray, starts: np.ndarray, b: np.ndarray, offsets: np.ndarray, length: int = WINDOW):
-    """(passage, window) of the windows that are the first of their text among the passages b[offsets[i]:offsets[i+1]]."""
+def least_places(units, b: np.ndarray, offsets: np.ndarray, first: np.ndarray):
+    """``repeats.shards``: (least, at), where least[at[p] + j] is the least place of the text of passage p's j-th window."""
     words = Words(b, offsets)
     ends = words.ends.astype(np.int32)
     # Words as one binary array; the blank after each belongs to none.
@@ -62,52 +59,16 @@ def survivors(orders: np.ndarray, keys: np.ndarray, starts: np.ndarray, b: np.nd
     s = np.zeros(words.n + n, np.int64)
     place = np.arange(words.n) + text
     s[place] = ids
-    begin = words.offsets[:-1] + np.arange(n)
-    end = words.offsets[1:] + np.arange(n)
-    index = FMIndex(s, length)
-    # The order of all windows: by document, then by place in it.
-    _, rank = np.unique(np.stack([orders, keys], 1), axis=0, return_inverse=True)
+    begin, end = words.offsets[:-1] + np.arange(n), words.offsets[1:] + np.arange(n)
     weight = np.full(len(s), np.iinfo(np.int64).max)
-    weight[place] = (rank.ravel()[text] << 40) + starts[text] + (place - begin[text])
-    least = index.least(weight)
-    for which, at, lo, _ in matching_windows(index, s, begin, end):
-        first = least[lo] == weight[at]
-        yield which[first], at[first] - begin[which[first]]
-
-
-def fm_shards(units):
-    """The index of ``repeats.shared_windows``: passages of whole anchors to runs of surviving windows."""
-
-    def run(batches):
-        held = [x for x in batches if x.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        parts = -(-whole["body"].nbytes // SHARD_BYTES)
-        shard = mix(whole["a"].to_numpy().view(np.uint64).copy()) % np.uint64(parts)
-        for k in range(parts):
-            table = whole.filter(pa.array(shard == k)).combine_chunks()
-            if not table.num_rows:
-                continue
-            b, offsets = text_buffers(table["body"])
-            orders, keys, starts = (table[c].to_numpy() for c in ("ord", "rk", "start"))
-            found = list(survivors(orders, keys, starts, b, offsets, units.length))
-            passage, window = (np.concatenate(x) for x in zip(*found))
-            yield survivor_rows(orders, keys, starts, passage, window)
-
-    return run
-
-
-def survivor_rows(orders, keys, starts, passage, window):
-    """Surviving windows, put together to runs, as rows (ord, rk, start, n)."""
-    order = np.lexsort((window, passage))
-    p, w = passage[order], window[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]) | (w[1:] != w[:-1] + 1)
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(p)))
-    p, w = p[at], w[at]
-    return pa.RecordBatch.from_arrays([pa.array(orders[p]), pa.array(keys[p]), pa.array(starts[p] + w), pa.array(n.astype(np.int64))], ["ord", "rk", "start", "n"])
+    weight[place] = first[text] + (place - begin[text])
+    index = FMIndex(s, units.length, weight)
+    count = np.diff(words.offsets) - units.length + 1
+    at = np.cumsum(count) - count
+    least = np.empty(count.sum(), np.int64)
+    for which, where, lo, _ in matching_windows(index, s, begin, end):
+        least[at[which] + where - begin[which]] = index.least_weight(lo)
+    return least, at
 
 
 def _report(view, gone):
@@ -124,7 +85,7 @@ def _report(view, gone):
 
 def substring_dedup(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
-    return deduplicated(docs, WordUnits, fm_shards, _report, "n_words long, n_removed long, kept_sha256 string", **how)
+    return deduplicated(docs, WordUnits, least_places, _report, "n_words long, n_removed long, kept_sha256 string", **how)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

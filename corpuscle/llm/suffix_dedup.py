@@ -1,10 +1,13 @@
 """Operator 8: remove repeated strings of 100 bytes or more, by a logarithmic family of suffix arrays.
 
 Texts are UTF-8 bytes. See ``repeats`` for the plan; a shard reads the passages of its anchors in document order, in
-batches. Each batch gets a suffix array of its window starts, is merge-scanned against the levels that exist (one
-ascending pass over two ascending arrays) for matches of 100 bytes, and what is new becomes a level; levels of about
-equal size merge, so that there are logarithmically many. A window survives if no level and no earlier place of its
-batch has it.
+batches. Each batch gets a suffix array of its window starts and is merge-scanned against the levels that exist (one
+ascending pass over two ascending arrays) for matches of 100 bytes; what is new becomes a level. Levels of about equal
+size merge, so that there are logarithmically many. They hold positions in the passages' bytes, and what is compared is
+the first 100 bytes of a suffix, all that the contract's matches need.
+
+``SuffixFamily`` keeps such a family of levels for documents that come batch by batch: a new batch is held against all
+that earlier runs left, then becomes a level.
 
 Defined results: null and empty texts have no bytes; null doc_id sorts last; rows that repeat doc_id and text get
 equal results; rows that share doc_id only are ordered by a hash of their text; an empty table gives an empty
@@ -20,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import byte_grams
-from .pretoken import text_buffers
+from .pretoken import slices
 from .repeats import deduplicated
-from .substring_dedup import survivor_rows
 
 WINDOW = 100
 GRAM = 24
@@ -31,93 +33,87 @@ BATCH = 1 << 20
 
 
 class ByteUnits:
-    length, k = WINDOW, GRAM
+    length, k, finer = WINDOW, GRAM, (56, WINDOW)
 
     def __init__(self, b: np.ndarray, offsets: np.ndarray):
         self.b, self.offsets, self.n = np.ascontiguousarray(b), offsets, len(b)
 
-    def grams(self, i: int, j: int) -> np.ndarray:
-        return byte_grams(self.b[i : j + self.k - 1], self.k)
+    def grams(self, i: int, j: int, k: int) -> np.ndarray:
+        return byte_grams(self.b[i : j + k - 1], k)
 
     def span(self, s: np.ndarray, e: np.ndarray):
         return s, e
 
 
 class SuffixLevels:
-    """Ascending arrays of distinct ``length``-byte suffix heads with the key of their first place."""
+    """Suffix arrays: bytes, window starts in ascending order of the ``length`` bytes there, and their texts' first places."""
 
     def __init__(self, length: int = WINDOW):
         self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _heads(self, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.ndarray((len(b) - self.length + 1,), f"V{self.length}", b, strides=(1,))[at].view(f"S{self.length}")
+
+    def _merged(self, old: np.ndarray, new: np.ndarray):
+        """(order, same) of two ascending arrays of distinct heads: their common order, and where in it a head of
+        ``new`` stands behind an equal one of ``old``. The sort is a merge, since it goes by ascending runs."""
+        both = np.concatenate([old, new])
+        order = np.argsort(both, kind="stable")
+        low, high = order[:-1], order[1:]
+        meet = np.flatnonzero((low < len(old)) & (high >= len(old)))
+        return order, meet[both[low[meet]] == both[high[meet]]] + 1
 
     def add(self, b: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """b: a batch's bytes; at: its window starts in document order; key: ascending with the order, equal for one
-        place. Returns which windows are the first of their text."""
+        """b: a batch's bytes; at: its window starts; key: their places, ascending and above those of earlier batches.
+        Returns the least place of each window's text."""
         if len(at) == 0:
-            return np.zeros(0, bool)
-        heads = np.ndarray((len(b) - self.length + 1,), f"S{self.length}", b, strides=(1,))[at]
-        order = np.argsort(heads, kind="stable")
-        heads, key = heads[order], key[order]
+            return key
+        heads = self._heads(b, at)
+        order = np.argsort(heads, kind="stable")  # the first of equal ones is their earliest
+        heads, place, key = heads[order], at[order], key[order]
         new = np.ones(len(heads), bool)
         new[1:] = heads[1:] != heads[:-1]
-        lead = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        heads, least = heads[lead], key[lead]  # the sort is stable: the first of a group is its earliest
+        lead, group = np.flatnonzero(new), np.cumsum(new) - 1
+        heads, place, least = heads[lead], place[lead], key[lead]
         known = np.zeros(len(heads), bool)
-        for old, old_key in self.levels:
-            where = np.minimum(np.searchsorted(old, heads), len(old) - 1)
-            same = old[where] == heads
-            least = np.where(same, old_key[where], least)
-            known |= same
-        self._push(heads[~known], least[~known])
-        first = np.empty(len(order), bool)
-        first[order] = key == least[group]
-        return first
-
-    def _push(self, heads: np.ndarray, key: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(heads):
-            old, old_key = self.levels.pop()
-            # Merge two ascending arrays of different heads.
-            at = np.searchsorted(old, heads) + np.arange(len(heads))
-            both, keys = np.empty(len(old) + len(heads), old.dtype), np.empty(len(old) + len(heads), np.int64)
-            rest = np.ones(len(both), bool)
-            rest[at] = False
-            both[at], keys[at] = heads, key
-            both[rest], keys[rest] = old, old_key
-            heads, key = both, keys
-        if len(heads):
-            self.levels.append((heads, key))
-
-
-def suffix_shards(units):
-    """The index of ``repeats.shared_windows``: passages in document order to runs of surviving windows."""
-
-    def run(batches):
-        levels = SuffixLevels(units.length)
-        docs, last = -1, None
-        for batch in batches:
-            b, offsets = text_buffers(batch.column(4))
-            orders, keys, starts = (batch.column(k).to_numpy() for k in range(3))
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = (orders[1:] != orders[:-1]) | (keys[1:] != keys[:-1])
-            if batch.num_rows and last == (orders[0], keys[0]):
-                new[0] = False
-            number = docs + np.cumsum(new)
-            if batch.num_rows:
-                docs, last = int(number[-1]), (orders[-1], keys[-1])
-            i = 0
-            while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BATCH, "right")) - 1)
-                j = min(j, batch.num_rows)
-                part = np.ascontiguousarray(b[offsets[i] : offsets[j]])
-                count = np.diff(offsets[i : j + 1]) - units.length + 1
-                row = np.repeat(np.arange(i, j), count)
-                window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                first = levels.add(part, offsets[row] - offsets[i] + window, (number[row] << 40) + starts[row] + window)
-                yield survivor_rows(orders, keys, starts, row[first], window[first])
-                i = j
-
-    return run
+        for old_b, old_at, old_key in self.levels:
+            by, same = self._merged(self._heads(old_b, old_at), heads)
+            mine = by[same] - len(old_at)
+            least[mine], known[mine] = old_key[by[same - 1]], True
+        self._push(b, place[~known], least[~known])
+        out = np.empty(len(order), np.int64)
+        out[order] = least[group]
+        return out
+
+    def _push(self, b: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
+        if not len(at):
+            return
+        while self.levels and len(self.levels[-1][1]) <= 2 * len(at):
+            old_b, old_at, old_key = self.levels.pop()
+            by, _ = self._merged(self._heads(old_b, old_at), self._heads(b, at))
+            at, key = np.concatenate([old_at, at + len(old_b)])[by], np.concatenate([old_key, key])[by]
+            b = np.concatenate([old_b, b])
+        self.levels.append((b, at, key))
+
+
+def least_places(units, b: np.ndarray, offsets: np.ndarray, first: np.ndarray):
+    """``repeats.shards``: (least, at), where least[at[p] + j] is the least place of the text of passage p's j-th window."""
+    count = np.diff(offsets) - units.length + 1
+    at = np.cumsum(count) - count
+    least = np.empty(count.sum(), np.int64)
+    levels = SuffixLevels(units.length)
+    order = np.argsort(first, kind="stable")
+    upto = np.concatenate([[0], np.cumsum(np.diff(offsets)[order])])
+    for i, j in slices(upto, BATCH):
+        rows = order[i:j]
+        size = np.diff(offsets)[rows]
+        base = np.repeat(offsets[rows] - (upto[i:j] - upto[i]), size)
+        part = b[base + np.arange(len(base))]
+        n = count[rows]
+        window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        least[np.repeat(at[rows], n) + window] = levels.add(part, np.repeat(upto[i:j] - upto[i], n) + window, np.repeat(first[rows], n) + window)
+    return least, at
 
 
 def _report(view, gone):
@@ -135,7 +131,7 @@ def _report(view, gone):
 
 def suffix_dedup(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    return deduplicated(docs, ByteUnits, suffix_shards, _report, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", **how)
+    return deduplicated(docs, ByteUnits, least_places, _report, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", **how)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def in_order(rows):
 # Operators 1 and 8 -----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("how", [{}, {"hot": 1}, {"bits": 7}])
+@pytest.mark.parametrize("how", [{}, {"hot": 1}, {"hot": 3}])
 @pytest.mark.parametrize("rows", [corpus(), EMPTY], ids=["corpus", "empty"])
 def test_substring_dedup(spark, rows, how):
     rows = in_order([r for r in rows if r[0] is not None])
@@ -76,7 +76,7 @@ def test_substring_dedup(spark, rows, how):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("how", [{}, {"hot": 1}, {"bits": 7}])
+@pytest.mark.parametrize("how", [{}, {"hot": 1}, {"hot": 3}])
 @pytest.mark.parametrize("rows", [corpus(1), EMPTY], ids=["corpus", "empty"])
 def test_suffix_dedup(spark, rows, how):
     rows = in_order([r for r in rows if r[0] is not None])
@@ -118,10 +118,12 @@ def test_suffix_levels():
         at = np.arange(len(b) - 7)
         got = levels.add(np.frombuffer(b, np.uint8), at, at + n)
         for i in at:
-            assert got[i] == (b[i : i + 8] not in seen)
-            seen.setdefault(b[i : i + 8], n + i)
+            assert got[i] == seen.setdefault(b[i : i + 8], n + i)
         n += len(at)
-    sizes = [len(k) for k, _ in levels.levels]
+    sizes = [len(k) for _, k, _ in levels.levels]
+    for data, at, _ in levels.levels:
+        heads = [data[i : i + 8].tobytes() for i in at]
+        assert heads == sorted(set(heads))
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
