@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -34,21 +36,42 @@ def build_session(cpus: int | None = None, shuffle_partitions: int = 8, app: str
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset and all runs in one process, an own one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpuscle-"))
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + _own_folder())
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+def _own_folder() -> str:
+    """A folder of this machine that goes when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="corpuscle-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/corpuscle/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    schema = df.schema
+    del df
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._corpuscle_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() returned, once all that was made of them is written itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._corpuscle_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -64,7 +87,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_corpuscle_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="corpuscle-"), "corpuscle.zip")
+    path = os.path.join(_own_folder(), "corpuscle.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(here):
             for name in names:

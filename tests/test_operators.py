@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,23 @@ def test_sessions_stream_and_merge(spark):
     assert sorted(r.n for r in incremental.sessions(rows, "ts", "k").collect()) == [1, 1, 2]
     parts = spark.createDataFrame([("a", 2, "x", None), ("a", 1, None, "p"), ("a", 3, "y", "q")], "k string, o int, f string, g string")
     assert tuple(one(repair.merge_partial(parts, "k", "o"))) == ("a", "x", "p")
+
+
+def test_scratch(spark):
+    from corpuscle import session
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        session.scratch_root(Cluster)
+    table = session.materialise(spark.range(5), "numbers")
+    path = table._corpuscle_path.removeprefix("file:")
+    assert table.count() == 5 and path.startswith(session.scratch_root(spark).removeprefix("file:")) and os.path.isdir(path)
+    session.discard(table)
+    assert not os.path.exists(path)
