@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship
+from ..session import discard, materialise, ship
 from .anchors import M, anchor_runs, mix
 from .pretoken import slices, text_buffers
 
@@ -204,10 +204,14 @@ def digested(keyed: DataFrame) -> DataFrame:
     return keyed.select("ord", "rk", F.unhex(F.sha2("text", 256)).alias("d"))
 
 
-def candidates(texts: DataFrame, anchors: DataFrame, hot: int) -> DataFrame:
+def repeated(anchors: DataFrame) -> DataFrame:
+    """(b, m): the anchors that occur more than once, and how often."""
+    return anchors.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
+
+
+def candidates(texts: DataFrame, anchors: DataFrame, often: DataFrame, hot: int) -> DataFrame:
     """(ord, rk, held): for each of the distinct texts (ord, rk) its anchors that occur more than once, as an array of
-    structs (at, a, hot)."""
-    often = anchors.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
+    structs (at, a, hot). ``often`` has one row for each anchor, so the join splits an anchor of very many places."""
     rows = anchors.join(often, F.col("a") == F.col("b")).select("ord", "rk", F.struct("at", "a", (F.col("m") > hot).alias("hot")).alias("x"))
     held = rows.groupBy(F.col("ord").alias("o"), F.col("rk").alias("r")).agg(F.collect_set("x").alias("held"))
     return texts.join(held, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r"))).select("ord", "rk", "held")
@@ -229,7 +233,8 @@ def representatives(folded: DataFrame, units, hot: int) -> DataFrame:
         if not crowd.limit(1).count():
             break
         again = rows.join(crowd, "a", "left_semi").select(*rows.columns).mapInArrow(_cut_again(units, k), _PASSAGES)
-        rows = materialise(rows.join(crowd, "a", "left_anti").unionByName(_folded(again)), "hot-passages")
+        before, rows = rows, materialise(rows.join(crowd, "a", "left_anti").unionByName(_folded(again)), "hot-passages")
+        discard(before, crowd)
     return rows
 
 
@@ -248,13 +253,18 @@ def shared_windows(docs: DataFrame, units, least_places, hot: int = HOT, known:
         texts = texts.unionByName(known[0].select("ord", "rk", "text"))
     anchors = materialise(anchors, "anchors")
     distinct = materialise(digests.groupBy("d").agg(F.min(F.struct("ord", "rk")).alias("f")).select("f.*"), "distinct-texts")
-    held = materialise(candidates(distinct, anchors, hot), "candidates")
-    rows = passages(texts, held, units, False)
+    often = materialise(repeated(anchors), "repeated-anchors")
+    held = materialise(candidates(distinct, anchors, often, hot), "candidates")
+    discard(anchors, often)
+    rows, hot_rows = passages(texts, held, units, False), None
     if held.where(F.exists("held", lambda x: x["hot"])).limit(1).count():
-        rows = rows.unionByName(representatives(_folded(passages(texts, held, units, True)), units, hot).select(*rows.columns))
+        hot_rows = representatives(_folded(passages(texts, held, units, True)), units, hot)
+        rows = rows.unionByName(hot_rows.select(*rows.columns))
     alive = rows.repartition("a").sortWithinPartitions("a").mapInArrow(shards(units, least_places), "ord long, rk long, start long, n long")
     place = F.shiftleft("start", _N_BITS).bitwiseOR(F.col("n"))
     alive = materialise(alive.select("ord", "rk", place.alias("at")), "first-windows")
+    if hot_rows is not None:
+        discard(hot_rows)
     alive = alive.groupBy("ord", "rk").agg(F.collect_list("at").alias("alive"))
     shared = held.select("ord", "rk", F.col("held.at").alias("shared"))
     return distinct.join(shared, ["ord", "rk"], "left").join(alive, ["ord", "rk"], "left")
