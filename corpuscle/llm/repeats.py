@@ -82,20 +82,21 @@ def _list_anchors(units):
 
 
 def _cut_passages(units):
-    """(ord, rk, anchors, places, text) to the passages at those places."""
+    """(ord, rk, anchors, places, hot, text) to the passages at those places."""
 
     def run(batches):
         for batch in batches:
             orders, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             anchor, row = _flat(batch.column(2))
-            place, _ = _flat(batch.column(3))
+            place, hot = _flat(batch.column(3))[0], _flat(batch.column(4))[0]
             for i, j, view in _views(units, batch):
                 mine = slice(*np.searchsorted(row, [i, j]))
                 r, n = row[mine], place[mine] & ((1 << _N_BITS) - 1)
                 start = place[mine] >> _N_BITS
                 s = start + view.offsets[r - i]
                 body = _bytes_of(view, *view.span(s, s + n + units.length - 1))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor[mine], orders[r], keys[r], start, n)), body], ["a", "ord", "rk", "start", "n", "body"])
+                columns = [*map(pa.array, (anchor[mine], orders[r], keys[r], start, n)), body, pa.array(hot[mine])]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "ord", "rk", "start", "n", "body", "hot"])
 
     return run
 
@@ -217,12 +218,12 @@ def candidates(texts: DataFrame, anchors: DataFrame, often: DataFrame, hot: int)
     return texts.join(held, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r"))).select("ord", "rk", "held")
 
 
-def passages(keyed: DataFrame, held: DataFrame, units, hot: bool) -> DataFrame:
-    """The passages around the (not) hot anchors of candidates()."""
-    some = held.select(F.col("ord").alias("o"), F.col("rk").alias("r"), F.filter("held", lambda x: x["hot"] == F.lit(hot)).alias("held")).where("size(held) > 0")
+def passages(keyed: DataFrame, held: DataFrame, units) -> DataFrame:
+    """The passages around the anchors of candidates(), with ``hot``."""
+    held = held.withColumnsRenamed({"ord": "o", "rk": "r"})
     texts = keyed.select("ord", "rk", "text").dropDuplicates(["ord", "rk"])
-    rows = texts.join(some, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r")))
-    return rows.select("ord", "rk", "held.a", "held.at", "text").mapInArrow(_cut_passages(units), _PASSAGES)
+    rows = texts.join(held, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r")))
+    return rows.select("ord", "rk", "held.a", "held.at", "held.hot", "text").mapInArrow(_cut_passages(units), _PASSAGES + ", hot boolean")
 
 
 def representatives(folded: DataFrame, units, hot: int) -> DataFrame:
@@ -256,15 +257,15 @@ def shared_windows(docs: DataFrame, units, least_places, hot: int = HOT, known:
     often = materialise(repeated(anchors), "repeated-anchors")
     held = materialise(candidates(distinct, anchors, often, hot), "candidates")
     discard(anchors, often)
-    rows, hot_rows = passages(texts, held, units, False), None
-    if held.where(F.exists("held", lambda x: x["hot"])).limit(1).count():
-        hot_rows = representatives(_folded(passages(texts, held, units, True)), units, hot)
+    every = materialise(passages(texts, held, units), "passages")
+    rows, hot_rows = every.where("not hot").drop("hot"), None
+    if every.where("hot").limit(1).count():
+        hot_rows = representatives(_folded(every.where("hot")), units, hot)
         rows = rows.unionByName(hot_rows.select(*rows.columns))
     alive = rows.repartition("a").sortWithinPartitions("a").mapInArrow(shards(units, least_places), "ord long, rk long, start long, n long")
     place = F.shiftleft("start", _N_BITS).bitwiseOR(F.col("n"))
     alive = materialise(alive.select("ord", "rk", place.alias("at")), "first-windows")
-    if hot_rows is not None:
-        discard(hot_rows)
+    discard(every, *([hot_rows] if hot_rows is not None else []))
     alive = alive.groupBy("ord", "rk").agg(F.collect_list("at").alias("alive"))
     shared = held.select("ord", "rk", F.col("held.at").alias("shared"))
     return distinct.join(shared, ["ord", "rk"], "left").join(alive, ["ord", "rk"], "left")
