@@ -9,8 +9,8 @@ from .licences import OP7_SQL, op7_licence_scan
 from .line_dedup import OP6_RUNS_SQL, OP6_SQL, op6_line_dedup, op6_line_runs
 from .mixing import OP2_SQL, op2_mix_sources
 from .quality import OP10_SQL, op10_quality_rules
-from .substring_dedup import op1_substring_dedup
-from .suffix_dedup import op8_suffix_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 from .token_files import op5_token_files
 
 QUERIES = {
@@ -30,10 +30,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op2_mix_sources": OP2_SQL,
     "op4_near_vectors": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_licence_scan": OP7_SQL,
+    "op8_suffix_dedup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
 }
 

@@ -32,12 +32,14 @@ HOT = 10_000
 #: A task's passages are indexed some bytes at a time; those of one anchor stay together.
 SHARD_BYTES = 3_000_000
 _LAST = (1 << 63) - 1
+#: ``ord`` of texts that come before all documents at hand.
+FORMER = -(1 << 63)
 _N_BITS = 10
 _PLACE_BITS = 40
 _PASSAGES = "a long, ord long, rk long, start long, n long, body binary"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"),
@@ -195,19 +197,20 @@ def _folded(passages: DataFrame) -> DataFrame:
     return passages.groupBy("a", "body").agg(F.min(F.struct("ord", "rk", "start", "n")).alias("f")).select("a", "f.*", "body")
 
 
-def anchored(keyed: DataFrame, units) -> DataFrame:
+def anchored(texts: DataFrame, units) -> DataFrame:
     """(a, ord, rk, at) of the anchors of (ord, rk, text)."""
-    return keyed.select("ord", "rk", "text").mapInArrow(_list_anchors(units), "a long, ord long, rk long, at long")
+    return texts.select("ord", "rk", "text").mapInArrow(_list_anchors(units), "a long, ord long, rk long, at long")
 
 
-def digested(keyed: DataFrame) -> DataFrame:
-    """(ord, rk, d): the SHA-256 of each text."""
-    return keyed.select("ord", "rk", F.unhex(F.sha2("text", 256)).alias("d"))
+def digest(text: str):
+    """SHA-256 of a text."""
+    return F.unhex(F.sha2(text, 256))
 
 
-def repeated(anchors: DataFrame) -> DataFrame:
-    """(b, m): the anchors that occur more than once, and how often."""
-    return anchors.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("m")).where("m > 1")
+def repeated(anchors: DataFrame, known: bool = False) -> DataFrame:
+    """(b, m): the anchors that occur more than once, and how often; with ``known``, those that new texts have."""
+    by = anchors.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("m"), F.max("ord").alias("newest")).where("m > 1")
+    return (by.where(F.col("newest") > FORMER) if known else by).select("b", "m")
 
 
 def candidates(texts: DataFrame, anchors: DataFrame, often: DataFrame, hot: int) -> DataFrame:
@@ -218,10 +221,10 @@ def candidates(texts: DataFrame, anchors: DataFrame, often: DataFrame, hot: int)
     return texts.join(held, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r"))).select("ord", "rk", "held")
 
 
-def passages(keyed: DataFrame, held: DataFrame, units) -> DataFrame:
+def passages(texts: DataFrame, held: DataFrame, units) -> DataFrame:
     """The passages around the anchors of candidates(), with ``hot``."""
     held = held.withColumnsRenamed({"ord": "o", "rk": "r"})
-    texts = keyed.select("ord", "rk", "text").dropDuplicates(["ord", "rk"])
+    texts = texts.dropDuplicates(["ord", "rk"])
     rows = texts.join(held, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r")))
     return rows.select("ord", "rk", "held.a", "held.at", "held.hot", "text").mapInArrow(_cut_passages(units), _PASSAGES + ", hot boolean")
 
@@ -244,17 +247,17 @@ def shared_windows(docs: DataFrame, units, least_places, hot: int = HOT, known:
     and of those that are the first of their text, as arrays of start << _N_BITS | count. Documents without a row repeat
     an earlier text as a whole.
 
-    known: texts (ord, rk, d, text) that come before all of docs, and their anchors (a, ord, rk, at).
+    known: distinct texts (ord = FORMER, rk, d, text) that come before all of docs, and their anchors (a, ord, rk, at).
     """
     ship(docs.sparkSession)
-    keyed = _keyed(docs)
-    anchors, texts, digests = anchored(keyed, units), keyed.select("ord", "rk", "text"), digested(keyed)
+    rows = keyed(docs)
+    anchors, texts, digests = anchored(rows, units), rows.select("ord", "rk", "text"), rows.select("ord", "rk", digest("text").alias("d"))
     if known:
         anchors, digests = anchors.unionByName(known[1]), digests.unionByName(known[0].select("ord", "rk", "d"))
         texts = texts.unionByName(known[0].select("ord", "rk", "text"))
     anchors = materialise(anchors, "anchors")
     distinct = materialise(digests.groupBy("d").agg(F.min(F.struct("ord", "rk")).alias("f")).select("f.*"), "distinct-texts")
-    often = materialise(repeated(anchors), "repeated-anchors")
+    often = materialise(repeated(anchors, known is not None), "repeated-anchors")
     held = materialise(candidates(distinct, anchors, often, hot), "candidates")
     discard(anchors, often)
     every = materialise(passages(texts, held, units), "passages")
@@ -305,7 +308,7 @@ def deduplicated(docs: DataFrame, units, least_places, report, schema: str, **ho
     report returns the columns after doc_id.
     """
     runs = shared_windows(docs, units, least_places, **how).withColumnsRenamed({"ord": "o", "rk": "r"})
-    rows = _keyed(docs)
+    rows = keyed(docs)
     rows = rows.join(runs, (rows["rk"] == runs["r"]) & (rows["ord"] == runs["o"]), "left")
     rows = rows.select(F.col("doc_id").cast("long"), "shared", "alive", F.col("o").isNull().alias("copy"), "text")
 

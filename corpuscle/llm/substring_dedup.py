@@ -90,3 +90,19 @@ def substring_dedup(docs: DataFrame, **how) -> DataFrame:
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(doc_id, 9223372036854775807) AS ord,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rn, ord, i, md5_number(array_to_string(list_slice(ws, i, i + 19), ' ')) AS g
+      FROM (SELECT rn, ord, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM d WHERE len(ws) >= 20)),
+f AS (SELECT g, min((ord, i)) AS first FROM w GROUP BY g HAVING count(*) > 1),
+x AS (SELECT w.rn, w.i FROM w JOIN f ON w.g = f.g WHERE (w.ord, w.i) > f.first),
+b AS (SELECT rn, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+m AS (SELECT b.rn, b.i, b.word, coalesce(max(x.i) OVER (PARTITION BY b.rn ORDER BY b.i) > b.i - 20, false) AS gone
+      FROM b LEFT JOIN x ON x.rn = b.rn AND x.i = b.i),
+o AS (SELECT rn, count(*) AS n, count(*) FILTER (gone) AS k, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY rn)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o ON o.rn = d.rn
+"""

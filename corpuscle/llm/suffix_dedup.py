@@ -20,11 +20,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import discard, materialise
 from .anchors import byte_grams
 from .pretoken import slices
-from .repeats import deduplicated
+from .repeats import FORMER, anchored, deduplicated, digest, keyed
 
 WINDOW = 100
 GRAM = 24
@@ -134,5 +136,83 @@ def suffix_dedup(docs: DataFrame, **how) -> DataFrame:
     return deduplicated(docs, ByteUnits, least_places, _report, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", **how)
 
 
+class SuffixFamily:
+    """Documents that come batch by batch: each batch is held against all earlier ones, then becomes a level.
+
+    A level is a folder under ``folder`` (one that all executors share) with two tables: the distinct texts (rk, d,
+    text) and their anchors (a, rk, at). Only passages that a new batch shares get suffix arrays again. Levels of about
+    equal size merge, so that n batches leave about log n levels; a merged level names the batches it holds, so that one
+    left half done by a lost driver does no harm. The batches of one folder come one after the other.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def levels(self) -> list[tuple[int, int, int]]:
+        """(first batch, last batch, texts) of the levels, in order."""
+        if not self._files.exists(self._path(self.folder)):
+            return []
+        names = [x.getPath().getName() for x in self._files.listStatus(self._path(self.folder))]
+        found = [tuple(map(int, x.split("-")[1:])) for x in names if x.startswith("level-")]
+        whole = [x for x in found if self._files.exists(self._path(f"{self._at(x)}/anchors/_SUCCESS"))]
+        return sorted(x for x in whole if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in whole))
+
+    def _at(self, level) -> str:
+        return f"{self.folder}/level-{level[0]}-{level[1]}-{level[2]}"
+
+    def _read(self, kind: str, levels) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self._at(x)}/{kind}" for x in levels])
+
+    def _write(self, level, texts: DataFrame, anchors) -> None:
+        for kind, rows in (("texts", texts), ("anchors", anchors)):
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self._at(level)}/{kind}")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """The columns of suffix_dedup() for docs, all of which come after the documents of earlier calls."""
+        levels, known = self.levels(), None
+        docs = docs.select("doc_id", "text")
+        if levels:
+            former = F.lit(FORMER).alias("ord")
+            known = self._read("texts", levels).select(former, "rk", "d", "text"), self._read("anchors", levels).select("a", former, "rk", "at")
+        result = materialise(suffix_dedup(docs, known=known), "suffix-family")
+        texts = keyed(docs).withColumn("d", digest("text")).dropDuplicates(["d"])
+        if levels:
+            texts = texts.join(self._read("texts", levels).select("d"), "d", "left_anti")
+        texts = materialise(texts.select("ord", "rk", "d", "text"), "suffix-family-texts")
+        batch = levels[-1][1] + 1 if levels else 0
+        self._write((batch, batch, texts.count()), texts.drop("ord"), anchored(texts, ByteUnits).drop("ord"))
+        discard(texts)
+        self._merge()
+        return result
+
+    def _merge(self) -> None:
+        while len(levels := self.levels()) > 1 and levels[-2][2] <= 2 * levels[-1][2]:
+            two = levels[-2:]
+            self._write((two[0][0], two[1][1], two[0][2] + two[1][2]), self._read("texts", two), self._read("anchors", two))
+            for x in two:
+                self._files.delete(self._path(self._at(x)), True)
+
+
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(doc_id, 9223372036854775807) AS ord,
+                  encode(coalesce(text, '')) AS bs FROM documents),
+w AS (SELECT rn, ord, i, md5_number(bs[i:i + 99]) AS g
+      FROM (SELECT rn, ord, bs, unnest(generate_series(1, octet_length(bs) - 99)) AS i FROM d WHERE octet_length(bs) >= 100)),
+f AS (SELECT g, min((ord, i)) AS first FROM w GROUP BY g HAVING count(*) > 1),
+x AS (SELECT w.rn, w.i FROM w JOIN f ON w.g = f.g WHERE (w.ord, w.i) > f.first),
+h AS (SELECT rn, regexp_extract_all(hex(bs), '..') AS hs FROM d),
+b AS (SELECT rn, unnest(hs) AS byte, generate_subscripts(hs, 1) AS i FROM h),
+m AS (SELECT b.rn, b.i, b.byte, coalesce(max(x.i) OVER (PARTITION BY b.rn ORDER BY b.i) > b.i - 100, false) AS gone
+      FROM b LEFT JOIN x ON x.rn = b.rn AND x.i = b.i),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rn ORDER BY i), false) AS begins FROM m),
+o AS (SELECT rn, count(*) AS n, count(*) FILTER (gone) AS k, count(*) FILTER (begins) AS s, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept
+      FROM r GROUP BY rn)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(k, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o ON o.rn = d.rn
+"""

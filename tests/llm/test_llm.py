@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.llm import anchors, bagminhash, bpe, ego_join, elias_fano, fm_index, licences, line_dedup, mixing, pretoken, quality, queries, substring_dedup, suffix_dedup, token_files
+from corpuscle.llm import anchors, bagminhash, bpe, ego_join, elias_fano, fm_index, licences, line_dedup, mixing, pretoken, quality, queries, repeats, substring_dedup, suffix_dedup, token_files
 from corpuscle.llm.components import components
 
 from .brute import near_classes, removed, sha, words
@@ -80,7 +80,8 @@ def test_substring_dedup(spark, rows, how):
 @pytest.mark.parametrize("rows", [corpus(1), EMPTY], ids=["corpus", "empty"])
 def test_suffix_dedup(spark, rows, how):
     rows = in_order([r for r in rows if r[0] is not None])
-    rows = [(d, t[:3000] if t else t) for d, t in rows]
+    # Brute force takes 100 bytes of memory a byte, so the long texts are shortened, to some ten anchor blocks of a shard.
+    rows = [(d, t[:30_000] if t else t) for d, t in rows]
     got = sorted(tuple(r) for r in suffix_dedup.suffix_dedup(table(spark, rows), **how).collect())
     docs = [(order(d), (t or "").encode()) for d, t in rows]
     want = []
@@ -90,6 +91,66 @@ def test_suffix_dedup(spark, rows, how):
     assert got == sorted(want)
 
 
+def test_texts_of_one_doc_id(spark):
+    """Rows that share doc_id only are ordered by the hash of doc_id and text; those that repeat both are one document."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(k % 4, " ".join([f"a{k}x{j}" for j in range(rng.randint(0, 30))] + passage[: rng.randint(20, 60)])) for k in range(24)]
+    rows += [rows[3], rows[3], rows[7]]
+    df = table(spark, rows)
+    order_of = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    docs = [((d, order_of[d, t]), d, t) for d, t in rows]
+    got = sorted(tuple(r) for r in substring_dedup.substring_dedup(df).collect())
+    texts = [(key, tuple(words(t))) for key, _, t in docs]
+    want = [(d, len(w), sum(g), sha(" ".join(x for x, y in zip(w, g) if not y).encode())) for (_, d, _), (_, w), g in zip(docs, texts, removed(texts, 20))]
+    assert got == sorted(want)
+    got = sorted(tuple(r)[:3] for r in suffix_dedup.suffix_dedup(df).collect())
+    texts = [(key, t.encode()) for key, _, t in docs]
+    assert got == sorted((d, len(b), sum(g)) for (_, d, _), (_, b), g in zip(docs, texts, removed(texts, 100)))
+
+
+@pytest.mark.parametrize("units,find", [(substring_dedup.WordUnits, substring_dedup.least_places), (suffix_dedup.ByteUnits, suffix_dedup.least_places)])
+def test_the_index_decides(spark, units, find):
+    """The windows that go are those in later copies of whole texts and those that the indexes tell, no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(units, b, offsets, first):
+        least, at = find(units, b, offsets, first)
+        seen.add(len(least))
+        return least, at
+
+    runs = repeats.shared_windows(docs, units, counted)
+    n = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<long>")), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(1023)))
+    shared, alive = runs.agg(F.sum(n("shared")), F.sum(n("alive"))).first()
+    rows = repeats.keyed(docs).join(runs, ["ord", "rk"], "left_anti").collect()
+    whole = sum(max(0, (len(words(r.text)) if units.length == 20 else len(r.text.encode())) - units.length + 1) for r in rows)
+    # All distinct passages were searched, and no anchor of these texts is hot.
+    assert 0 < alive <= seen.value <= shared
+    first, again = {}, 0
+    for r in docs.orderBy("doc_id").collect():
+        w = words(r.text) if units.length == 20 else (r.text or "").encode()
+        for i in range(len(w) - units.length + 1):
+            g = hash(tuple(w[i : i + 20]) if units.length == 20 else w[i : i + 100])
+            again += first.setdefault(g, (r.doc_id, i)) != (r.doc_id, i)
+    print(units.__name__, "by the index", shared - alive, "in whole copies", whole)
+    assert shared - alive + whole == again and shared - alive > again / 3
+
+
+def test_suffix_family(spark, tmp_path):
+    """Batches one after the other give what one run over all gives; levels stay few."""
+    rows = sorted((d, t) for d, t in corpus(5) if d is not None and t is not None)
+    rows = [r for k, r in enumerate(rows) if r[0] not in {q[0] for q in rows[:k]}]
+    family = suffix_dedup.SuffixFamily(spark, str(tmp_path / "family"))
+    got = []
+    for k in range(0, len(rows), 20):
+        got += family.add(table(spark, rows[k : k + 20])).collect()
+        assert len(family.levels()) <= 3
+    want = suffix_dedup.suffix_dedup(table(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert sum(r.n_removed for r in family.add(table(spark, rows[:5])).collect()) == sum(len(t.encode()) for _, t in rows[:5] if len(t.encode()) >= 100)
+
+
 def test_null_ids_come_last(spark):
     text = " ".join(f"w{i}" for i in range(40))
     got = {(r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(table(spark, [(None, text), (5, text + " x")])).collect()}
