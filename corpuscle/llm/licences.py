@@ -20,16 +20,21 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Equivalent spellings, each brought to the second form after lower-casing.
+from ..session import materialise
+
+# Equivalent spellings, each brought to the second form after lower-casing, one after the other.
 SPELLINGS = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub-license", "sublicense"),
     ("non-commercial", "noncommercial"),
     ("merchantibility", "merchantability"),
     ("copyright owner", "copyright holder"),
     ("https://", "http://"),
+    ("lgpl-3.0", "gnu lesser general public license, version 3"),
+    ("agpl-3.0", "gnu affero general public license, version 3"),
     ("gpl-3.0", "gnu general public license, version 3"),
+    ("lgplv3", "gnu lesser general public license, version 3"),
+    ("agplv3", "gnu affero general public license, version 3"),
     ("gplv3", "gnu general public license, version 3"),
     ("creative commons attribution-noncommercial 4.0", "cc by-nc 4.0"),
     ("version 2.0", "version 2"),
@@ -109,33 +114,33 @@ def digest(text: Column) -> Column:
 
 
 def catalogue(spark: SparkSession, known=None) -> DataFrame:
-    """(kind, digest, licence): one row per known digest and kind."""
+    """(kind, digest, licence, size): one row per known digest and kind, with the length of its canonical text."""
     rows = spark.createDataFrame(list(known_texts() if known is None else known), "licence string, kind string, text string")
-    return rows.groupBy("kind", digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
+    return rows.groupBy("kind", digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"), F.first(F.length(canonical(F.col("text")))).alias("size"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text_digest, licence (null: no known text), n_notices, notices.
 
-    Lines are looked up inside each row, in a map of the catalogue's digests: the catalogue has a fixed
-    size, documents stay where they were read, and no line is shuffled. Entire texts are hash-joined.
+    Entire texts and lines are hash-joined to the catalogue. Only lines as long as some notice are digested; the digests
+    are written with those of the texts, so that every text is read once, and no text is shuffled. ``known`` is a
+    catalogue(): a table of fixed size, whose notices' lengths come to the driver.
     """
     spark = docs.sparkSession
     known = catalogue(spark) if known is None else known
-    texts = known.where("kind = 'text'").select(F.col("digest").alias("__v_digest"), F.col("licence").alias("__v_licence"))
-    notices = known.where("kind = 'notice'").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("__v_map"))
-    # A global aggregate: exactly one row, of the size of the catalogue, joins to every document.
-    rows = docs.select("doc_id", digest(F.col("text")).alias("text_digest"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), digest).alias("__v_lines"))
-    rows = rows.crossJoin(F.broadcast(notices))
-    hits = F.filter(F.transform("__v_lines", lambda d: F.try_element_at("__v_map", d)), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", "text_digest", hits.alias("__v_hits"))
-    return rows.join(texts, rows["text_digest"] == texts["__v_digest"], "left").select(
-        "doc_id",
-        "text_digest",
-        F.col("__v_licence").alias("licence"),
-        F.size("__v_hits").cast("long").alias("n_notices"),
-        F.array_join(F.array_sort(F.array_distinct("__v_hits")), ",").alias("notices"),
+    texts = known.where("kind = 'text'").select(F.col("digest").alias("d"), F.col("licence").alias("text_licence"))
+    notices = known.where("kind = 'notice'").select("digest", "licence")
+    sizes = sorted(r.size for r in known.where("kind = 'notice'").select("size").distinct().collect())
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), canonical), lambda x: F.length(x).isin(sizes))
+    rows = docs.select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("k"), digest(F.col("text")).alias("text_digest"), F.transform(lines, lambda x: F.sha2(x.cast("binary"), 256)).alias("lines")
     )
+    rows = materialise(rows, "licence-digests")
+    # Rows that repeat doc_id and text share one answer.
+    once = rows.where("size(lines) > 0").dropDuplicates(["k", "text_digest"]).select("k", "text_digest", F.explode("lines").alias("digest"))
+    hits = once.join(notices, "digest").groupBy("k", "text_digest").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
+    rows = rows.drop("lines").join(hits, ["k", "text_digest"], "left").join(texts, F.col("text_digest") == F.col("d"), "left")
+    return rows.select("doc_id", "text_digest", F.col("text_licence").alias("licence"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def op7_licence_scan(spark, sf_dir: str) -> DataFrame:

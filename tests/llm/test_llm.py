@@ -485,6 +485,15 @@ def test_licences(spark):
     assert licences.scan(table(spark, EMPTY)).count() == 0
 
 
+def test_licences_of_repeated_rows_and_their_kin(spark):
+    line = "Licensed under CC BY-NC 4.0."
+    rows = [(1, line), (1, line), (1, line + "\n" + line), (2, line), (None, line), (None, line), (3, "SPDX-License-Identifier: LGPL-3.0-only"), (4, "This work is licensed under the LGPL-3.0.")]
+    got = sorted(((order(r.doc_id), r.n_notices, r.notices) for r in licences.scan(table(spark, rows)).collect()))
+    nc = "CC-BY-NC-4.0"
+    assert got[:4] == [(1, 1, nc), (1, 1, nc), (1, 2, nc), (2, 1, nc)] and got[-2:] == [(LAST, 1, nc)] * 2
+    assert all("GPL-3.0" not in n.replace("LGPL-3.0", "") for _, _, n in got[4:6])
+
+
 def test_licences_of_the_whole_catalogue(spark):
     mit = next(t for n, k, t in licences.KNOWN if (n, k) == ("MIT", "text"))
     bare = mit.removeprefix("MIT License\n\n")
