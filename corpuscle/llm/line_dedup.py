@@ -72,7 +72,7 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     ``ord`` is doc_id with null last, ``h`` the hash of the text. First only 16-byte digests are shuffled and
     counted, with partial sums; then just the chunks with repeated digests travel with their bytes. Each is
     compared with the first copy of its bytes, one row per distinct chunk, so that a chunk held by a third of
-    all documents meets one row, and a skewed digest is split by the join.
+    all documents meets one row. Those rows are written before the join, which can so split a skewed digest.
     """
     p = _P
     rows = (
@@ -87,7 +87,7 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MI
     )
     often = rows.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
     held = materialise(rows.join(often, ["d1", "d2"], "left_semi"), "line-chunks")
-    firsts = held.groupBy("d1", "d2", F.col("body").alias("first_body")).agg(F.min(F.struct("ord", "k")).alias("first"))
+    firsts = materialise(held.groupBy("d1", "d2", F.col("body").alias("first_body")).agg(F.min(F.struct("ord", "k")).alias("first")), "line-firsts")
     dead = (
         held.join(firsts, ["d1", "d2"])
         .where((F.col("body") == F.col("first_body")) & (F.struct("ord", "k") > F.col("first")))
@@ -144,7 +144,7 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     two = lambda ls: F.transform("at", lambda x: F.struct(x["i"].alias("i"), x["d1"].alias("d1"), x["d2"].alias("d2"), F.concat_ws("\n", F.get(ls, x["i"]), F.get(ls, x["i"] + 1)).alias("body")))
     met = docs.join(at, (docs["ord"] == at["o"]) & (docs["h"] == at["g"]))
     held = materialise(met.select("ord", "h", F.explode(_let(F.split("text", "\n"), two)).alias("x")).select("ord", "h", "x.*"), "line-pairs")
-    firsts = held.groupBy("d1", "d2", F.col("body").alias("first_body")).agg(F.min(F.struct("ord", "i")).alias("first"))
+    firsts = materialise(held.groupBy("d1", "d2", F.col("body").alias("first_body")).agg(F.min(F.struct("ord", "i")).alias("first")), "line-firsts")
     dead = held.join(firsts, ["d1", "d2"]).where((F.col("body") == F.col("first_body")) & (F.struct("ord", "i") > F.col("first")))
     return dead.groupBy("ord", "h").agg(F.collect_set("i").alias("dead"))
 

@@ -68,7 +68,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0) -> DataFrame:
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     """budgets (source, source_size, target) with ``whole`` copies of all and ``cut``: hashes below it are taken once more.
 
-    Each level reads only the documents of the boundary buckets of the level before.
+    The first level reads the sizes and hashes of all documents; those in the sources' boundary buckets, one in 4,096 or
+    so, are written apart, and the levels below read no others.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     state = budgets.withColumns({"whole": whole}).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -82,6 +83,8 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
         inside = F.col("src").eqNullSafe(F.col("b_src"))
         if level > 1:
             inside &= F.shiftright("hash", shift + BUCKET_BITS) == F.shiftright("cut", shift + BUCKET_BITS)
+        if level == 2:
+            live = materialise(live.join(bounds.select("b_src", "cut"), inside).select("src", "size", "hash"), "mix-boundary")
         hist = (
             live.join(bounds, inside)
             .groupBy("b_src", F.shiftright("hash", shift).alias("bucket"))
