@@ -24,7 +24,8 @@ def _map(df: DataFrame, schema: str, provider: Callable[[pd.DataFrame], pd.DataF
         for batch in batches:
             yield provider(batch)
 
-    return (df.coalesce(workers) if workers else df).mapInPandas(run, schema)
+    # A limit holds for the provider alone: what comes before it keeps its own tasks.
+    return (df.repartition(workers) if workers else df).mapInPandas(run, schema)
 
 
 def ocr(images: DataFrame, provider: Callable | None = None, workers: int | None = None) -> DataFrame:
@@ -76,10 +77,10 @@ def translate(units: DataFrame, langs, models, provider: Callable | None = None,
 
 
 def stub_translate(batch: pd.DataFrame) -> pd.DataFrame:
-    import zlib
+    import hashlib
 
     text = batch["lang"] + ":" + batch["model"] + ":" + batch["text"].fillna("")
-    return pd.DataFrame({"unit_id": batch["unit_id"], "lang": batch["lang"], "model": batch["model"], "text": text, "score": [zlib.crc32(x.encode()) / 2**32 for x in text]})
+    return pd.DataFrame({"unit_id": batch["unit_id"], "lang": batch["lang"], "model": batch["model"], "text": text, "score": [int(hashlib.md5(x.encode()).hexdigest()[:12], 16) / 2**48 for x in text]})
 
 
 def judge(candidates: DataFrame, provider: Callable | None = None, workers: int | None = None) -> DataFrame:
@@ -90,6 +91,15 @@ def judge(candidates: DataFrame, provider: Callable | None = None, workers: int
     return _judge(rows, ["unit_id", "lang"], "score", "tie", "model", "text").drop("tie")
 
 
+def repair(gaps: DataFrame, provider: Callable | None = None, workers: int | None = None) -> DataFrame:
+    """Missing texts (unit_id, lang, source) to a model's repairs (unit_id, lang, method, text), as repair.fill takes them."""
+    return _map(gaps.select("unit_id", "lang", "source"), "unit_id string, lang string, method string, text string", provider or stub_repair, workers)
+
+
+def stub_repair(batch: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"unit_id": batch["unit_id"], "lang": batch["lang"], "method": "model", "text": batch["lang"] + ":" + batch["source"].fillna("")})
+
+
 def visual_check(joined: DataFrame, provider: Callable | None = None, workers: int | None = None) -> DataFrame:
     """(image, content, text) to (image, text, ok). The stub compares with what the OCR stub reads."""
     return _map(joined.select("image", "content", "text"), "image string, text string, ok boolean", provider or stub_visual, workers)

@@ -18,6 +18,31 @@ def glossary_hits(docs: DataFrame, terms: list[str], key: str, text: str = "text
     return docs.select(key, F.explode(held).alias("term"))
 
 
+def _held(docs: DataFrame, items: DataFrame, grams: Column, key: str, text: str, needle: str) -> DataFrame:
+    """(key, the columns of items) where the text holds ``needle``; ``grams``: those of a text, one of which is the
+    item's ``gram`` if the text holds it.
+
+    Only keys and grams meet; texts are fetched for the pairs that are left.
+    """
+    rows = docs.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    near = rows.join(items, "gram").drop("gram").distinct()
+    return docs.select(key, text).join(near, key).where(F.contains(F.col(text), F.col(needle))).drop(text).distinct()
+
+
+def glossary_lookup(docs: DataFrame, glossary: DataFrame, key: str, term: str, text: str = "text") -> DataFrame:
+    """(key, the columns of glossary) for each of the glossary's terms that the text holds.
+
+    Texts and terms meet on a term's first GRAM characters, or all of a shorter one; the literal test follows. Spark
+    broadcasts the glossary below its threshold, and then no text is shuffled. Empty and null terms are in no text.
+    """
+    terms = glossary.where(F.length(term) > 0).withColumn("gram", F.substring(term, 1, GRAM))
+    body = F.coalesce(F.col(text), F.lit(""))
+    starts = F.sequence(F.lit(1), F.length(body))
+    of = lambda k: F.transform(starts, lambda i: F.substring(body, i, F.lit(k)))
+    grams = F.flatten(F.array(*[of(k) for k in range(1, GRAM + 1)]))
+    return _held(docs.where(F.length(text) > 0), terms, grams, key, text, term)
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
 
@@ -26,19 +51,22 @@ def gold_containment(docs: DataFrame, gold: DataFrame, key: str, item: str, text
     """(key, item) where the text holds the gold text literally.
 
     A held passage's inner words stand in the text as whole words, so texts and passages meet on a hash of the
-    GRAM words after a passage's first; the literal test follows. Texts stream past the (small) table of passage
-    grams: Spark broadcasts it below its threshold and shuffles both sides beyond. Passages with too few words for
-    a gram are tested one by one.
+    GRAM words after a passage's first; the literal test follows. Only keys and hashes meet, and texts are fetched for
+    the pairs that are left. Passages with too few words for a gram meet texts on their characters (glossary_lookup).
     """
     w = _words(F.col(text))
     # Not trusted where the gram would reach the passage's last, perhaps partial word.
     gram = F.when(F.size(w) >= GRAM + 2, F.xxhash64(F.array_join(F.slice(w, 2, GRAM), " ")))
     keyed = gold.select(item, F.col(text).alias("gold"), gram.alias("gram"))
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - GRAM + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, GRAM), " ")))
-    rows = docs.select(key, text, w.alias("w")).where(F.size("w") >= GRAM).select(key, text, F.explode(F.array_distinct(grams)).alias("gram"))
-    long = rows.join(keyed.where("gram is not null"), "gram").where(F.contains(F.col(text), F.col("gold"))).select(key, item)
-    short = docs.join(keyed.where("gram is null and gold is not null"), F.contains(F.col(text), F.col("gold"))).select(key, item)
-    return long.unionByName(short).distinct()
+    wide = docs.select(key, text, w.alias("w")).where(F.size("w") >= GRAM)
+    long = _held(wide, keyed.where("gram is not null"), grams, key, text, "gold").select(key, item)
+    few = keyed.where("gram is null and gold is not null").drop("gram")
+    if few.limit(1).count():
+        long = long.unionByName(glossary_lookup(docs, few, key, "gold", text).select(key, item))
+        # Every text holds the empty passage.
+        long = long.unionByName(docs.where(F.col(text).isNotNull()).select(key).join(few.where("gold = ''").select(item)))
+    return long.distinct()
 
 
 def gold_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -50,8 +78,9 @@ def gold_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:
     """(key, nearest, similarity): for every query the other row of greatest inner product, ties by least key.
 
-    Both sides are packed into blocks of vectors; every query block meets every row block, and only the best of
-    each query in a block goes on.
+    Both sides are packed into blocks of vectors of one length; every query block meets every row block, and only the
+    best of each query in a block goes on. Null keys, and vectors that are null or hold null or non-finite components,
+    take no part; vectors of different lengths are not compared.
     """
     ship(rows.sparkSession)
 
@@ -62,23 +91,29 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: i
                 held.append(batch)
                 size += batch.num_rows
                 if size >= block:
-                    yield emit(held)
+                    yield from emit(held)
                     held, size = [], 0
             if held:
-                yield emit(held)
+                yield from emit(held)
 
         def emit(held):
             t = pa.Table.from_batches(held).combine_chunks()
-            x = np.stack(t["v"].to_numpy()).astype("<f8") if len(t) else np.zeros((0, 1))
-            return pa.RecordBatch.from_arrays([pa.array([t["k"].to_numpy().astype("<i8").tobytes()]), pa.array([x.tobytes()])], [k, v])
+            ids, dims = t["k"].to_numpy(), t["n"].to_numpy()
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                x = t["v"].take(pa.array(at)).combine_chunks().flatten().to_numpy().astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([ids[at].astype("<i8").tobytes()]), pa.array([x.tobytes()])], [k, v])
 
-        sound = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
-        return sound.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"{k} binary, {v} binary")
+        sound = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and size(v) > 0")
+        sound = sound.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+        return sound.select("k", "v", F.size("v").alias("n")).mapInArrow(run, f"{k} binary, {v} binary")
 
     def best(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 q, x, i, y = (np.frombuffer(batch.column(c)[r].as_buffer(), d) for c, d in enumerate(("<i8", "<f8", "<i8", "<f8")))
+                if len(x) // len(q) != len(y) // len(i):
+                    continue
                 dots = x.reshape(len(q), -1) @ y.reshape(len(i), -1).T
                 dots[q[:, None] == i[None, :]] = -np.inf
                 order = np.argsort(i, kind="stable")

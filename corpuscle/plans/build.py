@@ -61,6 +61,8 @@ def build(
     result = sent.select("unit_id", source.alias("source"), grade.alias("grade")).join(texts, "unit_id").withColumnRenamed("unit_id", "id")
     result = materialise(result, "stage-units")
     writers.by_grade(result, f"{out}/graded")
+    writers.json_rows(result.select("id", "source", "translations"), f"{out}/json")
+    writers.parallel_text(units.to_wide(units.explode_translations(result, config.langs), "id", config.langs), f"{out}/text", "id", config.langs)
     writers.tmx(units.explode_translations(result, config.langs), f"{out}/tmx")
     writers.append_progress(sent.select(F.col("board").alias("item"), F.lit("units").alias("stage"), F.lit("done").alias("status")).distinct().withColumn("at", F.current_timestamp()), f"{out}/progress")
     return result

@@ -7,8 +7,6 @@ reviews, events as a progress log, benchmark as gold texts, rows of equal text a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,25 +16,14 @@ from ..operators import align, coverage, grading, hooks, reference, repair, segm
 from ..session import scratch_root
 from ..sources import readers, writers
 from ..streaming import incremental
+from .registry import QUERIES, SQL, query
 
 LANGS = ("de", "en", "es", "fr")
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 #: Terms of a small glossary: common pieces of the four languages.
 TERMS = ("the", "and", "les", "ein", "con", "thand", "über", "ñ")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -219,13 +206,13 @@ def grade_at_least(spark, sf):
 
 
 @query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'confirm' WHEN quality = 0 THEN 'correct' END AS action,
-md5(CASE WHEN quality = 0 THEN 'c' || substr(text, 1, 20) ELSE text END) AS digest
+md5(CASE WHEN quality = 0 THEN 'c' || text ELSE text END) AS digest
 FROM (SELECT d.doc_id, text, CASE WHEN toxic = 1 THEN NULL ELSE quality END AS quality, coalesce(toxic, 0) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) WHERE toxic = 0""")
 def review_overlay(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "text")
     reviews = _t(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "skip").when(F.col("quality") == 1, "confirm").otherwise("correct").alias("action"))
     # The correction here is made from the item itself, so that it is deterministic.
-    reviews = reviews.join(docs.select("doc_id", F.concat(F.lit("c"), F.substring("text", 1, 20)).alias("corrected_text")), "doc_id")
+    reviews = reviews.join(docs.select("doc_id", F.concat(F.lit("c"), "text").alias("corrected_text")), "doc_id")
     return grading.review_overlay(docs, reviews, "doc_id").select("doc_id", "action", F.md5("final").alias("digest"))
 
 
@@ -374,16 +361,18 @@ def judge_self_preference(spark, sf):
     return select.self_preference(w, "lang", "source", "judge")
 
 
-_D_REPAIR = """g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '  ' ELSE text END AS text, CASE WHEN doc_id % 2 = 0 THEN 'r' || text END AS rule,
-(SELECT min('m' || quality) FROM labels l WHERE l.doc_id = d.doc_id) AS model FROM documents d)"""
+_D_REPAIR = """g AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[#$%&*]{3,}') THEN '  ' WHEN regexp_matches(text, 'https?://') THEN NULL ELSE text END AS text,
+CASE WHEN regexp_matches(text, '[#$%&*]{3,}') THEN regexp_replace(text, '[#$%&*]{3,}', '', 'g') END AS rule, (SELECT min('m' || quality) FROM labels l WHERE l.doc_id = d.doc_id) AS model FROM documents d)"""
 
 
 @query(f"""WITH {_D_REPAIR} SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^\\s]') THEN 'original' WHEN rule IS NOT NULL THEN 'rule' WHEN model IS NOT NULL THEN 'model' ELSE 'none' END AS method,
 md5(CASE WHEN regexp_matches(coalesce(text, ''), '[^\\s]') THEN text ELSE coalesce(rule, model) END) AS digest FROM g""")
 def repair_fill(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "text")
-    gaps = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, "  ").otherwise(F.col("text")))
-    rule = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("rule").alias("method"), F.concat(F.lit("r"), "text").alias("text"))
+    # Texts with recognition marks count as unreadable, those with addresses as missing; a rule repairs the former.
+    noisy = F.rlike("text", F.lit(r"[#$%&*]{3,}"))
+    gaps = docs.withColumn("text", F.when(noisy, "  ").when(F.rlike("text", F.lit("https?://")), None).otherwise(F.col("text")))
+    rule = docs.where(noisy).select("doc_id", F.lit("rule").alias("method"), X.noise(F.col("text")).alias("text"))
     model = _t(spark, sf, "labels").select("doc_id", F.lit("model").alias("method"), F.concat(F.lit("m"), F.col("quality").cast("string")).alias("text"))
     return repair.fill(gaps, rule.unionByName(model), ["doc_id"]).select("doc_id", "method", F.md5("final").alias("digest"))
 
@@ -408,19 +397,9 @@ def apply_corrections(spark, sf):
 
 @query(f"""WITH {_D_SENT}, j AS (SELECT rn, p, string_agg(sentence, '' ORDER BY s) AS t FROM s GROUP BY rn, p)
 SELECT p.doc_id, p.p::BIGINT AS p, regexp_replace(para, '[\\s\\x{{3000}}\\x{{00A0}}]+', '', 'g') = regexp_replace(coalesce(t, ''), '[\\s\\x{{3000}}\\x{{00A0}}]+', '', 'g') AS kept,
-levenshtein(substr(para, 1, 60), substr(regexp_replace(para, '[#$%&*]{{3,}}', '', 'g'), 1, 60)) <= 10 AS cleaned FROM p LEFT JOIN j ON j.rn = p.rn AND j.p = p.p""")
+length(para) - length(regexp_replace(para, '[#$%&*]{{3,}}', '', 'g')) <= 10 AS cleaned FROM p LEFT JOIN j ON j.rn = p.rn AND j.p = p.p""")
 def clean_not_rewrite(spark, sf):
-    rows = _paras(spark, sf)
-    head = lambda c: F.substring(c, 1, 60)
-    return rows.select(
-        "doc_id", F.col("p").cast("long").alias("p"), X.keeps_text(F.col("paragraph"), X.sentences(F.col("paragraph"))).alias("kept"),
-        X.only_cleaned(head(F.col("paragraph")), head(X.noise(F.col("paragraph"))), F.lit(10)).alias("cleaned"),
-    )
-
-
-@query()
-def clean_not_rewrite_whole(spark, sf):
-    """As clean_not_rewrite, whose SQL compares only the first 60 characters, over whole paragraphs."""
+    """Whole paragraphs. Noise is only taken out, so that the SQL can count its edits as the characters that go."""
     rows = _paras(spark, sf)
     return rows.select(
         "doc_id", F.col("p").cast("long").alias("p"), X.keeps_text(F.col("paragraph"), X.sentences(F.col("paragraph"))).alias("kept"),
@@ -501,9 +480,9 @@ def rollup_source_lang(spark, sf):
     return _docs(spark, sf).rollup("source", "lang").agg(F.grouping_id("source", "lang").alias("level"), F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, 'rule' AS method FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'model' FROM labels""")
+@query("""SELECT doc_id, 'rule' AS method FROM documents WHERE regexp_matches(text, '[#$%&*]{3,}') UNION ALL SELECT doc_id, 'model' FROM labels""")
 def combine_repairs(spark, sf):
-    rule = _docs(spark, sf).where("doc_id % 2 = 0").select("doc_id", F.lit("rule").alias("method"))
+    rule = _docs(spark, sf).where(X.noise(F.col("text")) != F.col("text")).select("doc_id", F.lit("rule").alias("method"))
     return rule.unionByName(_t(spark, sf, "labels").select("doc_id", F.lit("model").alias("method")))
 
 
@@ -580,21 +559,35 @@ def hook_ocr(spark, sf):
     return hooks.ocr(images).where("text is not null").select("image", F.md5("text").alias("digest"))
 
 
-@query(f"WITH {_D_PAIRS} SELECT conv_id || '_' || turn AS board, bool_and(true) AS kept FROM p WHERE b IS NOT NULL GROUP BY 1")
+@query(f"WITH {_D_PAIRS} SELECT conv_id || '_' || turn AS board, bool_and(length(a) % 2 = 0) AS kept FROM p WHERE b IS NOT NULL GROUP BY 1")
 def hook_enhance(spark, sf):
+    """A provider that adds to texts of odd length: the check must find them."""
     rows = _pairs(spark, sf).where("b is not null").select(F.concat_ws("_", "conv_id", "turn").alias("board"), F.col("a").alias("zh"), F.col("b").alias("en"))
-    return hooks.enhance(rows).groupBy("board").agg(F.bool_and("kept").alias("kept"))
 
+    def adding(batch):
+        out = hooks.stub_enhance(batch)
+        odd = set(batch["board"][batch["zh"].str.len() % 2 == 1])
+        out["zh_parts"] = [[*z, "x"] if b in odd else z for b, z in zip(out["board"], out["zh_parts"])]
+        out["en_parts"] = [[*e, ""] if b in odd else e for b, e in zip(out["board"], out["en_parts"])]
+        return out
+
+    return hooks.enhance(rows, adding).groupBy("board").agg(F.bool_and("kept").alias("kept"))
 
-@query()
+
+@query("""WITH c AS (SELECT doc_id::VARCHAR AS unit_id, l.lang, model, l.lang || ':' || model || ':' || coalesce(text, '') AS text
+FROM documents CROSS JOIN (SELECT unnest(['ja', 'es', 'bg']) AS lang) l CROSS JOIN (SELECT unnest(['m1', 'm2']) AS model)),
+s AS (SELECT *, ('0x' || substr(md5(text), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS score FROM c)
+SELECT unit_id, lang, score, model, text, 2::BIGINT AS n_candidates FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, lang ORDER BY score DESC, model) AS k FROM s) WHERE k = 1""")
 def hook_translate_judge(spark, sf):
     rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("unit_id"), "text")
     return hooks.judge(hooks.translate(rows, ("ja", "es", "bg"), ("m1", "m2")))
 
 
-@query("SELECT doc_id::VARCHAR AS image, true AS ok FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id::VARCHAR AS image, length(text) % 3 != 0 AS ok FROM documents WHERE text IS NOT NULL")
 def hook_visual_check(spark, sf):
-    rows = _docs(spark, sf).where("text is not null").select(F.col("doc_id").cast("string").alias("image"), F.col("text").cast("binary").alias("content"), "text")
+    """Every third text or so was changed since it was read from its image."""
+    text = F.when(F.length("text") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    rows = _docs(spark, sf).where("text is not null").select(F.col("doc_id").cast("string").alias("image"), F.col("text").cast("binary").alias("content"), text.alias("text"))
     return hooks.visual_check(rows).select("image", "ok")
 
 
@@ -602,3 +595,6 @@ def hook_visual_check(spark, sf):
 def hook_transcribe(spark, sf):
     rows = _docs(spark, sf).where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
     return hooks.transcribe(rows).where(X.nonblank(F.col("text"))).groupBy("path").agg(F.count("*").alias("n"))
+
+
+from . import source_queries as source_queries  # noqa: E402  registers its queries, which use the helpers above

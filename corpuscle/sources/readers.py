@@ -17,12 +17,13 @@ class Config:
     langs: tuple[str, ...] = schema.LANGS
     low: float = 0.8
     high: float = 0.9
-    workers: int = 5
+    workers: int | None = None
 
     @classmethod
     def of(cls, spark: SparkSession) -> Config:
         get = lambda k, d: spark.conf.get(f"spark.corpuscle.{k}", d)
-        return cls(tuple(get("langs", ",".join(cls.langs)).split(",")), float(get("low", str(cls.low))), float(get("high", str(cls.high))), int(get("workers", str(cls.workers))))
+        workers = get("workers", None)
+        return cls(tuple(get("langs", ",".join(cls.langs)).split(",")), float(get("low", str(cls.low))), float(get("high", str(cls.high))), int(workers) if workers else None)
 
 
 def images(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFrame:
@@ -33,8 +34,9 @@ def audio(spark: SparkSession, path: str, pattern: str = "*.{mp3,wav,m4a}") -> D
     return images(spark, path, pattern)
 
 
-def ocr_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.OCR).json(path, multiLine=True)
+def ocr_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """lines: one result a line, which splits a large file; else a document or an array a file."""
+    return spark.read.schema(schema.OCR).json(path, multiLine=not lines)
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -43,8 +45,8 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return root.select("corpus_id", "version", F.to_date("created").alias("created"), "languages", F.inline("alignment_units"))
 
 
-def boards(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.BOARD).json(path, multiLine=True)
+def boards(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(schema.BOARD).json(path, multiLine=not lines)
 
 
 def glossary(spark: SparkSession, path: str) -> DataFrame:

@@ -249,3 +249,46 @@ def test_scratch(spark):
     assert table.count() == 5 and path.startswith(session.scratch_root(spark).removeprefix("file:")) and os.path.isdir(path)
     session.discard(table)
     assert not os.path.exists(path)
+
+
+def test_glossary_and_gold_of_any_length(spark):
+    texts = ["", None, "a", "ab", "the bronze vase of the old king is here", "bronze", "甲乙丙丁戊", "x bronze  vase"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(4, texts[4])], "k int, text string")
+    terms = ["a", "b", "甲乙", "bronze", "bronze vase", "", None, "vase of the old king is", "bronze vase of the old king is here"]
+    glossary = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "zh string, i int")
+    got = {(r.k, r.i) for r in reference.glossary_lookup(docs, glossary, "k", "zh").collect()}
+    assert got == {(k, i) for k, t in enumerate(texts) for i, g in enumerate(terms) if t and g and g in t}
+    gold = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, text string")
+    got = [(r.k, r.i) for r in reference.gold_containment(docs, gold, "k", "i").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(k, i) for k, t in enumerate(texts) for i, g in enumerate(terms) if t is not None and g is not None and g in t}
+
+
+def test_nearest_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [5.0, 5.0, 5.0]), (5, None), (6, []), (7, [None, 1.0]), (8, [float("nan"), 1.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    for block in (1, 2048):
+        assert {tuple(r) for r in reference.nearest(df, df, "k", "v", block).collect()} == {(1, 2, 2.0), (2, 1, 2.0), (3, 4, 5.0), (4, 3, 5.0)}
+
+
+def test_verdicts_repairs_and_late_rows(spark, tmp_path):
+    rows = [("u", 1, 0.9, "a"), ("u", 2, 0.1, "b"), ("v", 1, 0.2, "a"), ("v", 2, 0.3, "b"), ("w", 1, None, "a")]
+    df = spark.createDataFrame(rows, "unit string, id int, score double, model string")
+    verdicts = spark.createDataFrame([("u", 2), ("u", 2), ("v", 9), ("x", 1)], "unit string, id int")
+    got = {r.unit: (r.id, r.model, r.n_candidates, r.judged) for r in select.judge_by_verdicts(df, verdicts, ["unit"], "id", "score", "model").collect()}
+    assert got == {"u": (2, "b", 2, True), "v": (2, "b", 2, False), "w": (1, "a", 1, False)}
+    gaps = spark.createDataFrame([("1", "ja", "x"), ("2", "es", None)], "unit_id string, lang string, source string")
+    assert {tuple(r) for r in hooks.repair(gaps).collect()} == {("1", "ja", "model", "ja:x"), ("2", "es", "model", "es:")}
+    limited = hooks.repair(gaps, lambda b: hooks.stub_repair(b).assign(text="t"), workers=1)
+    assert {r.text for r in limited.collect()} == {"t"} and limited.rdd.getNumPartitions() == 1
+    assert one(spark.range(1).select(units.complete(F.create_map(F.lit("ja"), F.lit("x")), ("ja",)).alias("x"))).x
+
+
+def test_readers_of_documents_and_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"image": "i1", "museum": "m", "text": "t\nu", "confidence": 0.5}, {"image": "i2"}], indent=1))
+    assert {(r.image, r.text, r.confidence) for r in readers.ocr_results(spark, str(tmp_path / "a.json")).collect()} == {("i1", "t\nu", 0.5), ("i2", None, None)}
+    (tmp_path / "b.json").write_text('{"item": "x", "action": "confirm"}\n{"item": "y", "action": "skip", "reviewed_at": "2026-01-01T10:00:00"}\n')
+    assert sorted((r.item, r.action, r.reviewed_at is None) for r in readers.reviews(spark, str(tmp_path / "b.json")).collect()) == [("x", "confirm", True), ("y", "skip", False)]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.mp3").write_bytes(b"one\ntwo")
+    (tmp_path / "s" / "a.txt").write_bytes(b"no")
+    assert sorted((r.ordinal, r.text) for r in hooks.transcribe(readers.audio(spark, str(tmp_path / "s"))).collect()) == [(0, "one"), (1, "two")]
