@@ -33,6 +33,7 @@ from .anchors import M, Words, mix, unit_grams, word_hashes
 from .columns import apart
 from .components import components
 from .pretoken import slices, text_buffers
+from .workers import frugal
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -268,7 +269,7 @@ def _decide(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("key").alias("u"), F.col("text").alias("t1"))
     right = texts.select(F.col("key").alias("v"), F.col("text").alias("t2"))
     rows = pairs.join(left, "u").join(right, "v").select("u", "v", "t1", "t2")
-    return materialise(rows.mapInArrow(_verify, "u binary, v binary"), "near-links")
+    return materialise(rows.mapInArrow(frugal(_verify), "u binary, v binary"), "near-links")
 
 
 def _labelled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -287,14 +288,14 @@ def text_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, component) of 16-byte text digests: every text that is not its component's least one."""
     ship(docs.sparkSession)
     keyed = docs.select(_key("text").alias("key"), "text").where("text is not null")
-    sigs = materialise(keyed.mapInArrow(_sign, "key binary, bands array<long>, sig binary, bytes long").dropDuplicates(["key"]), "near-signatures")
+    sigs = materialise(keyed.mapInArrow(frugal(_sign), "key binary, bands array<long>, sig binary, bytes long").dropDuplicates(["key"]), "near-signatures")
     rows = sigs.select(F.posexplode("bands").alias("band", "bucket"), "key")
     lead = rows.groupBy("bucket").agg(F.min("key").alias("lead"), F.count("*").alias("n")).where("n > 1")
     member = materialise(rows.join(lead, "bucket"), "near-buckets")
     offered = member.where("key != lead").select(F.col("key").alias("u"), F.col("lead").alias("v")).distinct()
     sig = sigs.select("key", "sig")
     offered = offered.join(sig.select(F.col("key").alias("u"), F.col("sig").alias("s1")), "u").join(sig.select(F.col("key").alias("v"), F.col("sig").alias("s2")), "v")
-    offered = materialise(offered.select("u", "v", "s1", "s2").mapInArrow(_estimate, "u binary, v binary, est long"), "near-offers")
+    offered = materialise(offered.select("u", "v", "s1", "s2").mapInArrow(frugal(_estimate), "u binary, v binary, est long"), "near-offers")
     busy = member.select("key").distinct()
     texts = materialise(keyed.dropDuplicates(["key"]).join(busy, "key", "left_semi"), "near-texts")
     # First the likeliest offer of each text, then those that this leaves between classes, then what the leaders missed.
@@ -334,7 +335,7 @@ def _missed(member: DataFrame, sigs: DataFrame, texts: DataFrame, classes: DataF
         F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "key", F.hex("class").alias("class"), "bands", "sig", "text",
     )
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(_blocks, "u binary, v binary")
+    return rows.mapInArrow(frugal(_blocks), "u binary, v binary")
 
 
 def classified(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 from .pretoken import PieceEncoder, boundaries, slices, text_buffers
+from .workers import frugal
 
 CHUNK = 32_768  # bytes
 OVERLAP = 1_024
@@ -164,8 +165,8 @@ def encode_long(docs: DataFrame, shared, pattern: str, chunk: int = CHUNK, overl
     # Repeated rows are encoded once and joined back.
     once = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     copies = once.select("doc_id", "h", "copies")
-    chunks = once.select("doc_id", "h", F.col("text").cast("binary")).mapInArrow(_cut(chunk, overlap), "doc_id long, h long, k long, base long, body binary")
-    chunks = chunks.repartition("doc_id", "h", "k").mapInArrow(_mark(chunk, overlap), "doc_id long, h long, k long, base long, body binary, head array<long>, tail array<long>")
+    chunks = once.select("doc_id", "h", F.col("text").cast("binary")).mapInArrow(frugal(_cut(chunk, overlap)), "doc_id long, h long, k long, base long, body binary")
+    chunks = chunks.repartition("doc_id", "h", "k").mapInArrow(frugal(_mark(chunk, overlap)), "doc_id long, h long, k long, base long, body binary, head array<long>, tail array<long>")
     order = Window.partitionBy("doc_id", "h").orderBy("k")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
@@ -178,9 +179,9 @@ def encode_long(docs: DataFrame, shared, pattern: str, chunk: int = CHUNK, overl
     stop = F.coalesce(F.lead("start").over(order), F.col("base") + F.octet_length("body"))
     part = F.substring("body", (F.col("start") - F.col("base") + 1).cast("int"), (stop - F.col("start")).cast("int"))
     pieces = chunks.select("doc_id", "h", "g", "k", part.alias("part")).groupBy("doc_id", "h", "g").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
-    texts = pieces.mapInArrow(_join_bodies, "doc_id long, h long, g long, text binary")
-    coded = texts.mapInArrow(_encode_batches(shared, pattern), "doc_id long, h long, g long, n_tokens long, ids binary")
-    whole = coded.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("g", "n_tokens", "ids"))).alias("parts")).mapInArrow(_join_ids, "doc_id long, h long, n_tokens long, ids binary")
+    code = _encode_batches(shared, pattern)
+    coded = pieces.mapInArrow(frugal(lambda batches: code(_join_bodies(batches))), "doc_id long, h long, g long, n_tokens long, ids binary")
+    whole = coded.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("g", "n_tokens", "ids"))).alias("parts")).mapInArrow(frugal(_join_ids), "doc_id long, h long, n_tokens long, ids binary")
     back = whole.join(copies.withColumnsRenamed({"doc_id": "d", "h": "x"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x")))
     return back.select("doc_id", "n_tokens", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
 
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     """One row per row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
     shared = read_file(docs.sparkSession, ranks_path)
     long = F.coalesce(F.octet_length("text"), F.lit(0)) > chunk
-    short = docs.where(~long).select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode_batches(shared, pattern), _IDS)
+    short = docs.where(~long).select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(_encode_batches(shared, pattern)), _IDS)
     return short.unionByName(encode_long(docs.where(long).select(F.col("doc_id").cast("long"), "text"), shared, pattern, chunk, overlap))
 
 
@@ -216,7 +217,7 @@ def decode(coded: DataFrame, ranks_path: str) -> DataFrame:
     """coded with ``bytes``: the raw bytes of each row's ids."""
     shared = read_file(coded.sparkSession, ranks_path)
     schema = T.StructType([*coded.schema, T.StructField("bytes", T.BinaryType())])
-    return coded.mapInArrow(_decode_batches(shared, coded.columns.index("ids")), schema)
+    return coded.mapInArrow(frugal(_decode_batches(shared, coded.columns.index("ids"))), schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -225,7 +226,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUN
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.octet_length("text"), F.lit(0)) > chunk
     there, back = _encode_batches(shared, pattern), _decode_batches(shared, 2)
-    short = docs.where(~long).mapInArrow(lambda batches: back(there(batches)), _IDS + ", bytes binary")
+    short = docs.where(~long).mapInArrow(frugal(lambda batches: back(there(batches))), _IDS + ", bytes binary")
     return short.unionByName(decode(encode_long(docs.where(long), shared, pattern, chunk, overlap), ranks_path))
 
 

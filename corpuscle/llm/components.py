@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship
+from .workers import frugal
 
 LOCAL = 500_000
 
@@ -83,7 +84,7 @@ def components(links: DataFrame, label: str = "components", local: int = LOCAL)
             break
         mark = now
         tasks = -(-now[0] // local)
-        state = materialise(state.coalesce(tasks).mapInArrow(_contract, state.schema), label)
+        state = materialise(state.coalesce(tasks).mapInArrow(frugal(_contract), state.schema), label)
         if tasks == 1:
             break
         state = materialise(_small_star(_large_star(state)), label)

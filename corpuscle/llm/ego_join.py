@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, ship
 from .components import components
+from .workers import frugal
 
 LIMIT = 0.98
 LEAD = 6  # principal dimensions of the grid
@@ -95,8 +96,8 @@ def principal_axes(vectors: DataFrame, lead: int = LEAD) -> dict[int, np.ndarray
     The matrices are summed by the executors in two rounds; what reaches the driver is one for each length.
     """
     schema = "dim long, n long, one binary, two binary"
-    parts = vectors.select("dim", "v").mapInArrow(_moments, schema)
-    sums = parts.repartition(32).mapInArrow(_add_moments, schema).repartition("dim").mapInArrow(_add_moments, schema)
+    parts = vectors.select("dim", "v").mapInArrow(frugal(_moments), schema)
+    sums = parts.repartition(32).mapInArrow(frugal(_add_moments), schema).repartition("dim").mapInArrow(frugal(_add_moments), schema)
     axes = {}
     for row in sums.toArrow().to_pylist():
         d, count = row["dim"], row["n"]
@@ -304,11 +305,11 @@ def near_vectors(rows: DataFrame, limit: float = LIMIT, lead: int = LEAD, block:
     folded = materialise(folded.withColumns({"node": F.xxhash64("key"), "dim": F.size("v").cast("long")}), "ego-vectors")
     axes = spark.sparkContext.broadcast(principal_axes(folded, lead))
     schema = "node long, copies long, label long, dim long, v array<double>"
-    cells = folded.select("node", "copies", "label", "dim", "v").mapInArrow(_cells(axes, epsilon, lead), schema + ", cells array<int>")
+    cells = folded.select("node", "copies", "label", "dim", "v").mapInArrow(frugal(_cells(axes, epsilon, lead)), schema + ", cells array<int>")
     grid = [F.col("cells")[k] for k in range(lead)]
     ordered = cells.repartitionByRange("label", "dim", *grid, "node").sortWithinPartitions("label", "dim", *grid, "node")
     blocks = ordered.drop("cells").mapInArrow(
-        _pack(axes, block), "block long, label long, dim long, lo array<double>, hi array<double>, ids binary, counts binary, data binary"
+        frugal(_pack(axes, block)), "block long, label long, dim long, lo array<double>, hi array<double>, ids binary, counts binary, data binary"
     )
     blocks = materialise(blocks, "ego-blocks")
     pairs = materialise(block_pairs(blocks, epsilon), "ego-block-pairs")
@@ -320,7 +321,7 @@ def near_vectors(rows: DataFrame, limit: float = LIMIT, lead: int = LEAD, block:
     used = pairs.select("ix", "iy", F.explode(F.array("block_x", "block_y")).alias("block")).distinct()
     work = used.join(blocks.select("block", "dim", "ids", "counts", "data"), "block").select("ix", "iy", "block", "dim", "ids", "counts", "data")
     work = work.unionByName(lists, allowMissingColumns=True).repartition("ix", "iy").sortWithinPartitions("ix", "iy")
-    found = materialise(work.mapInArrow(_join(axes, limit), "kind long, a long, b long"), "ego-links")
+    found = materialise(work.mapInArrow(frugal(_join(axes, limit)), "kind long, a long, b long"), "ego-links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("l_node")).agg(F.sum("b").alias("links"))
     part = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")), "ego-components")
     nodes = folded.select("node", "key", "low", "copies").join(part.withColumnsRenamed({"node": "c_node"}), F.col("node") == F.col("c_node"), "left")

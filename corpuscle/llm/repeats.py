@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import discard, materialise, ship
 from .anchors import M, anchor_runs, mix
 from .pretoken import slices, text_buffers
+from .workers import frugal
 
 SLICE = 1_000_000
 HOT = 10_000
@@ -199,7 +200,7 @@ def _folded(passages: DataFrame) -> DataFrame:
 
 def anchored(texts: DataFrame, units) -> DataFrame:
     """(a, ord, rk, at) of the anchors of (ord, rk, text)."""
-    return texts.select("ord", "rk", "text").mapInArrow(_list_anchors(units), "a long, ord long, rk long, at long")
+    return texts.select("ord", "rk", "text").mapInArrow(frugal(_list_anchors(units)), "a long, ord long, rk long, at long")
 
 
 def digest(text: str):
@@ -226,7 +227,7 @@ def passages(texts: DataFrame, held: DataFrame, units) -> DataFrame:
     held = held.withColumnsRenamed({"ord": "o", "rk": "r"})
     texts = texts.dropDuplicates(["ord", "rk"])
     rows = texts.join(held, (F.col("ord") == F.col("o")) & (F.col("rk") == F.col("r")))
-    return rows.select("ord", "rk", "held.a", "held.at", "held.hot", "text").mapInArrow(_cut_passages(units), _PASSAGES + ", hot boolean")
+    return rows.select("ord", "rk", "held.a", "held.at", "held.hot", "text").mapInArrow(frugal(_cut_passages(units)), _PASSAGES + ", hot boolean")
 
 
 def representatives(folded: DataFrame, units, hot: int) -> DataFrame:
@@ -236,7 +237,7 @@ def representatives(folded: DataFrame, units, hot: int) -> DataFrame:
         crowd = materialise(rows.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("a"), "crowded-anchors")
         if not crowd.limit(1).count():
             break
-        again = rows.join(crowd, "a", "left_semi").select(*rows.columns).mapInArrow(_cut_again(units, k), _PASSAGES)
+        again = rows.join(crowd, "a", "left_semi").select(*rows.columns).mapInArrow(frugal(_cut_again(units, k)), _PASSAGES)
         before, rows = rows, materialise(rows.join(crowd, "a", "left_anti").unionByName(_folded(again)), "hot-passages")
         discard(before, crowd)
     return rows
@@ -265,7 +266,7 @@ def shared_windows(docs: DataFrame, units, least_places, hot: int = HOT, known:
     if every.where("hot").limit(1).count():
         hot_rows = representatives(_folded(every.where("hot")), units, hot)
         rows = rows.unionByName(hot_rows.select(*rows.columns))
-    alive = rows.repartition("a").sortWithinPartitions("a").mapInArrow(shards(units, least_places), "ord long, rk long, start long, n long")
+    alive = rows.repartition("a").sortWithinPartitions("a").mapInArrow(frugal(shards(units, least_places)), "ord long, rk long, start long, n long")
     place = F.shiftleft("start", _N_BITS).bitwiseOR(F.col("n"))
     alive = materialise(alive.select("ord", "rk", place.alias("at")), "first-windows")
     discard(every, *([hot_rows] if hot_rows is not None else []))
@@ -322,4 +323,4 @@ def deduplicated(docs: DataFrame, units, least_places, report, schema: str, **ho
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *report(view, gone)], names)
 
     names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
-    return rows.mapInArrow(run, f"doc_id long, {schema}")
+    return rows.mapInArrow(frugal(run), f"doc_id long, {schema}")

@@ -29,6 +29,7 @@ from ..session import materialise
 from . import elias_fano
 from .bpe import _cache, read_file
 from .pretoken import PieceEncoder, slices, text_buffers
+from .workers import frugal
 
 MAGIC = b"TOKSHRD1"
 #: magic, documents, null doc_ids at the end, ids, bytes for each id, smallest doc_id.
@@ -145,7 +146,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.col("h"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "h").select("doc_id", "text")
-    shards = rows.mapInArrow(_writer(shared, end_id, shard_ids), "part long, seq long, n_docs long, n_ids long, first long, shard binary")
+    shards = rows.mapInArrow(frugal(_writer(shared, end_id, shard_ids)), "part long, seq long, n_docs long, n_ids long, first long, shard binary")
     return materialise(shards, "token-shards")
 
 
@@ -170,7 +171,7 @@ def read(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("part", "first", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "first", "shard").mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
