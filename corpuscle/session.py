@@ -81,8 +81,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch, in place of Spark's default: whole texts in batches of 10,000 take hundreds of megabytes on both
+#: sides of the pipe to Python.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each application: their Python workers import it."""
+    """Give executors this package, once for each application: their Python workers import it. A session whose Arrow batches
+    have Spark's default size gets smaller ones."""
+    key, default, ours = BATCH_ROWS
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, ours)
     sc = spark.sparkContext
     if getattr(sc, "_corpuscle_shipped", False):
         return
