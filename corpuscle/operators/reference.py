@@ -36,10 +36,10 @@ def glossary_lookup(docs: DataFrame, glossary: DataFrame, key: str, term: str, t
     broadcasts the glossary below its threshold, and then no text is shuffled. Empty and null terms are in no text.
     """
     terms = glossary.where(F.length(term) > 0).withColumn("gram", F.substring(term, 1, GRAM))
-    body = F.coalesce(F.col(text), F.lit(""))
-    starts = F.sequence(F.lit(1), F.length(body))
-    of = lambda k: F.transform(starts, lambda i: F.substring(body, i, F.lit(k)))
-    grams = F.flatten(F.array(*[of(k) for k in range(1, GRAM + 1)]))
+    # Cut from an array of characters, made once a text: a substring would count from its start each time.
+    of = lambda cs, k: F.transform(F.sequence(F.lit(1), F.size(cs)), lambda i: F.array_join(F.slice(cs, i, k), ""))
+    every = lambda cs: F.flatten(F.array(*[of(cs, k) for k in range(1, GRAM + 1)]))
+    grams = F.get(F.transform(F.array(F.split(text, "")), every), F.lit(0))
     return _held(docs.where(F.length(text) > 0), terms, grams, key, text, term)
 
 
