@@ -351,19 +351,19 @@ def classified(docs: DataFrame) -> DataFrame:
     by = rows_of.groupBy("c", "k").agg(F.min(F.struct("o", "r", "m")).alias("f"), F.sum("m").alias("n"))
     total = by.groupBy("c").agg(F.min("f").alias("f"), F.sum("n").alias("n"))
     of = materialise(by.select("c", F.col("k").alias(p + "k")).join(total, "c").select(p + "k", F.col("f.o").alias(p + "o"), F.col("f.r").alias(p + "r"), F.col("f.m").alias(p + "m"), F.col("n").alias(p + "n")), "near-classes")
-    key = F.when(some, _key(docs["text"]))
-    rows = docs.join(of, key == of[p + "k"], "left")
-    ord_, rk = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(docs["doc_id"], docs["text"])
+    # Keys are made before the join, so that texts which the caller does not use are not shuffled.
+    rows = docs.withColumns({p + "key": F.when(some, _key("text")), p + "own": F.xxhash64("doc_id", "text")})
+    rows = rows.join(of, F.col(p + "key") == F.col(p + "k"), "left")
+    ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     alone = F.col(p + "k").isNull()
     return rows.withColumns(
         {
             p + "class": F.when(alone, F.col("doc_id").cast("long")).otherwise(F.nullif(p + "o", F.lit(_LAST))),
             p + "size": F.when(alone, F.lit(1)).otherwise(F.col(p + "n")).cast("long"),
-            p + "first": alone | ((ord_ == F.col(p + "o")) & (rk == F.col(p + "r"))),
+            p + "first": alone | ((ord_ == F.col(p + "o")) & (F.col(p + "own") == F.col(p + "r"))),
             p + "same": F.when(alone, F.lit(1)).otherwise(F.col(p + "m")),
-            p + "own": rk,
         }
-    ).drop(p + "k", p + "o", p + "r", p + "n", p + "m")
+    ).drop(p + "key", p + "k", p + "o", p + "r", p + "n", p + "m")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
