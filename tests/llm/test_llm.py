@@ -751,3 +751,18 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         ids = np.array(enc.encode_ordinary(t), "<u4")
         want.append((d, len(ids), sha(ids.tobytes()), sha(t.encode())))
     assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 20
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids, null sources, blank texts and repeated rows; an empty table."""
+    cp = pytest.importorskip("corpus_pipeline")
+    one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, one, None), (1, one, None), (None, two, None), (2, "", None), (3, None, None)]
+    enc = tiktoken_own()
+    want = {(d, len(enc.encode_ordinary(t)), sha(t.encode())) for d, t in ((1, one), (None, two))}
+    for name, some, answer in (("odd", rows, want), ("empty", EMPTY, set())):
+        table(spark, some).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = cp.run(spark, str(tmp_path / name))
+        got = out.collect()
+        assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert len(got) == len(answer) and {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in got} == answer
