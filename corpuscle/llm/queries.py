@@ -7,6 +7,7 @@ from .bpe import op3_bpe_round_trip
 from .ego_join import OP4_SQL, op4_near_vectors
 from .licences import OP7_SQL, op7_licence_scan
 from .line_dedup import OP6_RUNS_SQL, OP6_SQL, op6_line_dedup, op6_line_runs
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP2_SQL, op2_mix_sources
 from .quality import OP10_SQL, op10_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
@@ -26,6 +27,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_near_dedup,
         op10_quality_rules,
+        op13_merkle_manifest,
     )
 }
 
@@ -37,6 +39,7 @@ ORACLE_SQL = {
     "op7_licence_scan": OP7_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
 
 #: Whole forms of operators above whose results their SQL fixes.
