@@ -222,7 +222,12 @@ def _down(nodes: DataFrame, above: DataFrame, height: int) -> DataFrame:
             }
         )
 
-    return _by_block(nodes, height).cogroup(above.groupBy("tree", "idx")).applyInArrow(run, _PATHS)
+    return _by_block(nodes, height).cogroup(_paths(above)).applyInArrow(run, _PATHS)
+
+
+def _paths(above: DataFrame):
+    own = above.select(F.col("tree").alias("p_tree"), F.col("idx").alias("p_idx"), "sides", "places", "subroot", "root")
+    return own.groupBy("p_tree", "p_idx")
 
 
 def _by_block(nodes: DataFrame, height: int):
@@ -252,7 +257,7 @@ def _prove(leaves: DataFrame, above: DataFrame, height: int) -> DataFrame:
             }
         )
 
-    return _by_block(leaves, height).cogroup(above.groupBy("tree", "idx")).applyInArrow(run, _PROOFS)
+    return _by_block(leaves, height).cogroup(_paths(above)).applyInArrow(run, _PROOFS)
 
 
 def manifest(docs: DataFrame, height: int = HEIGHT, modulus: int = TAMPER_MODULUS) -> DataFrame:

@@ -13,6 +13,7 @@ from .quality import OP10_SQL, op10_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 from .token_files import op5_token_files
+from .warc import OP12_SQL, op12_warc_index
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +28,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_near_dedup,
         op10_quality_rules,
+        op12_warc_index,
         op13_merkle_manifest,
     )
 }
@@ -39,6 +41,7 @@ ORACLE_SQL = {
     "op7_licence_scan": OP7_SQL,
     "op8_suffix_dedup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_warc_index": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
 
