@@ -12,6 +12,7 @@ from .mixing import OP2_SQL, op2_mix_sources
 from .quality import OP10_SQL, op10_quality_rules
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .suffix_dedup import OP8_SQL, op8_suffix_dedup
+from .token_alignment import op11_token_alignment
 from .token_files import op5_token_files
 from .warc import OP12_SQL, op12_warc_index
 
@@ -28,6 +29,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_near_dedup,
         op10_quality_rules,
+        op11_token_alignment,
         op12_warc_index,
         op13_merkle_manifest,
     )

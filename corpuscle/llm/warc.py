@@ -43,7 +43,7 @@ LEAST = 1000
 ARCHIVE = 8_000_000
 LEVEL = 4
 #: Captures of a sorted run, and every so many-th is a sample for the bounds of ranges.
-RUN, STEP = 50_000, 64
+RUN, STEP = 50_000, 16
 _CHUNK = 16_384
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -290,7 +290,8 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple[int, int]]:
 def _bounds(runs: DataFrame, step: int) -> list[tuple]:
     """First keys of the ranges: as many as shuffle partitions at most, like the bounds of Spark's own sorts."""
     key = [F.col("url_key"), F.col("captured"), F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("page"), F.col("payload_digest")]
-    samples = runs.where(F.col("at") % step == 0).select(*key)
+    # Each run starts its samples elsewhere: many short runs would give little but their first keys otherwise.
+    samples = runs.where(F.pmod(F.col("at") + F.xxhash64("run"), F.lit(step)) == 0).select(*key)
     n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = samples.repartitionByRange(n, *samples.columns).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*samples.columns)).alias("k"))
     return sorted((0, r.k.url_key.encode(), *r.k[1:]) for r in firsts.collect())[1:]
