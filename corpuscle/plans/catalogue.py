@@ -14,7 +14,7 @@ from ..functions import ids, scripts
 from ..functions import text as X
 from ..operators import align, coverage, grading, hooks, reference, repair, segment, select, units
 from ..session import scratch_root
-from ..sources import readers, writers
+from ..sources import corpus_json, readers, writers
 from ..streaming import incremental
 from .registry import QUERIES, SQL, query
 
@@ -539,15 +539,28 @@ def export_by_grade(spark, sf):
     return readers.graded(spark, path, "doc_id long").groupBy("grade").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query("""SELECT source AS museum, count(*)::BIGINT AS n, min(doc_id)::VARCHAR AS first FROM documents GROUP BY source""")
+@query("""SELECT source AS museum, count(*)::BIGINT AS n, min(doc_id)::VARCHAR AS first, count(DISTINCT text)::BIGINT AS texts FROM documents GROUP BY source""")
 def root_document(spark, sf):
-    """One JSON document of all units (without texts), read back as rows."""
-    src = F.struct(F.col("source").alias("museum"), F.lit("x.jpg").alias("image"), F.lit("").alias("title_zh"), F.lit("").alias("title_en"))
-    rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), src.alias("source"), F.create_map("lang", F.lit("x")).alias("translations"))
+    """One JSON document of all units with their texts, written in parts and read back as rows."""
+    back = _corpus_back(spark, sf)
+    text = F.md5(F.get(F.map_values("translations"), F.lit(0)))
+    return back.groupBy(F.col("source.museum").alias("museum")).agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).cast("string").alias("first"), F.countDistinct(text).alias("texts"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, source AS museum, doc_id || '.jpg' AS image, lang, md5(text) AS digest FROM documents")
+def corpus_json_units(spark, sf):
+    """Every unit of the written document, field by field."""
+    back = _corpus_back(spark, sf)
+    lang = F.get(F.map_keys("translations"), F.lit(0))
+    return back.select("id", "source.museum", "source.image", lang.alias("lang"), F.md5(F.element_at("translations", lang)).alias("digest"))
+
+
+def _corpus_back(spark, sf):
     path = _out(spark, "root")
-    writers.root_json(units.root_document(rows, "c", "corpus", "1.0", "2026-01-01", LANGS), path)
-    back = readers.corpus(spark, path)
-    return back.groupBy(F.col("source.museum").alias("museum")).agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).cast("string").alias("first"))
+    src = F.struct(F.col("source").alias("museum"), F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image"), F.lit('a "title"}').alias("title_zh"), F.lit("{[").alias("title_en"))
+    rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), src.alias("source"), F.create_map(F.coalesce("lang", F.lit("")), F.col("text")).alias("translations"))
+    corpus_json.write(rows, path, "c", "corpus", "1.0", "2026-01-01", LANGS)
+    return readers.corpus(spark, path, parts=True)
 
 
 # Hooks with their offline stubs ----------------------------------------------------------------------------------

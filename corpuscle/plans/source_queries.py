@@ -13,7 +13,7 @@ from ..operators import grading, hooks, reference, select, units
 from ..session import scratch_root
 from ..sources import readers, writers
 from . import build
-from .catalogue import _D_PARA, LANGS, TERMS, _docs, _graded, _t, _units
+from .catalogue import _D_PARA, LANGS, TERMS, _corpus_back, _docs, _graded, _t, _units
 from .registry import query
 
 _GOOD_SQL = r"len(regexp_extract_all(text, '[\p{L}\p{N}\s.,;:!?]'))::DOUBLE / nullif(length(text), 0)"
@@ -128,11 +128,7 @@ def speech_offsets(spark, sf):
 @query("SELECT 'c' AS corpus_id, '1.0' AS version, DATE '2026-01-01' AS created, 4::BIGINT AS n_langs, count(*)::BIGINT AS n FROM documents")
 def corpus_header(spark, sf):
     """The root document's own fields, with its date as a date."""
-    src = F.struct(F.col("source").alias("museum"), F.lit("x.jpg").alias("image"), F.lit("").alias("title_zh"), F.lit("").alias("title_en"))
-    rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), src.alias("source"), F.create_map("lang", F.lit("x")).alias("translations"))
-    path = _out(spark, "root")
-    writers.root_json(units.root_document(rows, "c", "corpus", "1.0", "2026-01-01", LANGS), path)
-    return readers.corpus(spark, path).groupBy("corpus_id", "version", "created", F.size("languages").cast("long").alias("n_langs")).agg(F.count("*").alias("n"))
+    return _corpus_back(spark, sf).groupBy("corpus_id", "version", "created", F.size("languages").cast("long").alias("n_langs")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH k AS (SELECT text, min(doc_id) AS low, max(doc_id) AS high, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from . import corpus_json
 
 
 @dataclass(frozen=True)
@@ -39,10 +40,10 @@ def ocr_results(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     return spark.read.schema(schema.OCR).json(path, multiLine=not lines)
 
 
-def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """The root document's units, one row each, with the document's id and languages."""
-    root = spark.read.schema(schema.CORPUS).json(path, multiLine=True)
-    return root.select("corpus_id", "version", F.to_date("created").alias("created"), "languages", F.inline("alignment_units"))
+def corpus(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """The root documents' units, one row each, with their document's id and languages. A document is read by as many tasks as
+    its file has splits; parts: the files of a folder make up one document (corpus_json.write)."""
+    return corpus_json.corpus(spark, path, parts)
 
 
 def boards(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
