@@ -56,3 +56,15 @@ def test_whole_paragraphs_are_cleaned(spark, tmp_path):
     got = {r.doc_id: r.cleaned for r in catalogue.QUERIES["clean_not_rewrite"](spark, str(tmp_path)).collect()}
     # Noise is only taken out, so that the edits are as many as the characters that go.
     assert got == {k: len(t) - len(re.sub(r"[#$%&*]{3,}", "", t)) <= 10 for k, t in enumerate(paras)} and set(got.values()) == {True, False}
+
+
+def test_gold_similarity_tells_letters_apart(spark, tmp_path):
+    gold = "la élève è là où ñ東京 the hall of bronze"
+    texts = [gold, f"x {gold}éé", f"{gold} and more than ten characters", f"y {gold}ab. {gold}", "none"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, gold)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.similarity for r in catalogue.QUERIES["gold_similarity"](spark, str(tmp_path)).collect()}
+    n = len(gold)
+    # What is held begins with the gold text, so all edits are the characters behind it.
+    tail = {0: 0, 1: 2, 2: 10, 3: 10}
+    assert got.keys() == tail.keys() and all(abs(got[k] - (1 - t / (n + t))) < 1e-12 for k, t in tail.items())
