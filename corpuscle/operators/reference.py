@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .glossary import term_places
 
 GRAM = 4
 
@@ -32,15 +33,12 @@ def _held(docs: DataFrame, items: DataFrame, grams: Column, key: str, text: str,
 def glossary_lookup(docs: DataFrame, glossary: DataFrame, key: str, term: str, text: str = "text") -> DataFrame:
     """(key, the columns of glossary) for each of the glossary's terms that the text holds.
 
-    Texts and terms meet on a term's first GRAM characters, or all of a shorter one; the literal test follows. Spark
-    broadcasts the glossary below its threshold, and then no text is shuffled. Empty and null terms are in no text.
+    Texts run through an automaton of the terms (glossary.term_places); only keys and the terms found meet the glossary's
+    rows. Empty and null terms are in no text.
     """
-    terms = glossary.where(F.length(term) > 0).withColumn("gram", F.substring(term, 1, GRAM))
-    # Cut from an array of characters, made once a text: a substring would count from its start each time.
-    of = lambda cs, k: F.transform(F.sequence(F.lit(1), F.size(cs)), lambda i: F.array_join(F.slice(cs, i, k), ""))
-    every = lambda cs: F.flatten(F.array(*[of(cs, k) for k in range(1, GRAM + 1)]))
-    grams = F.get(F.transform(F.array(F.split(text, "")), every), F.lit(0))
-    return _held(docs.where(F.length(text) > 0), terms, grams, key, text, term)
+    held = term_places(docs, glossary, [key], text, term).select(key, F.col("term").alias("__held")).distinct()
+    rows = held.join(glossary, F.col("__held") == F.col(term)).drop("__held")
+    return rows.distinct()
 
 
 def _words(text: Column) -> Column:

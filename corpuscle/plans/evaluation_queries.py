@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import edits, scores
+from ..operators import edits, glossary, scores
 from .catalogue import _docs, _t
 from .registry import query
 
@@ -68,3 +68,19 @@ def replayed_corrections(spark, sf):
     rows = _docs(spark, sf).where("text is not null").withColumn("after", X.apply_changes(F.col("text"), slips))
     rows = edits.with_script(rows, ["doc_id", "text"], "text", "after")
     return rows.select("doc_id", F.md5(edits.play(F.col("text"), F.col("script"))).alias("digest"))
+
+
+@query(r"""WITH g AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\s]{5,}')) AS term FROM benchmark)
+SELECT doc_id, term, min(strpos(text, term))::BIGINT AS first FROM documents JOIN g ON contains(text, term) GROUP BY doc_id, term""".replace("\\\\", "\\"))
+def glossary_places(spark, sf):
+    """Words of the gold texts as terms, and where each text first holds them."""
+    words = _t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([^\s]{5,})"), F.lit(1))).alias("term"))
+    rows = glossary.term_places(_docs(spark, sf), words, ["doc_id"])
+    return rows.groupBy("doc_id", "term").agg((F.min("start") + 1).cast("long").alias("first"))
+
+
+@query()
+def glossary_longest(spark, sf):
+    """The same terms, without overlaps."""
+    words = _t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([^\s]{5,})"), F.lit(1))).alias("term"))
+    return glossary.term_places(_docs(spark, sf), words, ["doc_id"], longest=True)
