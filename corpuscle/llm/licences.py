@@ -1,7 +1,7 @@
 r"""Operator 7: licence scans by canonical digests, in DataFrame functions only.
 
-A text becomes canonical by lower case, equivalent spellings, dropped copyright lines, and one blank for all
-that is neither letter nor digit. Known licences are a table (licence, kind, text); their digests are taken
+A text becomes canonical by lower case, dropped copyright notices, one blank for all that is neither letter nor digit,
+and equivalent spellings: where its lines break does not matter, as long as notices stand on lines of their own. Known licences are a table (licence, kind, text); their digests are taken
 the same way and hash-joined to the digests of entire texts (kind "text") and of entire lines (kind
 "notice"). Nothing is matched by substring.
 
@@ -22,22 +22,24 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-# Equivalent spellings, each brought to the second form after lower-casing, one after the other.
+# Equivalent spellings, each brought to the second form in canonical text, one after the other. A blank at an end
+# stands for the end of a word.
 SPELLINGS = (
     ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-commercial", "noncommercial"),
     ("merchantibility", "merchantability"),
-    ("copyright owner", "copyright holder"),
-    ("https://", "http://"),
-    ("lgpl-3.0", "gnu lesser general public license, version 3"),
-    ("agpl-3.0", "gnu affero general public license, version 3"),
-    ("gpl-3.0", "gnu general public license, version 3"),
-    ("lgplv3", "gnu lesser general public license, version 3"),
-    ("agplv3", "gnu affero general public license, version 3"),
-    ("gplv3", "gnu general public license, version 3"),
-    ("creative commons attribution-noncommercial 4.0", "cc by-nc 4.0"),
-    ("version 2.0", "version 2"),
+    (" sub license", " sublicense"),
+    (" non commercial", " noncommercial"),
+    (" non infringement", " noninfringement"),
+    (" copyright owner", " copyright holder"),
+    (" https ", " http "),
+    (" lgpl 3 0 ", " gnu lesser general public license version 3 "),
+    (" agpl 3 0 ", " gnu affero general public license version 3 "),
+    (" gpl 3 0 ", " gnu general public license version 3 "),
+    (" lgplv3 ", " gnu lesser general public license version 3 "),
+    (" agplv3 ", " gnu affero general public license version 3 "),
+    (" gplv3 ", " gnu general public license version 3 "),
+    (" creative commons attribution noncommercial 4 0 ", " cc by nc 4 0 "),
+    (" version 2 0 ", " version 2 "),
 )
 
 # Texts of well-known licences and of the short notices that stand for them; the SQL knows these.
@@ -98,15 +100,36 @@ def known_texts() -> tuple[tuple[str, str, str], ...]:
     return (*rows, *((x, "notice", f"SPDX-License-Identifier: {x}") for x in data["spdx"]))
 
 
-#: A whole line that opens with a copyright mark or year.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# Notices that are part of licences' own texts, with years of any number, and the blanks in forms to fill in.
+_OWN = (
+    r"copyright[ \t]*(?:\(c\)|©)[\s,0-9]*free\s+software\s+foundation,\s+inc\.",
+    r"copyright\s*(?:\(c\))?\s*(?:<year>|19yy|yyyy|year|\[yyyy\])\s+(?:<name\s+of\s+author>|name\s+of\s+author|your\s+name|\[name\s+of\s+copyright\s+owner\])",
+)
+# Any other notice: a line of some 120 characters at most that opens with the word and a mark or year, or with a mark and a
+# year. "(c)" alone is the mark of a list's item, and "copyright" alone begins any sentence.
+_NOTICE = r"[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[12][0-9]{3}|[<\[{]?(?:year|yyyy))|©|\(c\)[ \t]*(?:copyright|[12][0-9]{3}))[^\n]{0,120}"
+COPYRIGHT = "|".join((*_OWN, f"^{_NOTICE}$"))
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: By so many characters at most the spellings shorten a notice.
+SLACK = 24
+
+
+def _spelt(words: Column) -> Column:
+    """Equivalent spellings, for words with one blank between them and at either end."""
+    return F.trim(reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), SPELLINGS, words))
 
 
 def canonical(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    spelt = reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), SPELLINGS, low)
-    return F.trim(F.regexp_replace(F.regexp_replace(spelt, COPYRIGHT_LINE, "$1"), NOT_WORD, " "))
+    """Words in lower case and one spelling, without copyright notices. Where lines break inside a paragraph changes nothing."""
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?md)" + COPYRIGHT, " ")
+    return _spelt(F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), NOT_WORD, " "))
+
+
+def _short_lines(text: Column, most: int) -> Column:
+    """Canonical forms of the lines that may be as long as some notice; only they are spelt anew."""
+    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    near = F.filter(F.split(flat, "\n"), lambda x: F.length(x) <= most + SLACK)
+    return F.transform(near, lambda x: _spelt(F.concat(F.lit(" "), F.trim(x), F.lit(" "))))
 
 
 def digest(text: Column) -> Column:
@@ -131,7 +154,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     texts = known.where("kind = 'text'").select(F.col("digest").alias("d"), F.col("licence").alias("text_licence"))
     notices = known.where("kind = 'notice'").select("digest", "licence")
     sizes = sorted(r.size for r in known.where("kind = 'notice'").select("size").distinct().collect())
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), canonical), lambda x: F.length(x).isin(sizes))
+    lines = F.filter(_short_lines(F.col("text"), max(sizes, default=-SLACK - 1)), lambda x: F.length(x).isin(sizes))
     rows = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("k"), digest(F.col("text")).alias("text_digest"), F.transform(lines, lambda x: F.sha2(x.cast("binary"), 256)).alias("lines")
     )
@@ -151,16 +174,18 @@ def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''").replace("\n", "'||chr(10)||'") + "'"
 
 
-def _sql_canonical(x: str) -> str:
-    spelt = reduce(lambda t, s: f"replace({t}, {_sql_text(s[0])}, {_sql_text(s[1])})", SPELLINGS, f"lower(coalesce({x}, ''))")
-    return f"sha256(trim(regexp_replace(regexp_replace({spelt}, '{COPYRIGHT_LINE}', '\\1', 'g'), '{NOT_WORD}', ' ', 'g'), ' '))"
+def _sql_canonical(x: str, whole: bool = True) -> str:
+    low = f"lower(coalesce({x}, ''))"
+    low = f"regexp_replace({low}, '(?m){COPYRIGHT}', ' ', 'g')" if whole else low
+    words = f"regexp_replace(' ' || {low} || ' ', '{NOT_WORD}', ' ', 'g')"
+    return f"sha256(trim({reduce(lambda t, s: f'replace({t}, {_sql_text(s[0])}, {_sql_text(s[1])})', SPELLINGS, words)}, ' '))"
 
 
 OP7_SQL = f"""
 WITH k AS (SELECT kind, {_sql_canonical('t')} AS digest, min(licence) AS licence
            FROM (VALUES {', '.join(f'({_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})' for a, b, c in KNOWN)}) v(licence, kind, t) GROUP BY ALL),
 d AS (SELECT row_number() OVER () AS rn, doc_id, text, {_sql_canonical('text')} AS text_digest FROM documents),
-l AS (SELECT rn, {_sql_canonical('line')} AS digest FROM (SELECT rn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
+l AS (SELECT rn, {_sql_canonical('line', False)} AS digest FROM (SELECT rn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
 n AS (SELECT rn, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
       FROM l JOIN k ON k.kind = 'notice' AND k.digest = l.digest GROUP BY rn)
 SELECT doc_id, text_digest, k.licence, coalesce(n.n, 0)::BIGINT AS n_notices, coalesce(n.notices, '') AS notices
