@@ -121,14 +121,14 @@ def host_rates(feats: DataFrame, host: str = "source") -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select(p + "host", p + "mean", rate.alias(p + "rate"))
 
 
-def judged(feats: DataFrame, host: str = "source") -> DataFrame:
-    """feats with ``__q_kept``: the base rule and the host's verdict.
+def judged(feats: DataFrame, host: str = "source", rates: DataFrame | None = None) -> DataFrame:
+    """feats with ``__q_kept``: the base rule and the host's verdict; rates: those of host_rates(), if they are written already.
 
     The joined side has one row per host; Spark broadcasts it only below its size threshold and otherwise splits a
     skewed host's documents.
     """
     p = _PRE
-    rates = host_rates(feats, host)
+    rates = host_rates(feats, host) if rates is None else rates
     poor = F.col(p + "rate") + ROUNDING >= F.col(p + "mean")
     rejected = F.col(p + "base") | (F.col(p + "rate") > HOST_LIMIT) | (F.col(p + "soft") & poor)
     rows = feats.join(rates, feats[host].eqNullSafe(rates[p + "host"]), "left")
@@ -138,9 +138,11 @@ def judged(feats: DataFrame, host: str = "source") -> DataFrame:
 def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """All rows and columns of docs with the rule inputs, ``base_failed`` and ``kept`` (prefix ``__q_``).
 
-    The rule inputs are written once to the shared folder, since both the host sums and the verdicts read them.
+    The rule inputs are written once to the shared folder, since both the host sums and the verdicts read them; so are the
+    hosts' rates, whose size Spark then knows before it would shuffle the texts for the join.
     """
-    return judged(materialise(features(docs, text), "quality"), host)
+    feats = materialise(features(docs, text), "quality")
+    return judged(feats, host, materialise(host_rates(feats, host), "quality-hosts"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
