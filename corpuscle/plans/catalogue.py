@@ -611,3 +611,4 @@ def hook_transcribe(spark, sf):
 from . import source_queries as source_queries  # noqa: E402  registers its queries, which use the helpers above
 from . import alignment_queries as alignment_queries  # noqa: E402
 from . import evaluation_queries as evaluation_queries  # noqa: E402
+from . import order_queries as order_queries  # noqa: E402
