@@ -1,14 +1,12 @@
-"""Glossary, gold texts and nearest vectors."""
+"""Glossary and gold texts."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
 from .glossary import term_places
+from .vectors import nearest as nearest
 
 GRAM = 4
 
@@ -71,55 +69,3 @@ def gold_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with ``similarity`` = 1 - edit distance / longer length."""
     longer = F.greatest(F.length(a), F.length(b))
     return pairs.withColumn("similarity", 1.0 - F.try_divide(F.levenshtein(F.col(a), F.col(b)).cast("double"), longer.cast("double")))
-
-
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:
-    """(key, nearest, similarity): for every query the other row of greatest inner product, ties by least key.
-
-    Both sides are packed into blocks of vectors of one length; every query block meets every row block, and only the
-    best of each query in a block goes on. Null keys, and vectors that are null or hold null or non-finite components,
-    take no part; vectors of different lengths are not compared.
-    """
-    ship(rows.sparkSession)
-
-    def pack(df, k, v):
-        def run(batches):
-            held, size = [], 0
-            for batch in batches:
-                held.append(batch)
-                size += batch.num_rows
-                if size >= block:
-                    yield from emit(held)
-                    held, size = [], 0
-            if held:
-                yield from emit(held)
-
-        def emit(held):
-            t = pa.Table.from_batches(held).combine_chunks()
-            ids, dims = t["k"].to_numpy(), t["n"].to_numpy()
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                x = t["v"].take(pa.array(at)).combine_chunks().flatten().to_numpy().astype("<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([ids[at].astype("<i8").tobytes()]), pa.array([x.tobytes()])], [k, v])
-
-        sound = df.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and size(v) > 0")
-        sound = sound.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-        return sound.select("k", "v", F.size("v").alias("n")).mapInArrow(run, f"{k} binary, {v} binary")
-
-    def best(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                q, x, i, y = (np.frombuffer(batch.column(c)[r].as_buffer(), d) for c, d in enumerate(("<i8", "<f8", "<i8", "<f8")))
-                if len(x) // len(q) != len(y) // len(i):
-                    continue
-                dots = x.reshape(len(q), -1) @ y.reshape(len(i), -1).T
-                dots[q[:, None] == i[None, :]] = -np.inf
-                order = np.argsort(i, kind="stable")
-                at = order[np.argmax(dots[:, order], 1)]
-                score = dots[np.arange(len(q)), at]
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(i[at][ok]), pa.array(score[ok])], ["k", "n", "s"])
-
-    met = pack(queries, "qk", "qv").crossJoin(pack(rows, "rk", "rv")).mapInArrow(best, "k long, n long, s double")
-    top = met.groupBy("k").agg(F.max_by(F.struct("n", "s"), F.struct("s", -F.col("n"))).alias("x"))
-    return top.select(F.col("k").alias(key), F.col("x.n").alias("nearest"), F.col("x.s").alias("similarity"))
