@@ -613,3 +613,4 @@ from . import alignment_queries as alignment_queries  # noqa: E402
 from . import evaluation_queries as evaluation_queries  # noqa: E402
 from . import order_queries as order_queries  # noqa: E402
 from . import state_queries as state_queries  # noqa: E402
+from . import table_queries as table_queries  # noqa: E402
