@@ -1,14 +1,24 @@
 """Operator 6: remove multi-line passages that repeat anywhere in the corpus, in DataFrame functions only.
 
 A document's lines are hashed; a rolling hash over each line and the one before it ends a chunk where it is
-divisible by ``divisor``, so a passage is cut alike wherever it stands, whatever precedes it. Chunks of
-``min_lines`` lines or more whose bytes occur earlier (smaller doc_id, or earlier in the document) go. The
-digests only find candidates: a chunk goes after its bytes were compared with those of the first copy.
-
-Defined results: null text stays null and has no lines; "" has one empty line, never removed; null doc_id
-sorts last; rows that share doc_id are one document for what is earlier, and rows that repeat doc_id and text
-get equal results; an empty table gives an empty result; further columns are carried through, whatever their
-names (own columns carry the prefix ``__l_``).
+divisible by ``divisor``, so a passage is cut alike wherever it stands, whatever precedes it. Chunks are judged at
+two levels. Each carries the ``min_lines`` - 1 lines before it too, so that every window of ``min_lines`` lines lies
+in just one chunk:
+
+1. Chunks with equal digests are counted over the corpus; all copies but the first (smaller doc_id, hash of the
+   text, place) go as they are.
+2. What is left, one copy of each distinct chunk, is cut after each line: chunks of ``min_lines`` lines. These find
+   the repeated runs that end or begin inside a chunk, however short.
+
+A window that occurs earlier lies in a later copy of a chunk, or its chunk and that of its first occurrence are both
+at level 2; so a line goes if and only if it lies in ``min_lines`` consecutive lines or more that occur earlier, and
+the result does not depend on ``divisor``. Digests only find candidates: what goes was compared, byte by byte, with
+the first copy. (Two chunks of different bytes and equal 128-bit digests would both stay, uncut at level 2.)
+
+Defined results: null text stays null and has no lines; "" has one empty line, never removed; null doc_id sorts last;
+rows of one doc_id with different texts are ordered by the hash of the text; rows that repeat doc_id and text get
+equal results; lines end at "\n" alone, "\r" and blank lines are ordinary; an empty table gives an empty result;
+further columns are carried through, whatever their names (own columns carry the prefix ``__l_``).
 """
 
 from __future__ import annotations
@@ -16,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .columns import apart
 
 DIVISOR = 4
@@ -35,15 +45,28 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _chunks(text: Column, divisor: int) -> Column:
+def _digest(lines: Column, start: Column, n: Column) -> list[Column]:
+    part = F.slice(lines, start + 1, n)
+    return [F.xxhash64(part).alias("d1"), F.xxhash64(F.lit(1), part).alias("d2")]
+
+
+def _chunks(text: Column, divisor: int, min_lines: int) -> Column:
+    """array<struct<s, n, d1, d2, w>>: first line, number of lines and digest of each chunk with the lines before it, and
+    in ``w`` the digests of its windows of ``min_lines`` lines; chunks without a window are left out."""
+
+    def windows(lines: Column, c: Column) -> Column:
+        starts = F.sequence(c["s"], c["s"] + c["n"] - min_lines)
+        return F.transform(starts, lambda i: F.struct(*_digest(lines, i, F.lit(min_lines))))
+
     def cut(lines: Column, ends: Column) -> Column:
-        start = lambda k: F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
-        return F.transform(
+        start = lambda k: F.greatest(F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 2 - min_lines, F.lit(0))
+        spans = F.transform(
             F.sequence(F.lit(0), F.size(ends) - 1),
-            lambda k: F.struct(
-                (F.get(ends, k) - start(k) + 1).alias("n"),
-                F.array_join(F.slice(lines, start(k) + 1, F.get(ends, k) - start(k) + 1), "\n").alias("body"),
-            ),
+            lambda k: F.struct(start(k).alias("s"), (F.get(ends, k) - start(k) + 1).alias("n")),
+        )
+        return F.transform(
+            F.filter(spans, lambda c: c["n"] >= min_lines),
+            lambda c: F.struct(c["s"].alias("s"), c["n"].alias("n"), *_digest(lines, c["s"], c["n"]), windows(lines, c).alias("w")),
         )
 
     def ends(hashes: Column) -> Column:
@@ -55,55 +78,64 @@ def _chunks(text: Column, divisor: int) -> Column:
         )
 
     def of(lines: Column) -> Column:
-        hashed = F.transform(lines, lambda x: F.pmod(_hash(x), F.lit(1000003)))
+        hashed = F.transform(lines, lambda x: F.pmod(F.xxhash64(x), F.lit(1000003)))
         return _let(hashed, lambda h: _let(ends(h), lambda e: cut(lines, e)))
 
-    return F.when(text.isNotNull(), _let(F.split(text, "\n"), of))
+    return _let(F.split(text, "\n"), of)
 
 
-def chunked(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """docs with ``__l_chunks``: array<struct<n: lines, body: text>>, whose bodies joined by newlines are the text."""
-    return docs.withColumn(_P + "chunks", _chunks(docs["text"], divisor))
+def _often(rows: DataFrame) -> DataFrame:
+    """Digests that occur more than once: partial counts, one narrow shuffle."""
+    return rows.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1").select("d1", "d2")
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(ord, h, dead): for each document that has any, the numbers of the chunks that occur earlier.
+def repeated_spans(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+    """(ord, h, dead): for each document that has any, its spans of lines (s: first, n: how many) that occur earlier.
 
-    ``ord`` is doc_id with null last, ``h`` the hash of the text. First only 16-byte digests are shuffled and
-    counted, with partial sums; then just the chunks with repeated digests travel with their bytes. Each is
-    compared with the first copy of its bytes, one row per distinct chunk, so that a chunk held by a third of
-    all documents meets one row. Those rows are written before the join, which can so split a skewed digest.
+    ``ord`` is doc_id with null last, ``h`` the hash of the text. Digests travel without bytes until it is known which
+    repeat; then the documents that hold some are read again, and each repeated chunk is compared with the first copy
+    of its bytes, one row per distinct chunk, so that a chunk held by a third of all documents meets one row. Tables
+    are written before each join with a hot digest, which Spark can so split.
     """
-    p = _P
-    rows = (
-        chunked(docs.select("doc_id", "text"), divisor)
-        .select(
-            F.coalesce("doc_id", F.lit(_LAST)).alias("ord"),
-            F.xxhash64("text").alias("h"),
-            F.posexplode_outer(p + "chunks").alias("k", "c"),
-        )
-        .where(F.col("c.n") >= min_lines)
-        .select("ord", "h", "k", F.col("c.body").alias("body"), F.xxhash64("c.body").alias("d1"), F.xxhash64(F.lit(1), "c.body").alias("d2"))
+    docs = docs.where("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), _hash(F.col("text")).alias("h"), "text")
+    place = F.struct("ord", "h", "s")
+    cuts = materialise(docs.select("ord", "h", F.explode(_chunks(docs["text"], divisor, min_lines)).alias("c")).select("ord", "h", "c.*"), "line-cuts")
+    copies = materialise(cuts.drop("w").join(_often(cuts), ["d1", "d2"], "left_semi"), "line-copies")
+    least = copies.groupBy("d1", "d2").agg(F.min(place).alias("least"))
+    once = cuts.join(least, ["d1", "d2"], "left").where(F.col("least").isNull() | (place <= F.col("least")))
+    fine = once.select("ord", "h", "s", F.posexplode("w").alias("i", "w")).select(
+        "ord", "h", (F.col("s") + F.col("i")).alias("s"), F.lit(min_lines).alias("n"), "w.d1", "w.d2"
     )
-    often = rows.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
-    held = materialise(rows.join(often, ["d1", "d2"], "left_semi"), "line-chunks")
-    firsts = materialise(held.groupBy("d1", "d2", F.col("body").alias("first_body")).agg(F.min(F.struct("ord", "k")).alias("first")), "line-firsts")
-    dead = (
-        held.join(firsts, ["d1", "d2"])
-        .where((F.col("body") == F.col("first_body")) & (F.struct("ord", "k") > F.col("first")))
-        .select("ord", "h", "k")
-    )
-    return dead.groupBy("ord", "h").agg(F.collect_set("k").alias("dead"))
+    fine = materialise(fine, "line-windows")
+    spans = copies.unionByName(fine.join(_often(fine), ["d1", "d2"], "left_semi"))
+
+    at = spans.groupBy(F.col("ord").alias("o"), F.col("h").alias("g")).agg(F.collect_set(F.struct("s", "n", "d1", "d2")).alias("at"))
+    body = lambda ls, x: F.array_join(F.slice(ls, x["s"] + 1, x["n"]), "\n")
+    bodies = _let(F.split("text", "\n"), lambda ls: F.transform("at", lambda x: F.struct(*[x[c].alias(c) for c in ("s", "n", "d1", "d2")], body(ls, x).alias("body"))))
+    met = docs.join(at, (docs["ord"] == at["o"]) & (docs["h"] == at["g"]))
+    held = materialise(met.select("ord", "h", F.explode(bodies).alias("x")).select("ord", "h", "x.*"), "line-held")
+    firsts = materialise(held.groupBy("d1", "d2", F.col("body").alias("first_body")).agg(F.min(place).alias("first")), "line-firsts")
+    later = held.join(firsts, ["d1", "d2"]).where((F.col("body") == F.col("first_body")) & (place > F.col("first")))
+    dead = materialise(later.groupBy("ord", "h").agg(F.collect_set(F.struct("s", "n")).alias("dead")), "line-dead")
+    discard(cuts, copies, fine, held, firsts)
+    return dead
 
 
 def marked(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with ``__l_chunks``, ``__l_dead`` (numbers of removed chunks) and ``__l_text`` (what stays)."""
+    """docs with ``__l_lines``, ``__l_dead`` (numbers of removed lines) and ``__l_text`` (what stays)."""
     p = _P
-    dead = repeated_chunks(docs, divisor, min_lines).select(F.col("ord").alias(p + "ord"), F.col("h").alias(p + "h"), F.col("dead").alias(p + "dead"))
-    key = (F.coalesce(docs["doc_id"], F.lit(_LAST)) == dead[p + "ord"]) & (F.xxhash64(docs["text"]) == dead[p + "h"])
-    df = chunked(docs.join(dead, key, "left"), divisor).withColumns({p + "dead": F.coalesce(p + "dead", F.array().cast("array<int>"))})
-    left = F.array_except(F.sequence(F.lit(0), F.size(p + "chunks") - 1), p + "dead")
-    kept = F.when(F.size(p + "chunks") > 0, F.transform(left, lambda k: F.get(p + "chunks", k)["body"]))
+    dead = repeated_spans(docs, divisor, min_lines).select(F.col("ord").alias(p + "ord"), F.col("h").alias(p + "h"), F.col("dead").alias(p + "dead"))
+    key = (F.coalesce(docs["doc_id"], F.lit(_LAST)) == dead[p + "ord"]) & (_hash(docs["text"]) == dead[p + "h"])
+    numbers = F.array_distinct(F.flatten(F.transform(p + "dead", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))
+    return _without(docs.join(dead, key, "left"), numbers)
+
+
+def _without(df: DataFrame, numbers: Column) -> DataFrame:
+    """df with the lines of its texts, the numbers of those that go, and the text that stays."""
+    p = _P
+    df = df.withColumns({p + "lines": F.split("text", "\n"), p + "dead": F.coalesce(numbers, F.array().cast("array<int>"))})
+    left = F.array_except(F.sequence(F.lit(0), F.size(p + "lines") - 1), p + "dead")
+    kept = F.when(F.size(p + "lines") > 0, F.transform(left, lambda k: F.get(p + "lines", k)))
     return df.withColumns({p + "text": F.when(F.size(p + "dead") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))}).drop(p + "ord", p + "h")
 
 
@@ -159,15 +191,11 @@ def run_marked(docs: DataFrame) -> DataFrame:
     dead = repeated_pairs(docs).select(F.col("ord").alias(p + "ord"), F.col("h").alias(p + "h"), F.col("dead").alias(p + "dead"))
     key = (F.coalesce(docs["doc_id"], F.lit(_LAST)) == dead[p + "ord"]) & (F.xxhash64(docs["text"]) == dead[p + "h"])
     both = F.array_distinct(F.flatten(F.transform(p + "dead", lambda i: F.array(i, i + 1))))
-    df = docs.join(dead, key, "left").withColumns({p + "lines": F.split("text", "\n"), p + "dead": F.coalesce(both, F.array().cast("array<int>"))})
-    left = F.array_except(F.sequence(F.lit(0), F.size(p + "lines") - 1), p + "dead")
-    kept = F.when(F.size(p + "lines") > 0, F.transform(left, lambda k: F.get(p + "lines", k)))
-    return df.withColumns({p + "text": F.when(F.size(p + "dead") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))}).drop(p + "ord", p + "h")
+    return _without(docs.join(dead, key, "left"), both)
 
 
-def op6_line_runs(spark, sf_dir: str) -> DataFrame:
+def _counts(df: DataFrame) -> DataFrame:
     p = _P
-    df = run_marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return df.select(
         "doc_id",
         F.coalesce(F.size(p + "lines"), F.lit(0)).cast("long").alias("n_lines"),
@@ -176,29 +204,23 @@ def op6_line_runs(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_runs(spark, sf_dir: str) -> DataFrame:
+    return _counts(run_marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    p = _P
-    df = marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    gone = F.transform(p + "dead", lambda k: F.get(p + "chunks", k))
-    return df.select(
-        "doc_id",
-        F.coalesce(F.aggregate(p + "chunks", F.lit(0), lambda a, c: a + c["n"]), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate(gone, F.lit(0), lambda a, c: a + c["n"]), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce(p + "text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-    )
+    return _counts(marked(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 OP6_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT rn, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM d),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 15))::BIGINT % 1000003 AS x FROM l),
-e AS (SELECT *, i = n - 1 OR (x * 31 + coalesce(lag(x) OVER (PARTITION BY rn ORDER BY i), 0)) % 4 = 0 AS ends FROM h),
-c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY rn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
-g AS (SELECT rn, doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY ALL),
-f AS (SELECT *, n >= 2 AND (coalesce(doc_id, 9223372036854775807), k) >
-             min((coalesce(doc_id, 9223372036854775807), k)) OVER (PARTITION BY body, n >= 2) AS dead FROM g),
-o AS (SELECT rn, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (dead), 0)::BIGINT AS n_removed,
-             coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT dead), '') AS kept FROM f GROUP BY rn)
+l AS (SELECT rn, coalesce(doc_id, 9223372036854775807) AS ord, ('0x' || substr(md5(text), 1, 15))::BIGINT AS h,
+             unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
+p AS (SELECT *, lead(line) OVER (PARTITION BY rn ORDER BY i) AS after FROM l),
+f AS (SELECT *, after IS NOT NULL AND (ord, h, i) > min((ord, h, i)) OVER (PARTITION BY line, after) AS dead FROM p),
+g AS (SELECT *, dead OR coalesce(lag(dead) OVER (PARTITION BY rn ORDER BY i), false) AS gone FROM f),
+o AS (SELECT rn, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+             string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY rn)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN o ON o.rn = d.rn
 """
