@@ -45,6 +45,10 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _ord(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"], F.lit(_LAST))
+
+
 def _digest(lines: Column, start: Column, n: Column) -> list[Column]:
     part = F.slice(lines, start + 1, n)
     return [F.xxhash64(part).alias("d1"), F.xxhash64(F.lit(1), part).alias("d2")]
@@ -89,15 +93,10 @@ def _often(rows: DataFrame) -> DataFrame:
     return rows.groupBy("d1", "d2").agg(F.count("*").alias("times")).where("times > 1").select("d1", "d2")
 
 
-def repeated_spans(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(ord, h, dead): for each document that has any, its spans of lines (s: first, n: how many) that occur earlier.
-
-    ``ord`` is doc_id with null last, ``h`` the hash of the text. Digests travel without bytes until it is known which
-    repeat; then the documents that hold some are read again, and each repeated chunk is compared with the first copy
-    of its bytes, one row per distinct chunk, so that a chunk held by a third of all documents meets one row. Tables
-    are written before each join with a hot digest, which Spark can so split.
-    """
-    docs = docs.where("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), _hash(F.col("text")).alias("h"), "text")
+def _candidates(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
+    """(__l_ord, __l_h, __l_at): for each document that has any, its chunks of both levels (s: first line, n: how many) whose digests
+    repeat. ``__l_ord`` is doc_id with null last, ``__l_h`` the hash of the text. Only digests travel here."""
+    docs = docs.where("text IS NOT NULL").select(_ord(docs).alias("ord"), _hash(docs["text"]).alias("h"), "text")
     place = F.struct("ord", "h", "s")
     cuts = materialise(docs.select("ord", "h", F.explode(_chunks(docs["text"], divisor, min_lines)).alias("c")).select("ord", "h", "c.*"), "line-cuts")
     copies = materialise(cuts.drop("w").join(_often(cuts), ["d1", "d2"], "left_semi"), "line-copies")
@@ -108,26 +107,46 @@ def repeated_spans(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN
     )
     fine = materialise(fine, "line-windows")
     spans = copies.unionByName(fine.join(_often(fine), ["d1", "d2"], "left_semi"))
+    own = [F.col(c).alias(_P + c) for c in ("ord", "h")]
+    at = materialise(spans.groupBy(*own).agg(F.collect_set(F.struct("s", "n", "d1", "d2")).alias(_P + "at")), "line-at")
+    discard(cuts, copies, fine)
+    return at
+
+
+def _repeated(some: DataFrame) -> DataFrame:
+    """(__l_ord, __l_h, __l_spans): the spans of lines that occur earlier, of documents with candidates ``__l_at``.
 
-    at = spans.groupBy(F.col("ord").alias("o"), F.col("h").alias("g")).agg(F.collect_set(F.struct("s", "n", "d1", "d2")).alias("at"))
+    Each candidate is compared with the first copy of its bytes, one row per distinct chunk, so that a chunk held by a
+    third of all documents meets one row. Candidates are written before that join, which can so split a hot digest.
+    """
+    p = _P
+    place = F.struct(p + "ord", p + "h", "s")
     body = lambda ls, x: F.array_join(F.slice(ls, x["s"] + 1, x["n"]), "\n")
-    bodies = _let(F.split("text", "\n"), lambda ls: F.transform("at", lambda x: F.struct(*[x[c].alias(c) for c in ("s", "n", "d1", "d2")], body(ls, x).alias("body"))))
-    met = docs.join(at, (docs["ord"] == at["o"]) & (docs["h"] == at["g"]))
-    held = materialise(met.select("ord", "h", F.explode(bodies).alias("x")).select("ord", "h", "x.*"), "line-held")
+    bodies = _let(F.split("text", "\n"), lambda ls: F.transform(p + "at", lambda x: F.struct(*[x[c].alias(c) for c in ("s", "n", "d1", "d2")], body(ls, x).alias("body"))))
+    held = materialise(some.select(p + "ord", p + "h", F.explode(bodies).alias("x")).select(p + "ord", p + "h", "x.*"), "line-held")
     firsts = materialise(held.groupBy("d1", "d2", F.col("body").alias("first_body")).agg(F.min(place).alias("first")), "line-firsts")
     later = held.join(firsts, ["d1", "d2"]).where((F.col("body") == F.col("first_body")) & (place > F.col("first")))
-    dead = materialise(later.groupBy("ord", "h").agg(F.collect_set(F.struct("s", "n")).alias("dead")), "line-dead")
-    discard(cuts, copies, fine, held, firsts)
+    dead = materialise(later.groupBy(p + "ord", p + "h").agg(F.collect_set(F.struct("s", "n")).alias(p + "spans")), "line-dead")
+    discard(held, firsts)
     return dead
 
 
 def marked(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with ``__l_lines``, ``__l_dead`` (numbers of removed lines) and ``__l_text`` (what stays)."""
+    """docs with ``__l_lines``, ``__l_dead`` (numbers of removed lines) and ``__l_text`` (what stays).
+
+    All texts are shuffled once, to their candidates, and written in two parts; only those with candidates are read
+    for the comparison and shuffled again to its result.
+    """
     p = _P
-    dead = repeated_spans(docs, divisor, min_lines).select(F.col("ord").alias(p + "ord"), F.col("h").alias(p + "h"), F.col("dead").alias(p + "dead"))
-    key = (F.coalesce(docs["doc_id"], F.lit(_LAST)) == dead[p + "ord"]) & (_hash(docs["text"]) == dead[p + "h"])
-    numbers = F.array_distinct(F.flatten(F.transform(p + "dead", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))
-    return _without(docs.join(dead, key, "left"), numbers)
+    at = _candidates(docs, divisor, min_lines)
+    key = (_ord(docs) == at[p + "ord"]) & (_hash(docs["text"]) == at[p + "h"])
+    texts = materialise(docs.join(at, key, "left").withColumn(p + "some", F.col(p + "at").isNotNull()), "line-texts", (p + "some",))
+    discard(at)
+    some, rest = (texts.where(x).drop(p + "some") for x in (F.col(p + "some"), ~F.col(p + "some")))
+    judged = some.join(_repeated(some), [p + "ord", p + "h"], "left")
+    numbers = F.array_distinct(F.flatten(F.transform(p + "spans", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))
+    both = judged.unionByName(rest.withColumn(p + "spans", F.lit(None).cast(judged.schema[p + "spans"].dataType)))
+    return _without(both, numbers).drop(p + "at", p + "spans")
 
 
 def _without(df: DataFrame, numbers: Column) -> DataFrame:
