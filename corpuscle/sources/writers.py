@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import nonblank
 
 
-def json_rows(df: DataFrame, path: str) -> None:
+def json_rows(df: DataFrame, path: str, compression: str | None = None) -> None:
     """JSON lines, as many files as tasks."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def root_json(root: DataFrame, path: str) -> None:
@@ -18,11 +18,11 @@ def root_json(root: DataFrame, path: str) -> None:
     root.select("json").coalesce(1).write.mode("overwrite").text(path)
 
 
-def tmx(rows: DataFrame, path: str) -> None:
+def tmx(rows: DataFrame, path: str, compression: str | None = None) -> None:
     """(id, lang, text) to <tu> elements; blank texts are left out, units without any don't appear."""
     tuv = F.array_sort(F.collect_list(F.struct(F.col("lang").alias("_xml:lang"), F.col("text").alias("seg"))))
     units = rows.where(nonblank(F.col("text"))).groupBy(F.col("id").alias("_tuid")).agg(tuv.alias("tuv"))
-    units.write.format("xml").option("rootTag", "body").option("rowTag", "tu").option("validateName", "false").mode("overwrite").save(path)
+    units.write.format("xml").option("rootTag", "body").option("rowTag", "tu").option("validateName", "false").option("compression", compression or "none").mode("overwrite").save(path)
 
 
 TMX_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<tmx version="1.4"><header creationtool="corpuscle" segtype="sentence" adminlang="en" srclang="{src}" datatype="plaintext" o-tmf="json"/>'
@@ -38,16 +38,16 @@ def tmx_document(rows: DataFrame, path: str, src: str = "zh") -> None:
     body.select(F.concat(F.lit(TMX_HEAD.format(src=src) + "<body>\n"), "b", F.lit("\n</body></tmx>"))).coalesce(1).write.mode("overwrite").text(path)
 
 
-def parallel_text(wide: DataFrame, path: str, key: str, langs) -> None:
+def parallel_text(wide: DataFrame, path: str, key: str, langs, compression: str | None = None) -> None:
     """One folder per language, lines in key order, so that line n of each is the same unit."""
     for lang in langs:
         line = F.regexp_replace(F.coalesce(lang, F.lit("")), r"[\r\n]+", " ")
-        wide.select(key, line.alias("value")).sort(key).select("value").write.mode("overwrite").text(f"{path}/{lang}")
+        wide.select(key, line.alias("value")).sort(key).select("value").write.mode("overwrite").text(f"{path}/{lang}", compression=compression)
 
 
-def by_grade(df: DataFrame, path: str) -> None:
+def by_grade(df: DataFrame, path: str, compression: str | None = None) -> None:
     """A folder per grade."""
-    df.write.mode("overwrite").partitionBy("grade").json(path)
+    df.write.mode("overwrite").partitionBy("grade").json(path, compression=compression)
 
 
 def append_progress(df: DataFrame, path: str) -> None:
