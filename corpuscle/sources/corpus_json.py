@@ -6,6 +6,9 @@ which it begins; both cases are computed, summed within a split, and the splits'
 split. With each piece's own state known, units are the pieces from one that opens an object at depth 2 of the array to the
 next such; they are put together again by their number, and the rest of the document, without the array, is its header.
 
+What is known of splits and documents, one row each, is broadcast to the pieces: a join by document would send all of one
+document to one task.
+
 A brace can't be escaped in JSON, so no cut parts an escape; characters are never cut, because the source cuts at lines of its own.
 """
 
@@ -69,7 +72,7 @@ def _placed(pieces: DataFrame) -> DataFrame:
     by = by.withColumn("s_in", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2 == 1)
     by = by.withColumn("s_depth", F.coalesce(F.sum(F.when(F.col("s_in"), F.col("d1")).otherwise(F.col("d0"))).over(earlier), F.lit(0)))
     by = by.select(F.col("file").alias("s_file"), F.col("split").alias("s_split"), "s_in", "s_depth")
-    rows = pieces.join(by, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
+    rows = pieces.join(F.broadcast(by), (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
     inside = F.col("s_in") != ((F.col("q_upto") - F.col("q")) % 2 == 1)
     before = F.col("s_depth") + F.when(F.col("s_in"), F.col("d1_upto") - F.col("d1")).otherwise(F.col("d0_upto") - F.col("d0"))
     rows = rows.withColumn("inside", inside)
@@ -90,9 +93,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"begins": begins, "follows": follows, "closes": closes})
     # One row a document: where its array begins, and the first end of an array of this depth behind that.
     start = rows.where("begins").groupBy("doc").agg(F.min(place).alias("start")).select(F.col("doc").alias("b_doc"), "start")
-    ends = rows.where("closes").select("doc", place.alias("end")).join(start, F.col("doc") == F.col("b_doc")).where(F.col("end") > F.col("start"))
-    bounds = start.join(ends.groupBy("doc").agg(F.min("end").alias("end")), F.col("b_doc") == F.col("doc"), "left").drop("doc")
-    rows = rows.join(bounds, F.col("doc") == F.col("b_doc"), "left").drop("b_doc")
+    ends = rows.where("closes").select("doc", place.alias("end")).join(F.broadcast(start), F.col("doc") == F.col("b_doc")).where(F.col("end") > F.col("start"))
+    bounds = start.join(F.broadcast(ends.groupBy("doc").agg(F.min("end").alias("end"))), F.col("b_doc") == F.col("doc"), "left").drop("doc")
+    rows = rows.join(F.broadcast(bounds), F.col("doc") == F.col("b_doc"), "left").drop("b_doc")
     units = (place >= F.col("start")) & (F.col("end").isNull() | (place < F.col("end")))
     part = F.when(F.coalesce(units, F.lit(False)), "units").when(F.coalesce(place >= F.col("start"), F.lit(False)), "tail").otherwise("head")
     rows = rows.withColumn("part", part).withColumn("opens", F.when((F.col("part") == "units") & (F.col("follows") | (place == F.col("start"))), 1).otherwise(0).cast("long"))
@@ -102,7 +105,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("doc").orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
     by = by.select(F.col("file").alias("s_file"), F.col("split").alias("s_split"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     rows = rows.withColumn("upto", F.sum("opens").over(own))
-    rows = rows.join(by, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
+    rows = rows.join(F.broadcast(by), (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split")))
     return rows.select("doc", "file", "split", "at", "value", "part", "start", "begins", (F.col("base") + F.col("upto")).alias("unit"))
 
 
@@ -148,7 +151,7 @@ def corpus(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     # A file that ends with its last brace has no piece behind it, so that brace is put back.
     known = F.from_json(F.concat("text", F.lit("}")), head), F.from_json("text", head)
     roots = headers.select(F.col("doc").alias("h_doc"), F.when(F.rlike("text", F.lit(r"\}\s*$")), known[1]).otherwise(known[0]).alias("h"))
-    rows = units.join(roots, F.col("doc") == F.col("h_doc")).withColumn("u", F.from_json("text", unit_type))
+    rows = units.join(F.broadcast(roots), F.col("doc") == F.col("h_doc")).withColumn("u", F.from_json("text", unit_type))
     return rows.select("h.corpus_id", "h.version", F.to_date("h.created").alias("created"), "h.languages", "u.*")
 
 

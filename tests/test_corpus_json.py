@@ -77,3 +77,19 @@ def test_written_in_parts_and_read_back(spark, small_splits, tmp_path, n):
     plain = lambda r: (r.id, tuple(r.source), sorted((r.translations or {}).items()))
     assert sorted(map(plain, got.collect()), key=repr) == sorted(map(plain, df.collect()), key=repr)
     assert all(r.created.isoformat() == "2026-03-01" and r.languages == ["zh", "en"] for r in got.collect())
+
+
+def test_no_join_sends_a_document_to_one_task(spark, tmp_path):
+    rows = [(str(i), (None, "x", None, None), {"zh": "a"}) for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, source struct<museum:string,image:string,title_zh:string,title_en:string>, translations map<string,string>")
+    path = str(tmp_path / "parts")
+    corpus_json.write(df, path, "c", "name", "2.0", "2026-03-01", ("zh",))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = readers.corpus(spark, path, parts=True)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert got.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
