@@ -75,3 +75,31 @@ def test_verdicts(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     got = edits.with_script(df, ["a", "b"], "a", "b").select(edits.verdict(F.col("a"), F.col("script")).alias("v")).collect()
     assert [r.v for r in got] == ["same", "cleaned", "added", got[3].v, "cleaned", "cleaned", None] and got[3].v in ("rewritten", "added")
+
+
+def test_scripts_of_many_pairs_are_as_short(monkeypatch):
+    rng = random.Random(5)
+    text = lambda chars: "".join(rng.choice(chars) for _ in range(rng.randrange(60)))
+    pairs = [(text("ab東c"[: rng.randrange(1, 5)]), text("ab東👩")) for _ in range(400)]
+    pairs += [(a, "".join(c for c in a if rng.random() < 0.8)) for a, _ in pairs[:100]]
+    pairs += [(b, a) for a, b in pairs[400:]]
+    length = lambda s: sum(len(x) + len(y) for _, x, y in s)
+    for kept in (edits.KEPT, 3000):
+        monkeypatch.setattr(edits._short_all, "__defaults__", (kept,))
+        for (a, b), script in zip(pairs, edits.edit_scripts(pairs)):
+            at, out = 0, ""
+            for i, x, y in script:
+                assert i >= at and a[i : i + len(x)] == x
+                out, at = out + a[at:i] + y, i + len(x)
+            assert out + a[at:] == b
+            assert length(script) == length(edits.edit_script(a, b))
+
+
+def test_texts_with_characters_taken_out_need_no_search(monkeypatch):
+    """No step of a search is made, whatever the number of changes."""
+    monkeypatch.setattr(edits, "_short_all", None)
+    monkeypatch.setattr(edits, "_advance", None)
+    a = "ab##c" * 3000
+    b = a.replace("##", "")
+    back, again = edits.edit_scripts([(a, b), (b, a)])
+    assert [len(back), len(again)] == [3000, 3000] and back[1] == (7, "##", "") and again[1] == (5, "", "##")
