@@ -117,3 +117,23 @@ def test_missing_and_misordered_segments(spark):
     assert got[5] == {i: (None, None) for i in range(5)} and 6 not in got and 7 not in got
     assert got[8] == {0: (None, None), 1: (None, None), 2: (0, "sequence")}
     assert df.select(F.size("t")).count() == 8
+
+
+def test_similarities_at_once_and_row_by_row(monkeypatch):
+    """Both ways give the same, and a recording's texts are taken apart once."""
+    rng = random.Random(9)
+    lists = [([rng.choice(["", "ab", "a", "abc", "abcabc", "東京都", "abd", "bcabca"]) for _ in range(rng.randrange(12))] for _ in "ab") for _ in range(60)]
+    lists = [tuple(x) for x in lists] + [(["abc", "", "ab"], ["abc", "", "ab"]), (["abc", "ab"], ["abc", "ab"])]
+    calls, trigrams = [], S._trigrams
+    monkeypatch.setattr(S, "_trigrams", lambda t: calls.append(t) or trigrams(t))
+    for least in (0.0, 0.5, 1.0):
+        once = [S.align_segments(a, b, least) for a, b in lists]
+        monkeypatch.setattr(S, "_KEPT", 0)
+        assert once == [S.align_segments(a, b, least) for a, b in lists]
+        monkeypatch.undo()
+        monkeypatch.setattr(S, "_trigrams", lambda t: calls.append(t) or trigrams(t))
+    calls.clear()
+    S.align_segments(["abcd", "bcde", "cdef"], ["bcde", "cdef"])
+    assert sorted(calls) == ["abcd", "bcde", "cdef"]
+    calls.clear()
+    assert S.align_segments(["abcd", "bcde"], ["abcd", "bcde"]) == [(0, 0, 1000000, "ordinal"), (1, 1, 1000000, "ordinal")] and not calls
