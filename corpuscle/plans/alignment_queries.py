@@ -46,9 +46,10 @@ def _recordings(spark, sf):
     """Paragraphs as texts; as segments the same in small letters, without those whose digest begins with 0, those that begin
     with 1 four places late."""
     paras = X.paragraphs(F.col("text"))
-    digit = lambda x: F.substring(F.md5(x), 1, 1)
-    told = F.transform(paras, lambda x, i: F.struct((i + F.when(digit(x) == "1", 4.5).otherwise(0.0)).alias("at"), i.alias("i"), F.lower(x).alias("x")))
-    told = F.transform(F.array_sort(F.filter(told, lambda x: digit(F.element_at(paras, x["i"] + 1)) != "0")), lambda x: x["x"])
+    # The digit goes along: inside of a lambda the paragraphs would be split again for each of them.
+    told = F.transform(paras, lambda x, i: F.struct(F.substring(F.md5(x), 1, 1).alias("digit"), i.alias("i"), F.lower(x).alias("x")))
+    late = lambda x: F.struct((x["i"] + F.when(x["digit"] == "1", 4.5).otherwise(0.0)).alias("at"), x["i"].alias("i"), x["x"].alias("x"))
+    told = F.transform(F.array_sort(F.transform(F.filter(told, lambda x: x["digit"] != "0"), late)), lambda x: x["x"])
     return _docs(spark, sf).select("doc_id", "lang", F.transform(paras, F.lower).alias("texts"), told.alias("segments"))
 
 
