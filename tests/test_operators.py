@@ -317,3 +317,14 @@ def test_readers_of_documents_and_lines(spark, tmp_path):
     (tmp_path / "s" / "a.mp3").write_bytes(b"one\ntwo")
     (tmp_path / "s" / "a.txt").write_bytes(b"no")
     assert sorted((r.ordinal, r.text) for r in hooks.transcribe(readers.audio(spark, str(tmp_path / "s"))).collect()) == [(0, "one"), (1, "two")]
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """A provider gets long texts in batches of some MB, not 2,000 at once."""
+    rows = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("unit_id"), F.repeat(F.lit("x"), 100_000).alias("source"), F.lit("zh").alias("lang"))
+
+    def sizes(batch):
+        return hooks.stub_repair(batch).assign(text=str(int(batch["source"].str.len().sum())))
+
+    got = hooks.repair(rows, sizes).select("unit_id", F.col("text").cast("long").alias("n")).collect()
+    assert len(got) == 400 and max(r.n for r in got) <= 10_000_000
