@@ -1,6 +1,7 @@
 """Edit scripts against the table of edit distances, and played back."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,34 @@ def test_texts_with_characters_taken_out_need_no_search(monkeypatch):
     b = a.replace("##", "")
     back, again = edits.edit_scripts([(a, b), (b, a)])
     assert [len(back), len(again)] == [3000, 3000] and back[1] == (7, "##", "") and again[1] == (5, "", "##")
+
+
+def test_playing_time_does_not_grow_with_the_product_of_text_and_changes(spark):
+    """With a walk from the text's start for each change this takes minutes."""
+    text = "ab東###👩 \n" * 150_000 + "end of the text" * 100
+    clean = text.replace("###", "")
+    df = edits.with_script(spark.createDataFrame([(text, clean)], "a string, b string"), ["a", "b"], "a", "b").cache()
+    assert df.count() == 1
+    began = time.perf_counter()
+    assert df.where(edits.play(F.col("a"), F.col("script")) == F.col("b")).count() == 1
+    took = time.perf_counter() - began
+    df.unpersist()
+    assert took < 25
+
+
+def test_played_back_at_the_edges_of_cuts(spark):
+    rng = random.Random(4)
+    n = edits.CUT
+    places = [0, 1, n - 1, n, n + 1, 2 * n - 1, 2 * n, 2 * n + 1, 5 * n - 1, 5 * n]
+    rows = []
+    for k in range(200):
+        a = "".join(rng.choice("aé東👩\n ") for _ in range(rng.choice([n - 1, n, n + 1, 5 * n])))
+        script, last = [], -1
+        for at in sorted(rng.sample(places, 4)):
+            to = min(len(a), at + rng.choice([0, 1, n - 1, n, n + 1]))
+            if last < at <= to and at <= len(a):
+                script.append((at, a[at:to], rng.choice(["", "x", "東" * n])))
+                last = to
+        rows.append((k, a, script, played(a, script)))
+    df = spark.createDataFrame(rows, f"k int, a string, script {edits.SCRIPT}, want string")
+    assert df.where(edits.play(F.col("a"), F.col("script")) == F.col("want")).count() == len(rows)
