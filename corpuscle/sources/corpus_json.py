@@ -25,24 +25,25 @@ UNITS = "alignment_units"
 _OPENS = rf'(?s)"{UNITS}"\s*:\s*\['
 
 
-def _outside(text: Column, inside: bool) -> Column:
-    """What stands outside of strings, if the text begins inside or outside of one; escapes are gone already."""
-    text = F.regexp_replace(text, r'^[^"]*("|$)', "") if inside else text
-    return F.regexp_replace(text, r'"[^"]*("|$)', "")
+def _marks(text: Column) -> Column:
+    """The quotes and brackets of a text, in order, without those that are escaped: all that tells what a piece does. One pass
+    takes out what stands between them in runs; what follows sees few characters."""
+    return F.regexp_replace(text, r'(?s)\\.|[^"{\[\]\\]++', "")
 
 
-def _depth(text: Column) -> Column:
-    """Brackets opened less brackets closed; there is no closing brace in a piece."""
-    n = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]", ""))
-    return (n(r"{\[") - n(r"\]")).cast("long")
+def _outside(marks: Column, inside: bool) -> Column:
+    """What stands outside of strings, if the text begins inside or outside of one."""
+    marks = F.regexp_replace(marks, r'^[^"]*("|$)', "") if inside else marks
+    return F.regexp_replace(marks, r'"[^"]*("|$)', "")
 
 
-def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\.", "")
+def _count(text: Column, char: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("long")
 
 
-def _quotes(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, '[^"]', "")).cast("long")
+def _depth(marks: Column) -> Column:
+    """Brackets opened less brackets closed; there is no closing brace in a piece."""
+    return _count(marks, "{") + _count(marks, "[") - _count(marks, "]")
 
 
 def _pieces(spark: SparkSession, path: str, parts: bool) -> DataFrame:
@@ -53,8 +54,10 @@ def _pieces(spark: SparkSession, path: str, parts: bool) -> DataFrame:
     own = Window.partitionBy("file", "split").orderBy("at")
     # Every piece but a file's first comes after a brace, which closes if it is outside of a string.
     first = (F.col("split") == 0) & (F.row_number().over(own) == 1)
-    rows = rows.withColumns({"lead": F.when(first, 0).otherwise(1).cast("long"), "bare": _bare(F.col("value"))})
-    rows = rows.withColumns({"q": _quotes(F.col("bare")), "d_out": _depth(_outside(F.col("bare"), False)) - F.col("lead"), "d_in": _depth(_outside(F.col("bare"), True))}).drop("bare")
+    rows = rows.withColumns({"lead": F.when(first, 0).otherwise(1).cast("long"), "marks": _marks(F.col("value"))})
+    outside = {"out": _outside(F.col("marks"), False), "in": _outside(F.col("marks"), True)}
+    rows = rows.withColumns({"q": _count(F.col("marks"), '"'), **outside}).drop("marks")
+    rows = rows.withColumns({"d_out": _depth(F.col("out")) - F.col("lead"), "d_in": _depth(F.col("in"))}).drop("out", "in")
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("q_upto", F.sum("q").over(upto))
     odd = (F.col("q_upto") - F.col("q")) % 2 == 1
@@ -84,7 +87,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     head = F.regexp_extract("value", rf"(?s)^(.*?){_OPENS[4:]}\s*\{{", 1)
     there = F.rlike("value", F.lit(rf"{_OPENS}\s*\{{"))
     # The key can't be part of a string: its second quote would be escaped there.
-    own = F.when(F.col("inside"), _depth(_outside(_bare(head), True))).otherwise(_depth(_outside(_bare(head), False)))
+    own = F.when(F.col("inside"), _depth(_outside(_marks(head), True))).otherwise(_depth(_outside(_marks(head), False)))
     begins = there & (F.col("depth") + own == 1)
     at_two = ~F.col("inside") & (F.col("depth") == 2)
     follows = at_two & F.rlike("value", F.lit(r"^\s*,\s*\{"))

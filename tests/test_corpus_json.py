@@ -93,3 +93,30 @@ def test_no_join_sends_a_document_to_one_task(spark, tmp_path):
         assert got.count() == 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_quotes_and_brackets_of_a_piece_are_counted_over(spark):
+    """What a piece does to the reader's state, by one pass over its text, against a reader of one character at a time."""
+    rng = random.Random(8)
+    chars = ['"', '"', "{", "[", "]", '\\"', "\\\\", "\\n", "\n", "a" * 9, "é東👩", ", ", "\r\n"]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(30))) for _ in range(400)] + ["", '"', "\\", 'x\n"', '"\n', "x" * 100_000]
+
+    def read(text, inside):
+        depth, k = 0, 0
+        while k < len(text):
+            if text[k] == "\\":
+                k += 1
+            elif text[k] == '"':
+                inside = not inside
+            elif not inside:
+                depth += (text[k] in "{[") - (text[k] == "]")
+            k += 1
+        return depth
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("m", corpus_json._marks(F.col("t")))
+    depth = lambda inside: corpus_json._depth(corpus_json._outside(F.col("m"), inside))
+    rows = df.select("t", "m", depth(False).alias("out"), depth(True).alias("in"), corpus_json._count(F.col("m"), '"').alias("q")).collect()
+    for r in rows:
+        bare = r.t.replace("\\\\", "").replace('\\"', "")
+        assert r.m.rstrip("\\") == "".join(c for c in bare if c in '"{[]')
+        assert (r["out"], r["in"], r.q) == (read(r.t, False), read(r.t, True), bare.count('"'))
