@@ -53,7 +53,7 @@ def build(
     sent = parts.where("kept").join(board.select("board", "confidence", "reviewed"), "board")
     stem = ids.image_stem(F.element_at(F.split("board", "/"), -1))
     sent = sent.withColumns({"museum": museum_of(F.col("board")), "unit_id": ids.compose_id(museum_of(F.col("board")), stem, F.col("p"), F.col("s"))})
-    offers = hooks.translate(sent.select("unit_id", F.col("zh").alias("text")), targets, models, use.get("translate"), config.workers)
+    offers = hooks.translate(sent.select("unit_id", F.col("zh").alias("text")), targets, models, use.get("translate"), config.workers, fold=not use.get("judge"))
     judged = materialise(hooks.judge(offers, use.get("judge"), config.workers), "stage-judge")
     chosen = judged.select("unit_id", "lang", "text")
     gold = sent.select("unit_id", F.explode(F.array(F.struct(F.lit("zh").alias("lang"), F.col("zh").alias("text")), F.struct(F.lit("en").alias("lang"), F.col("en").alias("text")))).alias("x")).select("unit_id", "x.*")

@@ -591,7 +591,7 @@ s AS (SELECT *, ('0x' || substr(md5(text), 1, 12))::BIGINT / 281474976710656.0::
 SELECT unit_id, lang, score, model, text, 2::BIGINT AS n_candidates FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, lang ORDER BY score DESC, model) AS k FROM s) WHERE k = 1""")
 def hook_translate_judge(spark, sf):
     rows = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("unit_id"), "text")
-    return hooks.judge(hooks.translate(rows, ("ja", "es", "bg"), ("m1", "m2")))
+    return hooks.judge(hooks.translate(rows, ("ja", "es", "bg"), ("m1", "m2"), fold=True))
 
 
 @query("SELECT doc_id::VARCHAR AS image, length(text) % 3 != 0 AS ok FROM documents WHERE text IS NOT NULL")

@@ -328,3 +328,33 @@ def test_batches_of_long_texts_are_small(spark):
 
     got = hooks.repair(rows, sizes).select("unit_id", F.col("text").cast("long").alias("n")).collect()
     assert len(got) == 400 and max(r.n for r in got) <= 10_000_000
+
+
+def test_candidates_are_folded_where_they_are_made(spark):
+    """The same choices and counts as from all candidates, and no sort of whole texts before the shuffle."""
+    def provider(batch):
+        out = hooks.stub_translate(batch)
+        k = batch["unit_id"].astype(int)
+        out["score"] = [[None, 0.5, float("-inf"), s][i % 4] for i, s in zip(k, out["score"])]
+        out.loc[(k % 4 == 2) & (batch["model"] == "m1"), "score"] = None
+        return out
+
+    # Units in many batches and twice in the table, with and without text.
+    units = spark.createDataFrame([(str(i % 90), None if i % 11 == 0 else f"text {i}") for i in range(120)], "unit_id string, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        every = hooks.translate(units, ("ja", "es"), ("m1", "m2", "m3"), provider)
+        want, some = hooks.judge(every).collect(), hooks.translate(units, ("ja", "es"), ("m1", "m2", "m3"), provider, fold=True)
+        for got in (hooks.judge(some), hooks.judge(every, lambda batch: batch)):
+            # Of a unit that is there twice and whose scores are equal, either text may stand.
+            plain = lambda rows: sorted((r.unit_id, r.lang, r.score, r.model, r.text if int(r.unit_id) >= 30 else "", r.n_candidates) for r in rows)
+            assert repr(plain(got.collect())) == repr(plain(want))
+        assert some.count() < every.count() and sum(r.n_candidates for r in want) == 720
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = hooks.judge(some)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "Sort" not in below and "Aggregate" not in below
+    with pytest.raises(ValueError):
+        hooks.judge(some, provider)
