@@ -5,14 +5,17 @@ A provider is a callable on a pandas batch. Batches go through mapInPandas, so a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keeps_text
-from ..session import ship
+from ..session import BATCH_ROWS, ship
 from .select import judge as _judge
 
 
@@ -39,19 +42,27 @@ def stub_ocr(batch: pd.DataFrame) -> pd.DataFrame:
             text = bytes(raw).decode()
         except UnicodeDecodeError:
             return None, None
-        good = sum(c.isalnum() or c.isspace() or c in ".,;:!?" for c in text)
+        good = sum(n for c, n in Counter(text).items() if c.isalnum() or c.isspace() or c in ".,;:!?")
         return text, good / len(text) if text else 0.0
 
     out = [read(x) for x in batch["content"]]
     return pd.DataFrame({"image": batch["image"], "text": [t for t, _ in out], "confidence": pd.Series([c for _, c in out], dtype="float64")})
 
 
-def enhance(boards: DataFrame, provider: Callable | None = None, workers: int | None = None) -> DataFrame:
+def enhance(boards: DataFrame, provider: Callable | None = None, workers: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(board, zh, en) to (board, p, s, zh, en, kept): provider's sentence pairs; ``kept`` tells whether they only split
-    what was there."""
-    rows = _map(boards.select("board", "zh", "en"), "board string, p int, zh string, en string, zh_parts array<string>, en_parts array<string>", provider or stub_enhance, workers)
+    what was there. carry: columns of the board that all its rows get, so that they need no join."""
+    use, schema = provider or stub_enhance, "board string, p int, zh string, en string, zh_parts array<string>, en_parts array<string>"
+
+    def carried(batch: pd.DataFrame) -> pd.DataFrame:
+        known = batch.drop_duplicates("board").set_index("board")[list(carry)]
+        return use(batch[["board", "zh", "en"]]).join(known, on="board", how="inner")
+
+    fields = "".join(f", {c} {boards.schema[c].dataType.simpleString()}" for c in carry)
+    rows = _map(boards.select("board", "zh", "en", *carry), schema + fields, carried if carry else use, workers)
     kept = keeps_text(F.col("zh"), F.col("zh_parts")) & keeps_text(F.col("en"), F.col("en_parts"))
-    return rows.select("board", "p", kept.alias("kept"), F.posexplode(F.arrays_zip("zh_parts", "en_parts")).alias("s", "x")).select("board", "p", "s", F.col("x.zh_parts").alias("zh"), F.col("x.en_parts").alias("en"), "kept")
+    parts = rows.select("board", "p", kept.alias("kept"), *carry, F.posexplode(F.arrays_zip("zh_parts", "en_parts")).alias("s", "x"))
+    return parts.select("board", "p", "s", F.col("x.zh_parts").alias("zh"), F.col("x.en_parts").alias("en"), "kept", *carry)
 
 
 def stub_enhance(batch: pd.DataFrame) -> pd.DataFrame:
@@ -110,12 +121,79 @@ def judge(candidates: DataFrame, provider: Callable | None = None, workers: int
             raise ValueError("a provider must see all candidates, and these are folded")
         candidates = _folded(candidates.select("unit_id", "lang", "model", "text", "score"), provider, workers)
     folded = "n" in candidates.columns
-    rows = candidates.withColumn("tie", F.xxhash64("model").bitwiseAND(F.lit((1 << 62) - 1)))
+    rows = candidates.withColumn("tie", _tie("model"))
     # A partial aggregate would sort the whole texts of a task; folded rows are shuffled as they are.
     rows = rows.repartition("unit_id", "lang") if folded else rows
     return _judge(rows, ["unit_id", "lang"], "score", "tie", "model", "text", n="n" if folded else None).drop("tie")
 
 
+_OFFER = pa.list_(pa.struct([("lang", pa.string()), ("model", pa.string()), ("text", pa.string())]))
+
+
+def offers(rows: DataFrame, langs, models, translator: Callable | None = None, judger: Callable | None = None) -> DataFrame:
+    """rows (unit_id, text, further columns) with ``offers`` for ``text``: of all candidates of the unit_id, in every language
+    by every model, those that none outscores (several where scores tie), for first_offers().
+
+    A unit_id's rows must stand together, in one partition: then its candidates are folded where they are made, also those of
+    several rows, and no translation is shuffled. Providers get whole rows' candidates, about as many as an Arrow batch has rows.
+    """
+    ship(rows.sparkSession)
+    grid, columns = [(x, m) for x in langs for m in models], ["unit_id", "lang", "model", "text", "score"]
+    rest, size = [c for c in rows.columns if c != "text"], int(rows.sparkSession.conf.get(BATCH_ROWS[0]))
+    step, translator = max(1, (size if size > 0 else 1 << 30) // max(1, len(grid))), translator or stub_translate
+
+    def made(part: pa.RecordBatch) -> pd.DataFrame:
+        n = part.num_rows
+        every = part.select(["unit_id", "text"]).to_pandas().iloc[np.repeat(np.arange(n), len(grid))].reset_index(drop=True)
+        found = translator(every.assign(lang=[x for x, _ in grid] * n, model=[m for _, m in grid] * n))[columns]
+        return _unbeaten(judger(found) if judger else found)[columns]
+
+    def told(part: pa.RecordBatch, found: pd.DataFrame) -> pa.RecordBatch:
+        ids, found = part["unit_id"].to_numpy(zero_copy_only=False), found.sort_values("unit_id", kind="stable")
+        low, high = (np.searchsorted(found["unit_id"].to_numpy(dtype=object), ids, side) for side in ("left", "right"))
+        ends = np.concatenate([[0], np.cumsum(high - low)])
+        places = np.arange(ends[-1]) + np.repeat(low - ends[:-1], high - low)
+        values = [pa.array(found[c].to_numpy(dtype=object)[places], pa.string(), from_pandas=True) for c in _OFFER.value_type.names]
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, fields=list(_OFFER.value_type)))
+        return pa.RecordBatch.from_arrays([*(part[c] for c in rest), listed], [*rest, "offers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of the last unit_id wait, with what stands of their candidates, for others that may follow.
+        wait, best, last = [], None, None
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                found = made(part)
+                if best is not None:
+                    found = _unbeaten(pd.concat([best, found], ignore_index=True))[columns]
+                ids = part["unit_id"].to_numpy(zero_copy_only=False)
+                begin = int(np.argmax(ids == ids[-1]))
+                if ids[-1] != last:
+                    yield from (told(x, found) for x in [*wait, part.slice(0, begin)] if x.num_rows)
+                    wait, last = [], ids[-1]
+                wait.append(part.slice(begin))
+                best = found[found["unit_id"] == last]
+        yield from (told(x, best) for x in wait)
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
+    return rows.mapInArrow(run, f"{fields}, offers array<struct<lang:string,model:string,text:string>>")
+
+
+def first_offers(found: Column) -> Column:
+    """Of offers(), the one of each language that judge() takes: (lang, tie, text), by language."""
+    return firsts(F.sort_array(F.transform(found, lambda x: F.struct(x["lang"].alias("lang"), _tie(x["model"]).alias("tie"), x["text"].alias("text")))))
+
+
+def firsts(entries: Column) -> Column:
+    """The first of each ``lang`` of a sorted array."""
+    start = F.slice(entries, 1, 0)
+    return F.aggregate(entries, start, lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["lang"] == x["lang"]), a).otherwise(F.array_append(a, x)))
+
+
+def _tie(model) -> Column:
+    return F.xxhash64(model).bitwiseAND(F.lit((1 << 62) - 1))
+
+
 def repair(gaps: DataFrame, provider: Callable | None = None, workers: int | None = None) -> DataFrame:
     """Missing texts (unit_id, lang, source) to a model's repairs (unit_id, lang, method, text), as repair.fill takes them."""
     return _map(gaps.select("unit_id", "lang", "source"), "unit_id string, lang string, method string, text string", provider or stub_repair, workers)

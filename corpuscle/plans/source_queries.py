@@ -165,6 +165,6 @@ def build_corpus(spark, sf):
     """All stages in one call, from images to exports; the corpus JSON that it wrote, read back."""
     images = _docs(spark, sf).where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), F.col("text").cast("binary").alias("content"))
     out = _out(spark, "build")
-    build.build(spark, images, lambda _: F.lit("m"), out)
+    build.build(spark, images, lambda _: F.lit("m"), out, keep=False)
     rows = spark.read.schema("id string, translations map<string,string>").json(f"{out}/json")
     return rows.select("id", F.md5(F.element_at("translations", "zh")).alias("zh"), F.size("translations").cast("long").alias("n_langs"))

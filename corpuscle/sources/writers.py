@@ -21,7 +21,18 @@ def root_json(root: DataFrame, path: str) -> None:
 def tmx(rows: DataFrame, path: str, compression: str | None = None) -> None:
     """(id, lang, text) to <tu> elements; blank texts are left out, units without any don't appear."""
     tuv = F.array_sort(F.collect_list(F.struct(F.col("lang").alias("_xml:lang"), F.col("text").alias("seg"))))
-    units = rows.where(nonblank(F.col("text"))).groupBy(F.col("id").alias("_tuid")).agg(tuv.alias("tuv"))
+    _tus(rows.where(nonblank(F.col("text"))).groupBy(F.col("id").alias("_tuid")).agg(tuv.alias("tuv")), path, compression)
+
+
+def tmx_units(units: DataFrame, langs, path: str, compression: str | None = None) -> None:
+    """As tmx(), from units with their ``translations``: one <tu> a row, without a shuffle."""
+    every = F.array(*[F.struct(F.lit(x).alias("_xml:lang"), F.element_at("translations", x).alias("seg")) for x in langs])
+    tuv = F.sort_array(F.filter(every, lambda x: nonblank(x["seg"])))
+    some = F.exists(every, lambda x: nonblank(x["seg"]))
+    _tus(units.where(some).select(F.col("id").alias("_tuid"), tuv.alias("tuv")), path, compression)
+
+
+def _tus(units: DataFrame, path: str, compression: str | None) -> None:
     units.write.format("xml").option("rootTag", "body").option("rowTag", "tu").option("validateName", "false").option("compression", compression or "none").mode("overwrite").save(path)
 
 

@@ -10,7 +10,7 @@ from corpuscle.functions import ids, scripts
 from corpuscle.functions import text as X
 from corpuscle.operators import align, coverage, grading, hooks, reference, repair, segment, select, units
 from corpuscle.plans.build import build
-from corpuscle.session import scratch_root
+from corpuscle.session import materialise, scratch_root
 from corpuscle.sources import readers, writers
 from corpuscle.streaming import incremental
 
@@ -217,6 +217,81 @@ def test_build_leaves_no_stage_tables(spark, tmp_path):
     assert {r.item for r in readers.progress(spark, str(out / "progress")).collect()} == {r[0] for r in rows}
 
 
+def test_build_writes_texts_once(spark, tmp_path, monkeypatch):
+    """Exports apart, no more than three stage tables, and of texts one shuffle; translations are in no table but the units."""
+    from corpuscle.plans import build as module
+
+    tables, root = [], pathlib.Path(scratch_root(spark).removeprefix("file:")) / "corpuscle"
+    before = set(root.glob("stage-*"))
+
+    def seen(df, label, *rest):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        tables.append((label, plan.count("Exchange "), {p.name.rsplit("-", 1)[0] for p in set(root.glob("stage-*")) - before}))
+        return materialise(df, label, *rest)
+
+    monkeypatch.setattr(module, "materialise", seen)
+    images = spark.createDataFrame([(f"I{k}.jpg", f"甲{k}。乙。\n丙。".encode()) for k in range(40)], "path string, content binary").repartition(3).localCheckpoint()
+    result = build(spark, images, lambda c: F.lit("m"), str(tmp_path / "out"), keep=False)
+    assert tables[:3] == [("stage-ocr", 0, set()), ("stage-enhance", 0, {"stage-ocr"}), ("stage-units", 1, {"stage-enhance"})]
+    assert not set(root.glob("stage-*")) - before
+    rows = result.collect()
+    assert len(rows) == 120 and result.columns == ["id", "source", "translations", "grade"]
+    assert {r.id for r in rows} == {f"m_I{k}_p{p}s{s}" for k in range(40) for p, s in ((0, 0), (0, 1), (1, 0))}
+    assert all(r.translations.keys() == {"zh", "ja", "es", "bg"} and r.translations["ja"].endswith(":" + r.translations["zh"]) for r in rows)
+    assert spark.read.json(str(tmp_path / "out" / "json")).count() == 120
+
+
+def test_offers_across_batches(spark):
+    """Candidates of a unit_id that stands in several rows and batches are folded; what judge() takes of all is taken."""
+    score = {"a": 0.5, "b": 0.5, "c": None, "d": float("nan"), "e": 0.4}
+
+    def provider(batch):
+        out = batch[batch["text"] != "none"].assign(score=[score[t[-1]] for t in batch["text"] if t != "none"])
+        return out.assign(text=out["lang"] + out["model"] + out["text"])
+
+    rows = [(f"u{k:03}", f"t{'abcde'[k % 5]}", k) for k in range(60)] + [("u007", f"{j}{'dcea'[j % 4]}", 100 + j) for j in range(50)] + [("u059", "9e", 200), ("u100", "none", 300)]
+    units = spark.createDataFrame(rows, "unit_id string, text string, k int")
+    near = units.repartitionByRange(3, "unit_id").sortWithinPartitions("unit_id")
+    ours = hooks.offers(near, ("ja", "es"), ("m1", "m2", "m3"), provider)
+    judged = hooks.offers(near, ("ja", "es"), ("m1", "m2", "m3"), lambda b: provider(b).assign(score=0.0), lambda b: b.assign(score=[score[t[-1]] for t in b["text"]]))
+    every = hooks.translate(units, ("ja", "es"), ("m1", "m2", "m3"), provider).collect()
+    best = {}
+    for r in every:
+        if r.score is not None and r.score == r.score:
+            best[r.unit_id, r.lang] = max(best.get((r.unit_id, r.lang), 0), r.score)
+    models = {r.lang: r.model for r in hooks.judge(hooks.translate(units.where("unit_id = 'u000'"), ("ja", "es"), ("m1", "m2", "m3"), provider)).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (1, 4, 2000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            for x in (ours, judged):
+                got = x.withColumn("first", hooks.first_offers(F.col("offers"))).collect()
+                assert sorted((r.unit_id, r.k) for r in got) == sorted((u, k) for u, _, k in rows)
+                for r in got:
+                    assert [f.lang for f in r.first] == ([] if r.unit_id == "u100" else ["es", "ja"])
+                    for f in r.first:
+                        assert f.text.startswith(f.lang + models[f.lang])
+                        assert (r.unit_id, f.lang) not in best or score[f.text[-1]] == best[r.unit_id, f.lang]
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_build_shared_ids_and_repairs(spark, tmp_path):
+    """Images of one name in two folders share unit ids; a repair fills what is blank."""
+    images = spark.createDataFrame([("x/I.jpg", "甲。".encode()), ("y/I.jpg", "乙。".encode()), ("y/J.jpg", "丙。".encode())], "path string, content binary")
+    museum = lambda c: F.lit("m")
+    blank = lambda b: hooks.stub_translate(b).assign(text=[" " if x == "es" else t for x, t in zip(b["lang"], b["text"])])
+    rows = build(spark, images, museum, str(tmp_path / "a"), providers={"translate": blank}).collect()
+    first = min("甲。", "乙。")
+    assert sorted((r.id, r.translations["zh"], sorted(r.translations)) for r in rows) == [("m_I_p0s0", first, ["bg", "ja", "zh"])] * 2 + [("m_J_p0s0", "丙。", ["bg", "ja", "zh"])]
+    assert len({str(r.translations) for r in rows}) == 2
+    fixes = spark.createDataFrame([("m_J_p0s0", "es", "model", "x"), ("m_J_p0s0", "es", "rule", "y"), ("m_J_p0s0", "ja", "rule", "z"), ("m_I_p0s0", "en", "model", "w")], "unit_id string, lang string, method string, text string")
+    fixed = build(spark, images, museum, str(tmp_path / "b"), repairs=fixes, providers={"translate": blank}).collect()
+    plain = {r.id: r.translations for r in rows}
+    assert {r.id: r.translations for r in fixed} == {"m_J_p0s0": plain["m_J_p0s0"] | {"es": "y"}, "m_I_p0s0": plain["m_I_p0s0"] | {"en": "w"}}
+    assert len(fixed) == 3
+
+
 def test_corrections_and_offsets(spark):
     from corpuscle import schema
 
