@@ -55,7 +55,7 @@ def enhance(boards: DataFrame, provider: Callable | None = None, workers: int |
     use, schema = provider or stub_enhance, "board string, p int, zh string, en string, zh_parts array<string>, en_parts array<string>"
 
     def carried(batch: pd.DataFrame) -> pd.DataFrame:
-        known = batch.drop_duplicates("board").set_index("board")[list(carry)]
+        known = batch.dropna(subset="board").drop_duplicates("board").set_index("board")[list(carry)]
         return use(batch[["board", "zh", "en"]]).join(known, on="board", how="inner")
 
     fields = "".join(f", {c} {boards.schema[c].dataType.simpleString()}" for c in carry)
